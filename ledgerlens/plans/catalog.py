@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import measures as M
 from ..operators import snapshot as snap
-from ..sources.testdata import MEASURES, sales_fact
+from ..operators.joins import broadcast_if_small, join_dim
+from ..sources.testdata import MEASURES, sales_fact, table
 from . import sqltext as Q
 from .registry import query
 
@@ -75,3 +77,154 @@ SELECT * FROM (
 @query("breakdown_top10", _BREAKDOWN_SQL)
 def q_breakdown(spark, sf):
     return snap.breakdown(_fact(spark, sf), DIMS, MEASURES[0], 10)
+
+
+# ---------------------------------------------------------------- H1-H15 BI measures
+
+def _monthly_rev(spark, sf, series=("client",)):
+    return M.monthly(_fact(spark, sf), F.col("revenue"), series)
+
+
+_MONTHLY_SQL = Q.base("""m AS (SELECT client, period, sum(revenue) AS value FROM fact GROUP BY client, period)""",
+                      """spine AS (
+  SELECT client, strftime(ms, '%Y-%m') AS period FROM (
+    SELECT client, unnest(generate_series(min(CAST(period || '-01' AS DATE)), max(CAST(period || '-01' AS DATE)),
+                                          INTERVAL 1 MONTH)) AS ms
+    FROM m GROUP BY client))""",
+                      """sp AS (SELECT s.client, s.period, CAST(m.value AS DOUBLE) AS v
+  FROM spine s LEFT JOIN m ON m.client = s.client AND m.period = s.period)""")
+
+
+def _pop_sql(lag: int) -> str:
+    return _MONTHLY_SQL + f"""
+SELECT client, period, v AS current, lag(v, {lag}) OVER w AS previous,
+       CASE WHEN lag(v, {lag}) OVER w IS NULL OR lag(v, {lag}) OVER w = 0 THEN NULL
+            ELSE (v - lag(v, {lag}) OVER w) / lag(v, {lag}) OVER w * 100 END AS pct
+FROM sp WINDOW w AS (PARTITION BY client ORDER BY period)"""
+
+
+@query("measure_mom", _pop_sql(1))
+def q_measure_mom(spark, sf):
+    return M.period_over_period(_monthly_rev(spark, sf), 1)
+
+
+@query("measure_yoy", _pop_sql(12))
+def q_measure_yoy(spark, sf):
+    return M.period_over_period(_monthly_rev(spark, sf), 12)
+
+
+@query("measure_ytd", _MONTHLY_SQL + """
+SELECT client, period, CAST(value AS DOUBLE) AS value,
+       CAST(sum(value) OVER (PARTITION BY client, substr(period, 1, 4) ORDER BY period
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS ytd FROM m""")
+def q_measure_ytd(spark, sf):
+    return M.year_to_date(_monthly_rev(spark, sf))
+
+
+@query("measure_running_total", _MONTHLY_SQL + """
+SELECT client, period, CAST(value AS DOUBLE) AS value,
+       CAST(sum(value) OVER (PARTITION BY client ORDER BY period
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS running_total FROM m""")
+def q_measure_running_total(spark, sf):
+    return M.running_total(_monthly_rev(spark, sf))
+
+
+@query("measure_margin", Q.base() + """
+SELECT f.client, f.period, CAST(sum(f.revenue) AS DOUBLE) AS revenue, CAST(sum(f.quantity * CAST(p.p_retailprice AS DECIMAL(18,2)) * 0.75) AS DOUBLE) AS cost,
+       CASE WHEN sum(f.revenue) = 0 THEN 0.0 ELSE
+         CAST(sum(f.revenue) - sum(f.quantity * CAST(p.p_retailprice AS DECIMAL(18,2)) * 0.75) AS DOUBLE) / CAST(sum(f.revenue) AS DOUBLE) * 100 END AS margin_pct
+FROM fact f JOIN part p ON p.p_partkey = f.l_partkey GROUP BY f.client, f.period""")
+def q_measure_margin(spark, sf):
+    part = table(spark, sf, "part").select("p_partkey", F.col("p_retailprice").cast("DECIMAL(18,2)").alias("_rp"))
+    f = _fact(spark, sf).join(broadcast_if_small(part), F.col("l_partkey") == F.col("p_partkey"))
+    a = f.groupBy("client", "period").agg(
+        F.sum("revenue").alias("_rev"), F.sum(F.col("quantity") * F.col("_rp") * F.lit(0.75).cast("DECIMAL(3,2)")).alias("_cost"))
+    margin = F.when(F.col("_rev") == 0, F.lit(0.0)).otherwise(
+        (F.col("_rev") - F.col("_cost")).cast("double") / F.col("_rev").cast("double") * 100)
+    return a.select("client", "period", F.col("_rev").cast("double").alias("revenue"),
+                    F.col("_cost").cast("double").alias("cost"), margin.alias("margin_pct"))
+
+
+@query("measure_filtered", Q.base() + """
+SELECT client, period, CAST(sum(revenue) AS DOUBLE) AS revenue,
+       CAST(COALESCE(sum(revenue) FILTER (WHERE l_returnflag = 'R'), 0) AS DOUBLE) AS returned_revenue,
+       CASE WHEN sum(revenue) = 0 THEN 0.0 ELSE CAST(COALESCE(sum(revenue) FILTER (WHERE l_returnflag = 'R'), 0) AS DOUBLE)
+            / CAST(sum(revenue) AS DOUBLE) END AS returned_share
+FROM fact GROUP BY client, period""")
+def q_measure_filtered(spark, sf):
+    f = _fact(spark, sf)
+    a = f.groupBy("client", "period").agg(
+        F.sum("revenue").alias("_r"),
+        F.coalesce(F.sum(F.when(F.col("l_returnflag") == "R", F.col("revenue"))), F.lit(0)).alias("_ret"))
+    return a.select("client", "period", F.col("_r").cast("double").alias("revenue"),
+                    F.col("_ret").cast("double").alias("returned_revenue"),
+                    M.safe_ratio(F.col("_ret").cast("double"), F.col("_r").cast("double")).alias("returned_share"))
+
+
+_REGION_SQL = Q.base("""reg AS (SELECT client, period, r_name, sum(revenue) AS value FROM fact GROUP BY ALL)""")
+
+
+@query("sales_by_region", _REGION_SQL + "SELECT client, period, r_name, CAST(value AS DOUBLE) AS value FROM reg")
+def q_sales_by_region(spark, sf):
+    return (_fact(spark, sf).groupBy("client", "period", "r_name")
+            .agg(F.sum("revenue").cast("double").alias("value")))
+
+
+@query("share_all_vs_allexcept", _REGION_SQL + """
+SELECT client, period, r_name, CAST(value AS DOUBLE) AS value,
+       CAST(value AS DOUBLE) / CAST((SELECT sum(value) FROM reg) AS DOUBLE) AS share_all,
+       CAST(value AS DOUBLE) / CAST(sum(value) OVER (PARTITION BY client, period) AS DOUBLE) AS share_within
+FROM reg""")
+def q_share(spark, sf):
+    reg = _fact(spark, sf).groupBy("client", "period", "r_name").agg(F.sum("revenue").alias("value"))
+    a = M.share_of_total(reg, "value").withColumnRenamed("share", "share_all")
+    b = M.share_of_total(a, "value", ("client", "period")).withColumnRenamed("share", "share_within")
+    return b.withColumn("value", F.col("value").cast("double"))
+
+
+@query("top10_customers", Q.base() + """
+SELECT * FROM (SELECT client, o_custkey, c_name, value,
+  row_number() OVER (PARTITION BY client ORDER BY value DESC, o_custkey) AS rnk
+  FROM (SELECT client, o_custkey, c_name, CAST(sum(revenue) AS DOUBLE) AS value FROM fact GROUP BY ALL))
+WHERE rnk <= 10""")
+def q_top10_customers(spark, sf):
+    a = (_fact(spark, sf).groupBy("client", "o_custkey", "c_name")
+         .agg(F.sum("revenue").cast("double").alias("value")))
+    return M.top_k(a, ["client"], [F.col("value").desc(), F.col("o_custkey")], 10)
+
+
+@query("salesperson_perf", Q.base() + """
+SELECT client, l_suppkey, s_name, CAST(value AS DOUBLE) AS value,
+       CAST(value AS DOUBLE) / CAST(sum(value) OVER (PARTITION BY client) AS DOUBLE) AS share,
+       CAST(rank() OVER (PARTITION BY client ORDER BY value DESC) AS INTEGER) AS rank
+FROM (SELECT f.client, f.l_suppkey, s.s_name, sum(f.revenue) AS value
+      FROM fact f JOIN supplier s ON s.s_suppkey = f.l_suppkey GROUP BY ALL)""")
+def q_salesperson(spark, sf):
+    per = _fact(spark, sf).groupBy("client", "l_suppkey").agg(F.sum("revenue").alias("value"))
+    sup = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    per = join_dim(per, sup, "l_suppkey")
+    out = M.performance(per, ["client"], "value")
+    return out.select("client", "l_suppkey", "s_name", F.col("value").cast("double").alias("value"), "share", "rank")
+
+
+@query("same_month_last_year", Q.base(Q.delta_cte(12, "yoy")) + "SELECT * FROM yoy")
+def q_same_month_last_year(spark, sf):
+    return deltas(spark, sf, 12)
+
+
+@query("role_playing_date", Q.base() + """
+SELECT client, 'order_date' AS date_role, period, CAST(sum(revenue) AS DOUBLE) AS value FROM fact GROUP BY ALL
+UNION ALL
+SELECT client, 'ship_date', strftime(l_shipdate, '%Y-%m'), CAST(sum(revenue) AS DOUBLE) FROM fact
+GROUP BY client, strftime(l_shipdate, '%Y-%m')""")
+def q_role_playing(spark, sf):
+    return M.by_role(_fact(spark, sf), F.col("revenue"), {"order_date": "o_orderdate", "ship_date": "l_shipdate"})
+
+
+@query("date_dim", """
+SELECT CAST(d AS DATE) AS date, year(d) AS year, month(d) AS month, strftime(d, '%B') AS month_name,
+       quarter(d) AS quarter, strftime(d, '%Y-%m') AS year_month
+FROM (SELECT unnest(generate_series(make_date(min(year(o_orderdate)), 1, 1), make_date(max(year(o_orderdate)), 12, 31),
+                                     INTERVAL 1 DAY)) AS d FROM orders)""")
+def q_date_dim(spark, sf):
+    return M.calendar(table(spark, sf, "orders"), "o_orderdate")
