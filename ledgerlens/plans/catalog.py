@@ -10,11 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import NUMBER_PATTERN
+from ..operators import gate as G
 from ..operators import measures as M
+from ..operators import reconcile as R
 from ..operators import snapshot as snap
+from ..operators import synonyms as S
+from ..operators import volatility as V
+from ..operators.synonyms import DEFAULT_SYNONYMS, NEUTRAL_TOKENS
 from ..operators.joins import broadcast_if_small, join_dim
 from ..sources.testdata import MEASURES, sales_fact, table
 from . import sqltext as Q
+from .commentary import commentary_sql, derive_commentary
 from .registry import query
 
 DIMS = ("r_name", "n_name", "c_name", "l_returnflag")
@@ -228,3 +235,244 @@ FROM (SELECT unnest(generate_series(make_date(min(year(o_orderdate)), 1, 1), mak
                                      INTERVAL 1 DAY)) AS d FROM orders)""")
 def q_date_dim(spark, sf):
     return M.calendar(table(spark, sf, "orders"), "o_orderdate")
+
+
+# ---------------------------------------------------------------- E5 E6 G4, gate Q1-Q18
+
+def gate_inputs(spark, sf):
+    """(pair, delta, commentary, threshold) — all derived from one aggregate of the fact."""
+    agg = _agg(spark, sf)
+    k = snap.kpis_from_aggregate(agg, MEASURES)
+    d = snap.kpi_delta(k)
+    pair = snap.snapshot_pair(snap.snapshot_from_aggregate(agg))
+    thr = V.thresholds(V.history_from_deltas(d))
+    return pair, d, derive_commentary(d), thr
+
+
+_THR_CTE = """hist AS (SELECT client, period, kpi, pct FROM delta),
+okc AS (SELECT client FROM hist GROUP BY client HAVING count(DISTINCT period) >= 3),
+med AS (SELECT client, kpi, median(pct) AS med, count(pct) AS n FROM hist WHERE client IN (SELECT client FROM okc)
+        GROUP BY client, kpi),
+mad AS (SELECT m.client, m.kpi, m.med, m.n, median(abs(h.pct - m.med)) AS mad
+        FROM med m JOIN hist h ON h.client = m.client AND h.kpi = m.kpi GROUP BY m.client, m.kpi, m.med, m.n),
+thr AS (SELECT client, kpi,
+  CASE WHEN n >= 3 THEN round(greatest(abs(med) + 2.5 * (mad * 1.4826), 5.0), 1) ELSE 15.0 END AS threshold_pct,
+  CASE WHEN n >= 3 THEN 'volatility_mad' ELSE 'static_fallback' END AS method,
+  CAST(n AS INTEGER) AS history_count,
+  CASE WHEN n >= 3 THEN round(med, 2) ELSE 0.0 END AS median_pct,
+  CASE WHEN n >= 3 THEN round(mad * 1.4826, 2) ELSE 0.0 END AS mad_pct FROM mad)"""
+
+_PAIR_CTE = f"""pair AS (SELECT c.client, c.period, c.row_count, c.period_days, p.row_count AS prev_row_count,
+  p.period_days AS prev_period_days FROM snap c JOIN snap p ON p.client = c.client AND p.period = {Q.prev_expr('c.period')})"""
+
+_GATE_BASE = Q.base(_THR_CTE, _PAIR_CTE).rstrip() + commentary_sql() + "\n"
+
+_FLAG_ROW_COUNT = """SELECT client, period, 'row_count' AS gate_check,
+  CASE WHEN row_count / prev_row_count < 0.7 THEN 'ROW_COUNT_DROP' WHEN row_count / prev_row_count < 0.85 THEN 'ROW_COUNT_LOW'
+       ELSE 'ROW_COUNT_SPIKE' END AS code,
+  CASE WHEN row_count / prev_row_count < 0.7 THEN 'block' ELSE 'warn' END AS severity,
+  '' AS subject, CAST(row_count / prev_row_count AS DOUBLE) AS metric
+FROM pair WHERE row_count > 0 AND prev_row_count > 0
+  AND (row_count / prev_row_count < 0.85 OR row_count / prev_row_count > 1.5)"""
+
+_FLAG_PERIOD = """SELECT client, period, 'period_length' AS gate_check, 'PERIOD_LENGTH_MISMATCH' AS code,
+  CASE WHEN abs(period_days - prev_period_days) >= 7 THEN 'block' ELSE 'warn' END AS severity, '' AS subject,
+  CAST(abs(period_days - prev_period_days) AS DOUBLE) AS metric
+FROM pair WHERE period_days > 0 AND prev_period_days > 0 AND abs(period_days - prev_period_days) >= 2"""
+
+_FLAG_DELTA = """SELECT client, period, 'delta' AS gate_check,
+  CASE WHEN abs(pct) >= t THEN 'ANOMALOUS_DELTA' ELSE 'NOTABLE_DELTA' END AS code,
+  CASE WHEN abs(pct) >= t THEN 'block' ELSE 'warn' END AS severity, kpi AS subject, pct AS metric
+FROM (SELECT d.*, COALESCE(thr.threshold_pct, 15.0) AS t FROM delta d LEFT JOIN thr ON thr.client = d.client AND thr.kpi = d.kpi)
+WHERE abs(pct) >= t * 0.6"""
+
+_FLAG_ROUND = """SELECT client, period, 'round_number' AS gate_check, 'ROUND_NUMBER' AS code, 'warn' AS severity,
+  kpi || ':current' AS subject, current AS metric FROM delta WHERE round(abs(current), 1) IN (0.0, 100.0, 1000.0, 10000.0)
+UNION ALL
+SELECT client, period, 'round_number', 'ROUND_NUMBER', 'warn', kpi || ':previous', previous FROM delta
+WHERE round(abs(previous), 1) IN (0.0, 100.0, 1000.0, 10000.0)"""
+
+_DIR = "CASE WHEN abs(k.pct) < 3 THEN 'flat' WHEN k.pct > 0 THEN 'up' ELSE 'down' END"
+_FLAG_FINDINGS = f"""SELECT client, period, 'findings' AS gate_check, 'MALFORMED_FINDING' AS code, 'block' AS severity,
+  'key_finding[' || idx || ']' AS subject, CAST(NULL AS DOUBLE) AS metric FROM finding WHERE kpi_id = ''
+UNION ALL
+SELECT f.client, f.period, 'findings', 'UNKNOWN_KPI', 'block', 'key_finding[' || f.idx || ']', NULL FROM finding f
+WHERE f.kpi_id <> '' AND NOT EXISTS (SELECT 1 FROM delta k WHERE k.client = f.client AND k.period = f.period AND k.kpi = f.kpi_id)
+UNION ALL
+SELECT f.client, f.period, 'findings', 'FINDING_DIRECTION_MISMATCH', 'block', 'key_finding[' || f.idx || ']', k.pct
+FROM finding f JOIN delta k ON k.client = f.client AND k.period = f.period AND k.kpi = f.kpi_id WHERE f.direction <> {_DIR}
+UNION ALL
+SELECT f.client, f.period, 'findings', 'FINDING_MAGNITUDE_MISMATCH', 'block', 'key_finding[' || f.idx || ']',
+  abs(f.magnitude_pct - abs(k.pct))
+FROM finding f JOIN delta k ON k.client = f.client AND k.period = f.period AND k.kpi = f.kpi_id
+WHERE f.direction <> 'flat' AND abs(f.magnitude_pct - abs(k.pct)) > 2.0
+UNION ALL
+SELECT client, period, 'findings', 'NO_FINDINGS', 'warn', '', NULL FROM comm WHERE n_findings = 0"""
+
+
+def _syn_values() -> str:
+    rows = ", ".join(f"('{t}', '{a}')" for t, alts in DEFAULT_SYNONYMS.items() for a in alts)
+    return f"syn(token, alt) AS (VALUES {rows})"
+
+
+_NEUTRAL = ", ".join(f"'{w}'" for w in NEUTRAL_TOKENS)
+_LEAK_CTES = f""",
+{_syn_values()},
+kn AS (SELECT DISTINCT client, kpi FROM delta),
+words AS (SELECT client, kpi, tok FROM (SELECT client, kpi, unnest(string_split(lower(replace(kpi, '_', ' ')), ' ')) AS tok
+          FROM kn) WHERE length(tok) > 3 AND tok NOT IN ({_NEUTRAL})),
+owned AS (SELECT client, kpi, tok FROM words UNION SELECT w.client, w.kpi, s.alt FROM words w JOIN syn s ON s.token = w.tok),
+ftok AS (SELECT DISTINCT client, period, idx, kpi_id, tok FROM (
+  SELECT f.client, f.period, f.idx, f.kpi_id, unnest(regexp_split_to_array(lower(f.context), '[^\\p{{L}}\\p{{N}}_]+')) AS tok
+  FROM finding f WHERE f.kpi_id <> '' AND COALESCE(f.context, '') <> ''
+    AND EXISTS (SELECT 1 FROM delta d WHERE d.client = f.client AND d.period = f.period AND d.kpi = f.kpi_id))
+  WHERE length(tok) > 0),
+hit AS (SELECT DISTINCT t.client, t.period, t.idx, t.kpi_id, t.tok FROM ftok t
+  JOIN delta d ON d.client = t.client AND d.period = t.period
+  JOIN owned o ON o.client = d.client AND o.kpi = d.kpi AND o.tok = t.tok
+  WHERE d.kpi <> t.kpi_id
+    AND NOT EXISTS (SELECT 1 FROM owned o2 WHERE o2.client = t.client AND o2.kpi = t.kpi_id AND o2.tok = t.tok)),
+leak AS (SELECT client, period, idx, kpi_id, string_agg(tok, ',' ORDER BY tok) AS leaked FROM hit
+         GROUP BY client, period, idx, kpi_id)
+"""
+
+_FLAG_LEAK = """SELECT client, period, 'findings' AS gate_check, 'CONTEXT_KPI_LEAK' AS code, 'block' AS severity,
+  'key_finding[' || idx || ']' AS subject, CAST(NULL AS DOUBLE) AS metric FROM leak"""
+
+_PAT = NUMBER_PATTERN
+_NUM_CTES = f""",
+txt AS (SELECT client, period, concat_ws(' ', COALESCE(headline, ''), COALESCE(executive_summary, '')) AS t FROM comm),
+ml AS (SELECT client, period, regexp_extract_all(t, '{_PAT}', 0) AS l FROM txt),
+nums0 AS (SELECT client, period, CAST(generate_subscripts(l, 1) AS INTEGER) AS pos, unnest(l) AS m FROM ml),
+nums AS (SELECT client, period, pos, trim(m) AS raw,
+  CAST(replace(regexp_extract(m, '{_PAT}', 2), ',', '') AS DOUBLE) *
+    CASE lower(regexp_extract(m, '{_PAT}', 3)) WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'b' THEN 1e9 ELSE 1.0 END AS value,
+  regexp_extract(m, '{_PAT}', 4) = '%' AS is_pct FROM nums0),
+chk AS (SELECT * FROM nums WHERE abs(value) >= 1.0 AND (NOT is_pct OR abs(value) >= 1.0)),
+cand AS (SELECT c.client, c.period, c.pos, c.raw, c.value, d.kpi, abs(d.pct) AS source_pct,
+  abs(c.value - abs(d.pct)) AS deviation,
+  row_number() OVER (PARTITION BY c.client, c.period, c.pos ORDER BY abs(c.value - abs(d.pct)), d.kpi_ord) AS rn
+  FROM chk c JOIN delta d ON d.client = c.client AND d.period = c.period WHERE c.is_pct AND abs(d.pct) >= 1.0),
+near AS (SELECT client, period, pos, raw, value, kpi, source_pct, deviation FROM cand WHERE rn = 1),
+absv AS (SELECT client, period, unnest([current, previous, abs]) AS v FROM delta),
+absok AS (SELECT DISTINCT c.client, c.period, c.pos FROM chk c JOIN absv x ON x.client = c.client AND x.period = c.period
+  WHERE NOT c.is_pct AND x.v <> 0 AND abs(c.value - x.v) / abs(x.v) * 100 <= 2.0)
+"""
+
+_FLAG_NUMBERS = """SELECT client, period, 'numbers' AS gate_check,
+  CASE WHEN deviation > 10.0 THEN 'NUMERIC_MISMATCH' ELSE 'NUMERIC_APPROXIMATION' END AS code,
+  CASE WHEN deviation > 10.0 THEN 'block' ELSE 'warn' END AS severity, raw AS subject, deviation AS metric
+FROM near WHERE deviation > 2.0
+UNION ALL
+SELECT c.client, c.period, 'numbers', 'UNVERIFIABLE_ABSOLUTE', 'warn', c.raw, c.value FROM chk c
+WHERE NOT c.is_pct AND abs(c.value) > 100.0
+  AND NOT EXISTS (SELECT 1 FROM absok a WHERE a.client = c.client AND a.period = c.period AND a.pos = c.pos)"""
+
+_FLAG_CITATIONS = """SELECT client, period, 'citations' AS gate_check,
+  CASE WHEN n_claims = 0 THEN 'NO_CITATIONS' ELSE 'WEAK_CITATION' END AS code,
+  CASE WHEN n_claims = 0 THEN 'block' ELSE 'warn' END AS severity, '' AS subject, CAST(n_claims AS DOUBLE) AS metric
+FROM comm WHERE n_claims < 2"""
+
+_FLAG_DIRECTION = f"""SELECT d.client, d.period, 'direction' AS gate_check, 'DIRECTION_CONFLICT' AS code, 'block' AS severity,
+  d.kpi AS subject, d.pct AS metric
+FROM delta d JOIN (SELECT client, period,
+    regexp_matches(lower(concat_ws(' ', COALESCE(headline, ''), COALESCE(executive_summary, ''))), '{G.UP_WORDS}') AS grew,
+    regexp_matches(lower(concat_ws(' ', COALESCE(headline, ''), COALESCE(executive_summary, ''))), '{G.DOWN_WORDS}') AS fell
+  FROM comm) t ON t.client = d.client AND t.period = d.period
+WHERE (contains(d.kpi, 'revenue') OR contains(d.kpi, 'sales') OR contains(d.kpi, 'amount'))
+  AND ((d.pct > 0 AND t.fell AND NOT t.grew) OR (NOT (d.pct > 0) AND t.grew AND NOT t.fell))"""
+
+_FLAG_FALLBACK = """SELECT client, period, 'fallback' AS gate_check, 'FALLBACK_COMMENTARY' AS code, 'block' AS severity,
+  '' AS subject, CAST(NULL AS DOUBLE) AS metric FROM comm WHERE contains(headline, '[AI UNAVAILABLE')"""
+
+_ALL_FLAGS = " UNION ALL ".join(f"({s})" for s in (
+    _FLAG_ROW_COUNT, _FLAG_PERIOD, _FLAG_DELTA, _FLAG_FINDINGS, _FLAG_LEAK, _FLAG_NUMBERS, _FLAG_CITATIONS,
+    _FLAG_DIRECTION, _FLAG_ROUND, _FLAG_FALLBACK))
+_FULL = _GATE_BASE.rstrip() + _LEAK_CTES.rstrip() + _NUM_CTES
+
+
+@query("volatility_threshold", Q.base(_THR_CTE) + "SELECT * FROM thr")
+def q_volatility(spark, sf):
+    return V.thresholds(V.history_from_deltas(deltas(spark, sf)))
+
+
+@query("gate_row_count", _GATE_BASE + _FLAG_ROW_COUNT)
+def q_gate_row_count(spark, sf):
+    return G.row_count_flags(gate_inputs(spark, sf)[0])
+
+
+@query("gate_period_length", _GATE_BASE + _FLAG_PERIOD)
+def q_gate_period_length(spark, sf):
+    return G.period_length_flags(gate_inputs(spark, sf)[0])
+
+
+@query("gate_delta", _GATE_BASE + _FLAG_DELTA)
+def q_gate_delta(spark, sf):
+    _, d, _, thr = gate_inputs(spark, sf)
+    return G.delta_flags(d, thr)
+
+
+@query("gate_round_number", _GATE_BASE + _FLAG_ROUND)
+def q_gate_round(spark, sf):
+    return G.round_number_flags(gate_inputs(spark, sf)[1])
+
+
+@query("gate_findings", _GATE_BASE + _FLAG_FINDINGS)
+def q_gate_findings(spark, sf):
+    _, d, c, _ = gate_inputs(spark, sf)
+    return G.findings_flags(c, d)
+
+
+@query("gate_context_leak", _GATE_BASE.rstrip() + _LEAK_CTES + "SELECT * FROM leak")
+def q_gate_leak(spark, sf):
+    _, d, c, _ = gate_inputs(spark, sf)
+    return G.leak_rows(c, d, S.default_synonyms(spark))
+
+
+@query("number_extract", _GATE_BASE.rstrip() + _NUM_CTES + "SELECT client, period, pos, raw, value, is_pct FROM nums")
+def q_number_extract(spark, sf):
+    _, _, c, _ = gate_inputs(spark, sf)
+    return R.extract_numbers(c.select("client", "period", G.prose(c).alias("_t")), "_t")
+
+
+@query("reconcile_pct", _GATE_BASE.rstrip() + _NUM_CTES + "SELECT * FROM near")
+def q_reconcile_pct(spark, sf):
+    _, d, c, _ = gate_inputs(spark, sf)
+    nums = R.checkable(R.extract_numbers(c.select("client", "period", G.prose(c).alias("_t")), "_t"))
+    return R.nearest_pct(nums, d)
+
+
+@query("reconcile_abs", _GATE_BASE.rstrip() + _NUM_CTES + _FLAG_NUMBERS)
+def q_reconcile_abs(spark, sf):
+    _, d, c, _ = gate_inputs(spark, sf)
+    return G.number_flags(c, d)
+
+
+@query("gate_citations", _GATE_BASE + _FLAG_CITATIONS)
+def q_gate_citations(spark, sf):
+    return G.citation_flags(gate_inputs(spark, sf)[2])
+
+
+@query("gate_direction", _GATE_BASE + _FLAG_DIRECTION)
+def q_gate_direction(spark, sf):
+    _, d, c, _ = gate_inputs(spark, sf)
+    return G.direction_conflict_flags(c, d)
+
+
+@query("gate_fallback", _GATE_BASE + _FLAG_FALLBACK)
+def q_gate_fallback(spark, sf):
+    return G.fallback_flags(gate_inputs(spark, sf)[2])
+
+
+@query("gate_result", _FULL + f""", flags AS ({_ALL_FLAGS})
+SELECT r.client, r.period, COALESCE(a.nb, 0) = 0 AS passed, COALESCE(a.nb, 0) AS n_blockers, COALESCE(a.nw, 0) AS n_warnings,
+       COALESCE(a.blockers, '') AS blockers, COALESCE(a.warnings, '') AS warnings
+FROM (SELECT DISTINCT client, period FROM delta) r LEFT JOIN (
+  SELECT client, period, count(*) FILTER (WHERE severity = 'block') AS nb, count(*) FILTER (WHERE severity = 'warn') AS nw,
+    COALESCE(string_agg(code, ',' ORDER BY code) FILTER (WHERE severity = 'block'), '') AS blockers,
+    COALESCE(string_agg(code, ',' ORDER BY code) FILTER (WHERE severity = 'warn'), '') AS warnings
+  FROM flags GROUP BY client, period) a ON a.client = r.client AND a.period = r.period""")
+def q_gate_result(spark, sf):
+    pair, d, c, thr = gate_inputs(spark, sf)
+    flags = G.run_gate(pair, d, c, S.default_synonyms(spark), thr)
+    return G.gate_result(flags, d)
