@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import NUMBER_PATTERN
+from ..operators import dates as D
 from ..operators import gate as G
+from ..operators import profile as P
 from ..operators import measures as M
 from ..operators import reconcile as R
 from ..operators import snapshot as snap
@@ -19,7 +21,7 @@ from ..operators import synonyms as S
 from ..operators import volatility as V
 from ..operators.synonyms import DEFAULT_SYNONYMS, NEUTRAL_TOKENS
 from ..operators.joins import broadcast_if_small, join_dim
-from ..sources.testdata import MEASURES, sales_fact, table
+from ..sources.testdata import MEASURES, SCHEMAS, STAR_TABLES, sales_fact, table
 from . import sqltext as Q
 from .commentary import commentary_sql, derive_commentary
 from .registry import query
@@ -476,3 +478,208 @@ def q_gate_result(spark, sf):
     pair, d, c, thr = gate_inputs(spark, sf)
     flags = G.run_gate(pair, d, c, S.default_synonyms(spark), thr)
     return G.gate_result(flags, d)
+
+
+# ---------------------------------------------------------------- C1-C10 profile, roles, star schema, drift
+
+def _star(spark, sf):
+    return {t: table(spark, sf, t) for t in STAR_TABLES}
+
+
+_STAR_SPECS = [(t, t, SCHEMAS[t]) for t in STAR_TABLES]
+_PROF_BASE = f"WITH prof AS ({Q.profile_sql(_STAR_SPECS)}),\nroles AS ({Q.ROLES_SQL})\n"
+_FACT_SEL = ", ".join(f"('{t}', {i})" for i, t in enumerate(STAR_TABLES))
+_PROF_FACT = _PROF_BASE.rstrip() + f""",
+ords(table_name, table_ord) AS (VALUES {_FACT_SEL}),
+sizes AS (SELECT p.table_name, max(p.row_count) AS row_count, o.table_ord FROM prof p JOIN ords o ON o.table_name = p.table_name
+          GROUP BY p.table_name, o.table_ord),
+fsel AS (SELECT table_name, row_count, CAST(table_ord AS INTEGER) AS table_ord,
+  table_name = (SELECT table_name FROM sizes ORDER BY row_count DESC, table_ord LIMIT 1) AS is_fact FROM sizes),
+dkeys AS (SELECT table_name, column_name AS key_column, good AS key_is_id_or_unique FROM (
+  SELECT p.*, regexp_matches(column_name, '(?i)(^id$|_id$|^code$|_code$|_no$|^no_|_key$|^key_)') OR cardinality = row_count AS good,
+    row_number() OVER (PARTITION BY table_name ORDER BY CASE WHEN regexp_matches(column_name,
+      '(?i)(^id$|_id$|^code$|_code$|_no$|^no_|_key$|^key_)') OR cardinality = row_count THEN 0 ELSE 1 END, ord) AS r
+  FROM prof p WHERE table_name IN (SELECT table_name FROM fsel WHERE NOT is_fact) AND row_count >= 2) WHERE r = 1),
+idims AS (SELECT column_name, 'dim_' || column_name AS dim_name, cardinality FROM roles
+  WHERE table_name = (SELECT table_name FROM fsel WHERE is_fact) AND role = 'text_dimension' AND cardinality <= 200)
+"""
+
+
+def _profile(spark, sf):
+    return P.profile(_star(spark, sf))
+
+
+def _fact_name(fsel: DataFrame) -> str:
+    return fsel.where("is_fact").select("table_name").first()[0]  # one row: metadata, not data
+
+
+@query("column_profile", _PROF_BASE + "SELECT * FROM prof")
+def q_column_profile(spark, sf):
+    return _profile(spark, sf)
+
+
+@query("column_roles", _PROF_BASE + "SELECT table_name, column_name, role, role_dtype, cardinality FROM roles")
+def q_column_roles(spark, sf):
+    return P.roles(_profile(spark, sf)).select("table_name", "column_name", "role", "role_dtype", "cardinality")
+
+
+@query("fact_selection", _PROF_FACT + "SELECT * FROM fsel")
+def q_fact_selection(spark, sf):
+    return P.fact_selection(_profile(spark, sf), STAR_TABLES).select("table_name", "row_count", "table_ord", "is_fact")
+
+
+@query("dim_keys", _PROF_FACT + "SELECT * FROM dkeys")
+def q_dim_keys(spark, sf):
+    prof = _profile(spark, sf).checkpoint()
+    return P.dim_keys(prof, P.fact_selection(prof, STAR_TABLES))
+
+
+_LI_VALUES = " UNION ALL ".join(f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS v FROM lineitem"
+                                for c, _ in SCHEMAS["lineitem"])
+
+
+@query("inline_dims", _PROF_FACT + f"""SELECT DISTINCT 'dim_' || col AS dim_name, v AS key_value FROM ({_LI_VALUES})
+WHERE v IS NOT NULL AND col IN (SELECT column_name FROM idims)""")
+def q_inline_dims(spark, sf):
+    prof = _profile(spark, sf).checkpoint()
+    fact = _fact_name(P.fact_selection(prof, STAR_TABLES))
+    cols = [r[0] for r in P.inline_dim_columns(P.roles(prof), fact).select("column_name").collect()]  # metadata
+    return P.inline_dim_values(table(spark, sf, fact), cols)
+
+
+@query("relationships", _PROF_FACT + """SELECT (SELECT table_name FROM fsel WHERE is_fact) AS from_table,
+  column_name AS from_column, dim_name AS to_table, column_name AS to_column, 'many_to_one' AS cardinality FROM idims""")
+def q_relationships(spark, sf):
+    prof = _profile(spark, sf).checkpoint()
+    fsel = P.fact_selection(prof, STAR_TABLES)
+    fact = _fact_name(fsel)
+    dims = P.inline_dim_columns(P.roles(prof), fact).select("dim_name", F.col("column_name").alias("key_column"))
+    keyed = P.dim_keys(prof, fsel).select(F.col("table_name").alias("dim_name"), "key_column")
+    return P.relationships(fact, table(spark, sf, fact).columns, dims.unionByName(keyed))
+
+
+@query("model_summary", _PROF_BASE + """SELECT table_name, max(row_count) AS row_count,
+  COALESCE(string_agg(column_name, ',' ORDER BY column_name) FILTER (WHERE role = 'numeric_measure'), '') AS measures,
+  COALESCE(string_agg(column_name, ',' ORDER BY column_name) FILTER (WHERE role = 'date'), '') AS dates,
+  COALESCE(string_agg(column_name, ',' ORDER BY column_name) FILTER (WHERE role = 'text_dimension'), '') AS dimensions
+FROM roles WHERE table_name = 'lineitem' GROUP BY table_name""")
+def q_model_summary(spark, sf):
+    return P.model_summary(P.roles(_profile(spark, sf)), "lineitem")
+
+
+_ORPHANS = [("lineitem.l_orderkey->orders", "lineitem", "l_orderkey", "orders", "o_orderkey"),
+            ("lineitem.l_partkey->part", "lineitem", "l_partkey", "part", "p_partkey"),
+            ("lineitem.l_suppkey->supplier", "lineitem", "l_suppkey", "supplier", "s_suppkey"),
+            ("orders.o_custkey->customer", "orders", "o_custkey", "customer", "c_custkey"),
+            ("customer.c_nationkey->nation", "customer", "c_nationkey", "nation", "n_nationkey")]
+
+
+@query("orphan_keys", " UNION ALL ".join(
+    f"SELECT '{n}' AS relationship, count(*) AS orphan_rows, count(DISTINCT {fk}) AS orphan_keys FROM {ft} "
+    f"WHERE {fk} IS NOT NULL AND {fk} NOT IN (SELECT {pk} FROM {dt} WHERE {pk} IS NOT NULL)"
+    for n, ft, fk, dt, pk in _ORPHANS))
+def q_orphan_keys(spark, sf):
+    out = None
+    for n, ft, fk, dt, pk in _ORPHANS:
+        part = P.orphans(table(spark, sf, ft), fk, table(spark, sf, dt), pk, n)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# Current export of lineitem with drift planted: l_tax dropped, a column added, quantity and
+# ship date retyped to text, line status widened (14 codes instead of 2).
+_DRIFT_COLS = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"),
+               ("l_quantity", "string"), ("l_extendedprice", "double"), ("l_discount", "double"),
+               ("l_returnflag", "string"), ("l_linestatus", "string"), ("l_shipdate", "string"),
+               ("l_comment", "string")]
+_DRIFT_SRC = """(SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS VARCHAR) AS l_quantity,
+  l_extendedprice, l_discount, l_returnflag, l_linestatus || CAST(l_linenumber AS VARCHAR) AS l_linestatus,
+  strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate, l_returnflag || '-' || l_linestatus AS l_comment FROM lineitem)"""
+
+
+def _drift_current(li: DataFrame) -> DataFrame:
+    return li.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                     F.col("l_quantity").cast("string").alias("l_quantity"), "l_extendedprice", "l_discount",
+                     "l_returnflag", F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("l_linestatus"),
+                     F.date_format("l_shipdate", "yyyy-MM-dd").alias("l_shipdate"),
+                     F.concat_ws("-", "l_returnflag", "l_linestatus").alias("l_comment"))
+
+
+@query("schema_drift", f"""WITH prev AS ({Q.profile_sql([('lineitem', 'lineitem', SCHEMAS['lineitem'])])}),
+cur AS ({Q.profile_sql([('lineitem', _DRIFT_SRC, _DRIFT_COLS)])})
+SELECT COALESCE(p.table_name, c.table_name) AS table_name, COALESCE(p.column_name, c.column_name) AS column_name,
+  e.code, e.severity, e.metric
+FROM prev p FULL OUTER JOIN cur c ON p.table_name = c.table_name AND p.column_name = c.column_name,
+LATERAL (SELECT * FROM (VALUES
+  (CASE WHEN c.dtype IS NULL THEN 'COLUMN_MISSING' END, 'block', CAST(NULL AS DOUBLE)),
+  (CASE WHEN p.dtype IS NULL THEN 'COLUMN_ADDED' END, 'warn', NULL),
+  (CASE WHEN p.dtype IS NOT NULL AND c.dtype IS NOT NULL THEN
+     CASE WHEN p.is_numeric AND NOT c.is_numeric THEN 'TYPE_REGRESSION'
+          WHEN p.is_datetime AND NOT c.is_datetime THEN 'DATE_REGRESSION' END END, 'block', NULL),
+  (CASE WHEN p.dtype IS NOT NULL AND c.dtype IS NOT NULL AND NOT c.is_numeric AND p.cardinality > 0
+        AND c.cardinality / p.cardinality > 5 THEN 'CARDINALITY_EXPLOSION' END, 'warn',
+   CAST(c.cardinality / p.cardinality AS DOUBLE))) v(code, severity, metric) WHERE code IS NOT NULL) e""")
+def q_schema_drift(spark, sf):
+    li = table(spark, sf, "lineitem")
+    prev = P.profile({"lineitem": li})
+    cur = P.profile({"lineitem": _drift_current(li)})
+    return P.drift(prev, cur)
+
+
+# ---------------------------------------------------------------- D1-D9 dates
+
+AS_OF = "1999-12-31"
+_DATE_CANDIDATES = ("o_orderdate", "l_shipdate", "l_receiptdate")
+
+
+def _date_stats(spark, sf):
+    return D.date_stats(_fact(spark, sf), _DATE_CANDIDATES, AS_OF)
+
+
+def _date_sql_stats() -> str:
+    parts = []
+    for i, c in enumerate(_DATE_CANDIDATES[:2]):
+        parts.append(f"""SELECT client, period, '{c}' AS column_name, {i} AS cand_ord, true AS present, count(*) AS rows,
+  count({c}) AS nonnull, count(DISTINCT {c}) AS dist,
+  count(*) FILTER (WHERE {c} > TIMESTAMP '{AS_OF}' + INTERVAL 3 DAY) AS future,
+  count(*) FILTER (WHERE {c} >= CAST(period || '-01' AS TIMESTAMP)
+                     AND {c} <= CAST(last_day(CAST(period || '-01' AS DATE)) AS TIMESTAMP)) AS in_period,
+  min({c}) AS min_date, max({c}) AS max_date FROM fact GROUP BY client, period""")
+    parts.append(f"""SELECT client, period, 'l_receiptdate', 2, false, count(*), NULL, NULL, NULL, NULL, NULL, NULL
+FROM fact GROUP BY client, period""")
+    return "dstats AS (" + " UNION ALL ".join(parts) + ")"
+
+
+_DATE_ISSUES_SQL = Q.base(_date_sql_stats()) + """, dissue AS (
+SELECT client, period, column_name, cand_ord, code, severity, metric FROM dstats, LATERAL (SELECT * FROM (VALUES
+  (CASE WHEN NOT present THEN 'COLUMN_NOT_FOUND' END, 'block', CAST(NULL AS DOUBLE)),
+  (CASE WHEN present AND 1.0 - nonnull / greatest(rows, 1) > 0.05 THEN 'HIGH_NULL_RATE' END, 'block',
+   1.0 - nonnull / greatest(rows, 1)),
+  (CASE WHEN present AND nonnull = 0 THEN 'ALL_NULL' END, 'block', NULL),
+  (CASE WHEN present AND nonnull > 0 AND future > 0 THEN 'FUTURE_DATES' END, 'warn', CAST(future AS DOUBLE)),
+  (CASE WHEN present AND nonnull > 0 AND in_period = 0 THEN 'PERIOD_MISMATCH' END, 'block', CAST(in_period AS DOUBLE)),
+  (CASE WHEN present AND nonnull > 0 AND in_period > 0 AND in_period < rows * 0.8 THEN 'PARTIAL_PERIOD' END, 'warn',
+   CAST(in_period AS DOUBLE)),
+  (CASE WHEN present AND nonnull > 0 AND rows - (dist + CASE WHEN nonnull < rows THEN 1 ELSE 0 END) = 0
+        THEN 'ALL_DATES_UNIQUE' END, 'warn', NULL)) v(code, severity, metric) WHERE code IS NOT NULL)),
+dsum AS (SELECT s.client, s.period, s.column_name, s.cand_ord,
+  COALESCE(b.nb, 0) = 0 AS passed, COALESCE(b.nb, 0) AS n_blockers
+  FROM dstats s LEFT JOIN (SELECT client, period, column_name, count(*) FILTER (WHERE severity = 'block') AS nb
+                           FROM dissue GROUP BY ALL) b USING (client, period, column_name))
+"""
+
+
+@query("date_validate", _DATE_ISSUES_SQL + "SELECT * FROM dissue")
+def q_date_validate(spark, sf):
+    return D.date_issues(_date_stats(spark, sf))
+
+
+@query("date_pick", _DATE_ISSUES_SQL + """SELECT client, period,
+  CASE WHEN n_passing > 1 THEN NULL ELSE column_name END AS date_column,
+  CASE WHEN n_passing = 1 THEN 'single_pass' WHEN n_passing > 1 THEN 'ambiguous' ELSE 'least_broken' END AS status,
+  n_passing FROM (
+  SELECT *, row_number() OVER (PARTITION BY client, period ORDER BY passed DESC, n_blockers, cand_ord) AS r,
+         count(*) FILTER (WHERE passed) OVER (PARTITION BY client, period) AS n_passing FROM dsum) WHERE r = 1""")
+def q_date_pick(spark, sf):
+    st = _date_stats(spark, sf)
+    return D.pick_date_column(D.date_summary(st, D.date_issues(st)))

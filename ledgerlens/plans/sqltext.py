@@ -45,3 +45,37 @@ def base(*extra: str, date_col: str = "o_orderdate") -> str:
     """WITH fact, agg, kpi, snap, delta [, extra...]"""
     ctes = [f"fact AS ({FACT_SQL})", agg_cte(date_col), kpi_cte(), SNAP_CTE, delta_cte(), *extra]
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
+DATETIME_TYPES = ("date", "timestamp", "timestamp_ntz")
+
+
+def profile_sql(specs) -> str:
+    """Per-column profile rows for ``specs = [(table_name, from_sql, [(column, dtype), ...]), ...]``."""
+    sel = []
+    for name, src, cols in specs:
+        for i, (c, t) in enumerate(cols):
+            num = "true" if (t in NUMERIC_TYPES or t.startswith("decimal")) else "false"
+            dt = "true" if t in DATETIME_TYPES else "false"
+            v = f"CAST({c} AS VARCHAR)"
+            sel.append(f"""SELECT '{name}' AS table_name, '{c}' AS column_name, {i} AS ord, '{t}' AS dtype,
+  {num} AS is_numeric, {dt} AS is_datetime, count(*) AS row_count, count(DISTINCT {v}) AS cardinality,
+  count(*) - count({c}) AS null_count, (count(*) - count({c})) / count(*) AS null_rate,
+  COALESCE((SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {v} AS v FROM {src} WHERE {c} IS NOT NULL
+            ORDER BY v LIMIT 5)), '') AS samples FROM {src}""")
+    return "\nUNION ALL\n".join(sel)
+
+
+ROLES_SQL = """SELECT *,
+  CASE WHEN regexp_matches(column_name, '(?i)(unnamed|empty|blank|filler)') THEN 'ignore'
+       WHEN is_datetime THEN 'date'
+       WHEN regexp_matches(column_name, '(?i)(^id$|_id$|^code$|_code$|_no$|^no_|_key$|^key_)') THEN 'id_key'
+       WHEN is_numeric AND cardinality / greatest(row_count, 1) > 0.05 THEN 'numeric_measure'
+       ELSE 'text_dimension' END AS role,
+  CASE WHEN regexp_matches(column_name, '(?i)(unnamed|empty|blank|filler)') THEN dtype
+       WHEN is_datetime THEN 'datetime'
+       WHEN regexp_matches(column_name, '(?i)(^id$|_id$|^code$|_code$|_no$|^no_|_key$|^key_)') THEN dtype
+       WHEN is_numeric AND cardinality / greatest(row_count, 1) > 0.05 THEN 'numeric'
+       WHEN is_numeric THEN 'numeric_cat' ELSE 'text' END AS role_dtype
+FROM prof"""

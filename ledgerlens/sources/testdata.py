@@ -74,3 +74,22 @@ FACT_SQL = """
   JOIN nation n ON c.c_nationkey = n.n_nationkey
   JOIN region r ON n.n_regionkey = r.r_regionkey
 """
+
+
+# Column types of the driver's tables as Spark reads them (used to write oracle SQL text).
+SCHEMAS = {
+    "lineitem": [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"),
+                 ("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"),
+                 ("l_tax", "double"), ("l_returnflag", "string"), ("l_linestatus", "string"),
+                 ("l_shipdate", "timestamp_ntz")],
+    "orders": [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
+               ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")],
+    "customer": [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"),
+                 ("c_mktsegment", "string")],
+    "part": [("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"),
+             ("p_size", "int"), ("p_retailprice", "double")],
+    "supplier": [("s_suppkey", "bigint"), ("s_name", "string"), ("s_nationkey", "int"), ("s_acctbal", "double")],
+    "nation": [("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int")],
+    "region": [("r_regionkey", "int"), ("r_name", "string")],
+}
+STAR_TABLES = ("lineitem", "orders", "customer", "part", "supplier", "nation", "region")
