@@ -21,6 +21,8 @@ from ..operators import synonyms as S
 from ..operators import volatility as V
 from ..operators.synonyms import DEFAULT_SYNONYMS, NEUTRAL_TOKENS
 from ..operators.joins import broadcast_if_small, join_dim
+from ..sources import render as RN
+from ..sources import scan as SC
 from ..sources.testdata import MEASURES, SCHEMAS, STAR_TABLES, sales_fact, table
 from . import sqltext as Q
 from .commentary import commentary_sql, derive_commentary
@@ -242,8 +244,14 @@ def q_date_dim(spark, sf):
 # ---------------------------------------------------------------- E5 E6 G4, gate Q1-Q18
 
 def gate_inputs(spark, sf):
-    """(pair, delta, commentary, threshold) — all derived from one aggregate of the fact."""
-    agg = _agg(spark, sf)
+    """(pair, delta, commentary, threshold) — all derived from one aggregate of the fact.
+
+    The aggregate is (clients x months) rows: it is written once with a
+    reliable checkpoint, so the dozen checks below read it instead of
+    re-running the fact join, and a lost executor re-reads it from the
+    shared checkpoint folder.
+    """
+    agg = _agg(spark, sf).checkpoint()
     k = snap.kpis_from_aggregate(agg, MEASURES)
     d = snap.kpi_delta(k)
     pair = snap.snapshot_pair(snap.snapshot_from_aggregate(agg))
@@ -683,3 +691,89 @@ def q_date_validate(spark, sf):
 def q_date_pick(spark, sf):
     st = _date_stats(spark, sf)
     return D.pick_date_column(D.date_summary(st, D.date_issues(st)))
+
+
+# ---------------------------------------------------------------- A1-A9 B1-B7 scans
+
+def _orders_lines(spark, sf):
+    o = table(spark, sf, "orders")
+    f = F.concat(F.lit("exports/orders_"), F.date_format("o_orderdate", "yyyy_MM"), F.lit(".csv"))
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    return RN.render_lines(o, f, "o_orderkey", cols, "delimited", ";",
+                           period_col=F.date_format("o_orderdate", "yyyy-MM"))
+
+
+def _customer_lines(spark, sf):
+    c = table(spark, sf, "customer")
+    f = F.concat(F.lit("exports/customers_"), F.lower("c_mktsegment"), F.lit(".txt"))
+    return RN.render_lines(c, f, "c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+                           "pipe", banner=("SAP report RFKLAB00", "Company code 1000"))
+
+
+def _only_table(tables: dict) -> DataFrame:
+    (t,) = tables.values()
+    return t
+
+
+@query("scan_delimited", """SELECT 'exports/orders_' || strftime(o_orderdate, '%Y_%m') || '.csv' AS source_file,
+  CAST(o_orderkey AS DOUBLE) AS o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey, o_orderstatus,
+  CAST(o_totalprice AS DOUBLE) AS o_totalprice, o_orderdate, o_orderpriority FROM orders""")
+def q_scan_delimited(spark, sf):
+    return _only_table(SC.ingest(_orders_lines(spark, sf)))
+
+
+@query("scan_pipe", """SELECT 'exports/customers_' || lower(c_mktsegment) || '.txt' AS source_file,
+  CAST(c_custkey AS DOUBLE) AS c_custkey, c_name, CAST(c_nationkey AS DOUBLE) AS c_nationkey,
+  CAST(c_acctbal AS DOUBLE) AS c_acctbal, c_mktsegment FROM customer""")
+def q_scan_pipe(spark, sf):
+    return _only_table(SC.ingest(_customer_lines(spark, sf)))
+
+
+_VOTE_COLS = [("o_orderkey", "CAST(o_orderkey AS VARCHAR)"), ("o_custkey", "CAST(o_custkey AS VARCHAR)"),
+              ("o_orderstatus", "o_orderstatus"), ("o_totalprice", "CAST(o_totalprice AS VARCHAR)"),
+              ("o_orderdate", "strftime(o_orderdate, '%Y-%m-%d')"), ("o_orderpriority", "o_orderpriority")]
+
+
+@query("coerce_types", " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, {i} AS ord,
+  avg(CASE WHEN regexp_matches({e}, '{SC.NUMBER_TEXT}') THEN 1.0 ELSE 0.0 END) AS numeric_share,
+  avg(CASE WHEN try_strptime({e}, ['%Y-%m-%d %H:%M:%S', '%Y-%m-%d', '%d/%m/%Y', '%d.%m.%Y', '%d-%m-%Y']) IS NOT NULL
+      THEN 1.0 ELSE 0.0 END) AS date_share,
+  CASE WHEN avg(CASE WHEN regexp_matches({e}, '{SC.NUMBER_TEXT}') THEN 1.0 ELSE 0.0 END) > 0.7 THEN 'double'
+       WHEN avg(CASE WHEN try_strptime({e}, ['%Y-%m-%d %H:%M:%S', '%Y-%m-%d', '%d/%m/%Y', '%d.%m.%Y', '%d-%m-%Y'])
+                IS NOT NULL THEN 1.0 ELSE 0.0 END) > 0.7 THEN 'timestamp' ELSE 'string' END AS chosen
+FROM orders""" for i, (c, e) in enumerate(_VOTE_COLS)))
+def q_coerce_types(spark, sf):
+    t = SC.drop_empty(_only_table(SC.scan(_orders_lines(spark, sf))))
+    return SC.vote_types(t)
+
+
+@query("scan_grid", """SELECT 'catalogue.xlsx!' || p_brand AS source_file, CAST(p_partkey AS DOUBLE) AS p_partkey,
+  p_name, p_type, CAST(p_size AS DOUBLE) AS p_size, CAST(p_retailprice AS DOUBLE) AS p_retailprice FROM part""")
+def q_scan_grid(spark, sf):
+    p = table(spark, sf, "part")
+    g = RN.render_grid(p, F.lit("catalogue.xlsx"), F.col("p_brand"), "p_partkey",
+                       ["p_partkey", "p_name", "p_type", "p_size", "p_retailprice"])
+    t = SC.drop_empty(_only_table(SC.grid_tables(g)))
+    return SC.coerce(t, SC.vote_types(t))
+
+
+_NAME_STYLES = [("sales_", "_", ".csv"), ("acme-", "-", "-data.xlsx"), ("export_", "-", "_v2.csv"),
+                ("", "_", "_sales.csv"), ("report", "", ".txt")]
+
+
+@query("period_from_name", "SELECT file_name, CASE WHEN m = '' THEN NULL ELSE y || '-' || mo END AS period FROM (" +
+       " UNION ALL ".join(
+           f"""SELECT DISTINCT '{a}' || strftime(o_orderdate, '%Y') || '{b}' || strftime(o_orderdate, '%m') || '{c}' AS file_name
+  FROM orders""" for a, b, c in _NAME_STYLES) +
+       """ UNION ALL SELECT DISTINCT strftime(o_orderdate, '%m') || '_' || strftime(o_orderdate, '%Y') || '.csv' FROM orders
+) x, LATERAL (SELECT regexp_extract(regexp_replace(file_name, '\\.[^.]*$', ''), '(\\d{4})[_\\-](\\d{2})(?:[_\\-]|$)', 0) AS m,
+  regexp_extract(regexp_replace(file_name, '\\.[^.]*$', ''), '(\\d{4})[_\\-](\\d{2})(?:[_\\-]|$)', 1) AS y,
+  regexp_extract(regexp_replace(file_name, '\\.[^.]*$', ''), '(\\d{4})[_\\-](\\d{2})(?:[_\\-]|$)', 2) AS mo)""")
+def q_period_from_name(spark, sf):
+    o = table(spark, sf, "orders")
+    y, m = F.date_format("o_orderdate", "yyyy"), F.date_format("o_orderdate", "MM")
+    names = [F.concat(F.lit(a), y, F.lit(b), m, F.lit(c)) for a, b, c in _NAME_STYLES]
+    names.append(F.concat(m, F.lit("_"), y, F.lit(".csv")))
+    files = o.select(F.explode(F.array(*names)).alias("file_name")).distinct()
+    return files.select("file_name", SC.period_from_name(F.col("file_name")).alias("period"))
