@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import NUMBER_PATTERN
+from ..operators import audit as AU
+from ..operators import clean_month as CM
+from ..operators import cost as CO
 from ..operators import dates as D
+from ..operators import golden as GD
 from ..operators import gate as G
 from ..operators import profile as P
 from ..operators import measures as M
@@ -25,6 +29,7 @@ from ..sources import render as RN
 from ..sources import scan as SC
 from ..sources.testdata import MEASURES, SCHEMAS, STAR_TABLES, sales_fact, table
 from . import sqltext as Q
+from . import ledger as LG
 from .commentary import commentary_sql, derive_commentary
 from .registry import query
 
@@ -253,10 +258,10 @@ def gate_inputs(spark, sf):
     """
     agg = _agg(spark, sf).checkpoint()
     k = snap.kpis_from_aggregate(agg, MEASURES)
-    d = snap.kpi_delta(k)
+    d = snap.kpi_delta(k).checkpoint()
     pair = snap.snapshot_pair(snap.snapshot_from_aggregate(agg))
     thr = V.thresholds(V.history_from_deltas(d))
-    return pair, d, derive_commentary(d), thr
+    return pair, d, derive_commentary(d).checkpoint(), thr
 
 
 _THR_CTE = """hist AS (SELECT client, period, kpi, pct FROM delta),
@@ -777,3 +782,269 @@ def q_period_from_name(spark, sf):
     names.append(F.concat(m, F.lit("_"), y, F.lit(".csv")))
     files = o.select(F.explode(F.array(*names)).alias("file_name")).distinct()
     return files.select("file_name", SC.period_from_name(F.col("file_name")).alias("period"))
+
+
+# ---------------------------------------------------------------- audit, corrections, clean months, golden, costs
+
+def ledger_inputs(spark, sf):
+    """(audit, corrections, kpi, delta, snap): the run records of every report, checkpointed once
+    (a small table: about one row per report) so the clean-month jobs do not re-run the gate."""
+    pair, d, c, thr = gate_inputs(spark, sf)
+    sn = pair.select("client", "period", "row_count", "period_days").unionByName(
+        pair.select("client", F.col("prev_period").alias("period"), F.col("prev_row_count").alias("row_count"),
+                    F.col("prev_period_days").alias("period_days"))).distinct()
+    flags = G.run_gate(pair, d, c, S.default_synonyms(spark), thr).checkpoint()
+    gres = G.gate_result(flags, d)
+    audit = LG.derive_audit(gres, flags, sn).checkpoint()
+    return audit, LG.derive_corrections(audit, sn), d, sn
+
+
+_S = "(CAST(substr(period, 1, 4) AS INTEGER) * 12 + CAST(substr(period, 6, 2) AS INTEGER) + length({c}))"
+
+
+def _gen(months: int, day: str = "01") -> str:
+    return f"strftime(CAST(period || '-01' AS DATE) + INTERVAL {months} MONTH, '%Y-%m') || '-{day}T08:00:00'"
+
+
+def _sha16(expr: str) -> str:
+    return f"substr(sha256({expr}), 1, 16)"
+
+
+_LEDGER_CTES = f""", flags AS ({_ALL_FLAGS}),
+gres AS (SELECT r.client, r.period, COALESCE(a.nb, 0) = 0 AS passed FROM (SELECT DISTINCT client, period FROM delta) r
+  LEFT JOIN (SELECT client, period, count(*) FILTER (WHERE severity = 'block') AS nb FROM flags GROUP BY client, period) a
+  ON a.client = r.client AND a.period = r.period),
+fc AS (SELECT client, period, string_agg(code, ',') AS codes FROM flags GROUP BY client, period),
+ab AS (SELECT g.client, g.period, g.passed, x.codes, {_S.format(c='g.client').replace('period', 'g.period')} AS s,
+  {_sha16("g.client || '|' || g.period || '|' || CAST(sn.row_count AS VARCHAR)")} AS src
+  FROM gres g JOIN snap sn ON sn.client = g.client AND sn.period = g.period
+  LEFT JOIN fc x ON x.client = g.client AND x.period = g.period),
+abase AS (SELECT {_sha16("client || '|' || period || '|' || src || '|original'")} AS report_id, client AS client_name, period,
+  0 AS seq, {_gen(1)} AS generated_at, src AS source_data_hash,
+  {_sha16("'resp|' || client || '|' || period")} AS response_hash, passed AS gate_passed,
+  COALESCE(codes, '') || CASE WHEN s % 19 = 0 THEN ',GOLDEN_SUITE_UNSIGNED' ELSE '' END AS codes,
+  CASE WHEN passed OR s % 7 = 0 THEN 'email:cfo@' || lower(client) || '.example'
+       ELSE 'held:pending/' || lower(client) || '_' || period || '.json' END AS delivery,
+  s % 17 <> 0 AS schema_drift_clean, false AS late_correction, CAST(NULL AS VARCHAR) AS supersedes, s FROM ab),
+arerun AS (SELECT report_id, client_name, period, 1 AS seq, {_gen(1, '02')} AS generated_at, source_data_hash,
+  {_sha16("'resp2|' || client_name || '|' || period")} AS response_hash, gate_passed, codes, delivery,
+  schema_drift_clean, late_correction, supersedes, s FROM abase WHERE s % 13 = 0),
+alate1 AS (SELECT {_sha16("client_name || '|' || period || '|' || " + _sha16("client_name || '|' || period || '|fixed1'") + " || '|corrected'")} AS report_id,
+  client_name, period, 2 AS seq, {_gen(2)} AS generated_at, {_sha16("client_name || '|' || period || '|fixed1'")} AS source_data_hash,
+  {_sha16("'resp-fixed1|' || client_name || '|' || period")} AS response_hash, true AS gate_passed, '' AS codes,
+  'email:cfo@' || lower(client_name) || '.example' AS delivery, true AS schema_drift_clean, true AS late_correction,
+  report_id AS supersedes, s FROM abase WHERE s % 11 = 0),
+alate2 AS (SELECT {_sha16("client_name || '|' || period || '|' || " + _sha16("client_name || '|' || period || '|fixed2'") + " || '|corrected'")} AS report_id,
+  client_name, period, 3 AS seq, {_gen(3)} AS generated_at, {_sha16("client_name || '|' || period || '|fixed2'")} AS source_data_hash,
+  {_sha16("'resp-fixed2|' || client_name || '|' || period")} AS response_hash, true AS gate_passed, '' AS codes,
+  'email:cfo@' || lower(client_name) || '.example' AS delivery, true AS schema_drift_clean, true AS late_correction,
+  {_sha16("client_name || '|' || period || '|' || " + _sha16("client_name || '|' || period || '|fixed1'") + " || '|corrected'")} AS supersedes,
+  s FROM abase WHERE s % 22 = 0),
+audit AS (SELECT * FROM abase UNION ALL SELECT * FROM arerun UNION ALL SELECT * FROM alate1 UNION ALL SELECT * FROM alate2),
+corr AS (SELECT a.report_id, a.client_name, CAST(sn.row_count AS DOUBLE) * 100.0 AS claimed_value,
+  CAST(sn.row_count AS DOUBLE) * 100.0 * CASE WHEN a.s % 10 = 0 THEN 1.03 ELSE 1.01 END AS actual_value
+  FROM abase a JOIN snap sn ON sn.client = a.client_name AND sn.period = a.period
+  WHERE starts_with(a.delivery, 'email:') AND a.s % 5 = 0),
+dids AS (SELECT DISTINCT client_name, period, report_id FROM audit WHERE starts_with(delivery, 'email:')),
+ccount AS (SELECT d.client_name, d.period, count(*) AS n FROM corr c JOIN dids d ON d.report_id = c.report_id
+  GROUP BY d.client_name, d.period),
+nd AS (SELECT client_name, period, count(*) FILTER (WHERE nr > 1) AS nd FROM (
+  SELECT client_name, period, source_data_hash, count(DISTINCT response_hash) AS nr FROM audit WHERE NOT late_correction
+  GROUP BY client_name, period, source_data_hash) GROUP BY client_name, period),
+per AS (SELECT client_name, period, count(*) FILTER (WHERE dl) AS delivered_reports,
+  count(*) FILTER (WHERE dl AND NOT gate_passed) AS blocker_count, count(*) FILTER (WHERE dl AND NOT schema_drift_clean) AS drift,
+  count(*) FILTER (WHERE late_correction) AS late,
+  count(*) FILTER (WHERE dl AND contains(',' || codes || ',', ',GOLDEN_SUITE_UNSIGNED,')) AS unsigned,
+  count(*) FILTER (WHERE dl AND contains(',' || codes || ',', ',FALLBACK_COMMENTARY,')) AS fallback
+  FROM (SELECT *, starts_with(delivery, 'email:') AS dl FROM audit) GROUP BY client_name, period),
+mspine AS (SELECT client_name, strftime(m, '%Y-%m') AS period FROM (
+  SELECT client_name, unnest(generate_series(min(CAST(period || '-01' AS DATE)), max(CAST(period || '-01' AS DATE)),
+                                             INTERVAL 1 MONTH)) AS m FROM audit GROUP BY client_name)),
+cm0 AS (SELECT sp.client_name, sp.period, COALESCE(p.delivered_reports, 0) AS delivered_reports,
+  COALESCE(c.n, 0) AS corrections_count, COALESCE(p.blocker_count, 0) AS blocker_count,
+  concat_ws(',', CASE WHEN COALESCE(p.blocker_count, 0) > 0 THEN 'C1' END, CASE WHEN COALESCE(c.n, 0) > 0 THEN 'C2' END,
+    CASE WHEN COALESCE(p.drift, 0) > 0 THEN 'C3' END, CASE WHEN COALESCE(p.late, 0) > 0 THEN 'C4_late' END,
+    CASE WHEN COALESCE(n.nd, 0) > 0 THEN 'C4_nondeterministic' END,
+    CASE WHEN COALESCE(p.delivered_reports, 0) = 0 THEN 'C5' END, CASE WHEN COALESCE(p.unsigned, 0) > 0 THEN 'C6' END,
+    CASE WHEN COALESCE(p.fallback, 0) > 0 THEN 'C7' END) AS failed
+  FROM mspine sp LEFT JOIN per p ON p.client_name = sp.client_name AND p.period = sp.period
+  LEFT JOIN ccount c ON c.client_name = sp.client_name AND c.period = sp.period
+  LEFT JOIN nd n ON n.client_name = sp.client_name AND n.period = sp.period),
+cm AS (SELECT *, failed = '' AS is_clean FROM cm0)
+"""
+_LEDGER = _FULL.rstrip() + _LEDGER_CTES
+
+
+@query("audit_latest", _LEDGER + """SELECT client_name, period, report_id, generated_at, late_correction FROM (
+  SELECT *, row_number() OVER (PARTITION BY client_name, period ORDER BY generated_at DESC, seq DESC) AS r FROM audit)
+WHERE r = 1""")
+def q_audit_latest(spark, sf):
+    return AU.latest(ledger_inputs(spark, sf)[0]).select("client_name", "period", "report_id", "generated_at",
+                                                         "late_correction")
+
+
+@query("audit_original", _LEDGER + """SELECT client_name, period, report_id, generated_at, late_correction FROM (
+  SELECT *, row_number() OVER (PARTITION BY client_name, period ORDER BY generated_at, seq) AS r FROM audit
+  WHERE NOT late_correction) WHERE r = 1""")
+def q_audit_original(spark, sf):
+    return AU.original(ledger_inputs(spark, sf)[0]).select("client_name", "period", "report_id", "generated_at",
+                                                           "late_correction")
+
+
+@query("supersedes_chain", _LEDGER + """, links AS (SELECT DISTINCT report_id, supersedes FROM audit),
+chain AS (SELECT report_id, report_id AS cur, 0 AS depth FROM links
+  UNION ALL SELECT l2.report_id, l1.supersedes, 1 FROM links l2 JOIN links l1 ON l1.report_id = l2.report_id
+    WHERE l1.supersedes IS NOT NULL
+  UNION ALL SELECT a.report_id, b.supersedes, 2 FROM links a JOIN links b ON b.report_id = a.supersedes
+    WHERE a.supersedes IS NOT NULL AND b.supersedes IS NOT NULL)
+SELECT report_id, arg_max(cur, depth) AS root_id, max(depth) AS depth FROM chain GROUP BY report_id""")
+def q_supersedes_chain(spark, sf):
+    return AU.supersedes_chain(spark, ledger_inputs(spark, sf)[0])
+
+
+@query("content_hash")
+def q_content_hash(spark, sf):
+    return AU.content_hash(_fact(spark, sf).drop("n_name", "r_name"), ["client", "period"])
+
+
+@query("corrections", _LEDGER + """SELECT report_id, client_name, claimed_value, actual_value,
+  CASE WHEN abs(actual_value - claimed_value) > abs(claimed_value) * 0.02 THEN 'material' ELSE 'cosmetic' END AS severity
+FROM corr""")
+def q_corrections(spark, sf):
+    audit, corr, *_ = ledger_inputs(spark, sf)
+    return corr.select("report_id", "client_name", "claimed_value", "actual_value", "severity")
+
+
+@query("clean_month", _LEDGER + "SELECT client_name, period, delivered_reports, corrections_count, blocker_count, "
+                                "failed, is_clean FROM cm")
+def q_clean_month(spark, sf):
+    audit, corr, *_ = ledger_inputs(spark, sf)
+    return CM.clean_months(audit, corr)
+
+
+@query("rolling_eligibility", _LEDGER + """SELECT client_name,
+  strftime(CAST(period || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m') AS anchor_month,
+  CAST(clean_in_window AS BIGINT) AS clean_in_window, clean_in_window = 6 AND n = 6 AS eligible,
+  CASE WHEN clean_in_window = 6 AND n = 6 THEN 'Spot-Check' ELSE 'Reviewed' END AS tier
+FROM (SELECT client_name, period, sum(CAST(is_clean AS INTEGER)) OVER w AS clean_in_window, count(*) OVER w AS n
+      FROM cm WINDOW w AS (PARTITION BY client_name ORDER BY period ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))""")
+def q_rolling(spark, sf):
+    audit, corr, *_ = ledger_inputs(spark, sf)
+    return CM.rolling_eligibility(CM.clean_months(audit, corr))
+
+
+@query("earliest_eligibility", _LEDGER + """SELECT client_name, strftime(d, '%Y-%m') AS last_dirty_month,
+  strftime(e, '%Y-%m') AS window_end_month, CAST(last_day(e) AS DATE) AS earliest_date FROM (
+  SELECT client_name, d, CASE WHEN d IS NULL THEN f + INTERVAL 5 MONTH ELSE d + INTERVAL 6 MONTH END AS e FROM (
+    SELECT client_name, max(CASE WHEN NOT is_clean THEN CAST(period || '-01' AS DATE) END) AS d,
+           min(CAST(period || '-01' AS DATE)) AS f FROM cm GROUP BY client_name))""")
+def q_earliest(spark, sf):
+    audit, corr, *_ = ledger_inputs(spark, sf)
+    return CM.earliest_eligibility(CM.clean_months(audit, corr))
+
+
+_GOLDEN_CTES = """,
+lastp AS (SELECT client, max(period) AS period FROM kpi GROUP BY client),
+act AS (SELECT k.client, k.period, k.kpi AS measure_name, k.value FROM kpi k JOIN lastp l ON l.client = k.client AND l.period = k.period
+  UNION ALL
+  SELECT k.client, k.period, 'discount_rate', max(CASE WHEN kpi = 'total_discount' THEN value END)
+    / (max(CASE WHEN kpi = 'total_revenue' THEN value END) + max(CASE WHEN kpi = 'total_discount' THEN value END)) * 100
+  FROM kpi k JOIN lastp l ON l.client = k.client AND l.period = k.period GROUP BY k.client, k.period),
+gv AS (SELECT client, period, measure_name,
+  CASE measure_name WHEN 'total_revenue' THEN value * 1.0005 WHEN 'avg_revenue' THEN value * 1.01
+    WHEN 'total_discount' THEN value + 0.5
+    WHEN 'discount_rate' THEN value + CASE WHEN length(client) % 2 = 0 THEN 0.04 ELSE 0.06 END ELSE value END AS expected_value,
+  0.1 AS tolerance_pct,
+  CASE measure_name WHEN 'total_discount' THEN 1.0 WHEN 'discount_rate' THEN 0.05 END AS tolerance_abs
+  FROM act WHERE measure_name IN ('total_revenue', 'avg_revenue', 'total_quantity', 'total_discount', 'discount_rate')
+  UNION ALL SELECT DISTINCT client, period, 'total_profit', 1000.0, 0.1, NULL FROM act),
+gs AS (SELECT DISTINCT client, 'analyst_a' AS seeded_by,
+  CASE WHEN starts_with(client, 'A') THEN 'analyst_a' WHEN starts_with(client, 'F') THEN '' ELSE 'analyst_b' END AS verified_by,
+  CASE WHEN starts_with(client, 'H') THEN '' ELSE 'finance@' || lower(client) || '.example' END AS client_signoff_email FROM act),
+gst AS (SELECT client, seeded_by <> '' AND verified_by <> '' AND seeded_by <> verified_by AND client_signoff_email <> '' AS is_complete,
+  concat_ws(',', CASE WHEN seeded_by = '' THEN 'seeded_by' END, CASE WHEN verified_by = '' THEN 'verified_by' END,
+    CASE WHEN seeded_by <> '' AND verified_by <> '' AND seeded_by = verified_by THEN 'verified_by must differ from seeded_by' END,
+    CASE WHEN client_signoff_email = '' THEN 'client_signoff_email' END) AS missing FROM gs),
+gcmp AS (SELECT v.client, v.measure_name, v.expected_value AS expected,
+  CASE WHEN s.is_complete THEN a.value END AS actual,
+  CASE WHEN NOT s.is_complete OR a.value IS NULL THEN false
+       WHEN v.tolerance_abs IS NOT NULL THEN abs(a.value - v.expected_value) <= v.tolerance_abs
+       WHEN v.expected_value = 0 THEN abs(a.value) <= v.tolerance_pct
+       ELSE abs(a.value - v.expected_value) / abs(v.expected_value) * 100 <= v.tolerance_pct END AS passed,
+  CASE WHEN NOT s.is_complete OR a.value IS NULL THEN NULL
+       WHEN v.tolerance_abs IS NOT NULL THEN CASE WHEN v.expected_value = 0 THEN abs(a.value - v.expected_value) * 100
+            ELSE abs(a.value - v.expected_value) / abs(v.expected_value) * 100 END
+       ELSE CASE WHEN v.expected_value = 0 THEN abs(a.value) * 100
+            ELSE abs(a.value - v.expected_value) / abs(v.expected_value) * 100 END END AS deviation_pct,
+  CASE WHEN NOT s.is_complete THEN 'GOLDEN_SUITE_UNSIGNED' WHEN a.value IS NULL THEN '""" + GD.MISSING_ERROR + """'
+       ELSE '' END AS error
+  FROM gv v LEFT JOIN gst s ON s.client = v.client
+  LEFT JOIN act a ON a.client = v.client AND a.measure_name = v.measure_name)
+"""
+
+
+def golden_inputs(spark, sf):
+    actuals = LG.derive_actuals(kpis(spark, sf)).checkpoint()
+    values, signoff = LG.derive_golden(actuals)
+    return actuals, values, signoff
+
+
+@query("golden_compare", Q.base().rstrip() + _GOLDEN_CTES + "SELECT * FROM gcmp")
+def q_golden_compare(spark, sf):
+    actuals, values, signoff = golden_inputs(spark, sf)
+    return GD.compare(values, actuals, signoff)
+
+
+@query("golden_report", Q.base().rstrip() + _GOLDEN_CTES +
+       "SELECT client, count(*) FILTER (WHERE passed) AS passed, count(*) AS total FROM gcmp GROUP BY client")
+def q_golden_report(spark, sf):
+    actuals, values, signoff = golden_inputs(spark, sf)
+    return GD.report(GD.compare(values, actuals, signoff))
+
+
+@query("golden_signoff", Q.base().rstrip() + _GOLDEN_CTES + "SELECT * FROM gst")
+def q_golden_signoff(spark, sf):
+    return GD.signoff_status(golden_inputs(spark, sf)[2])
+
+
+@query("golden_bootstrap", Q.base().rstrip() + _GOLDEN_CTES + """SELECT client, measure_name,
+  'All data, no filter' AS filter_context, '' AS dax_filter, value AS expected_value,
+  CASE WHEN regexp_matches(measure_name, '(?i)(%|pct|percent|rate|ratio|margin|share|coverage|conversion)') THEN NULL ELSE 0.1 END AS tolerance_pct,
+  CASE WHEN regexp_matches(measure_name, '(?i)(%|pct|percent|rate|ratio|margin|share|coverage|conversion)') THEN 0.05 END AS tolerance_abs,
+  CASE WHEN regexp_matches(measure_name, '(?i)(%|pct|percent|rate|ratio|margin|share|coverage|conversion)') THEN 'ratio' ELSE 'relative' END AS band
+FROM act""")
+def q_golden_bootstrap(spark, sf):
+    return GD.bootstrap(golden_inputs(spark, sf)[0])
+
+
+_COST_CTES = f""",
+calls AS (
+  SELECT d.client AS client_name, d.period, 'ai_commentary' AS step, 'text-model-1' AS model,
+    sn.row_count + 800 AS input_tokens, d.k * 40 + 200 AS output_tokens,
+    CAST(CASE WHEN {_S.format(c='d.client').replace('period', 'd.period')} % 2 = 1 THEN 600 ELSE 0 END AS BIGINT) AS cache_write_tokens,
+    CAST(CASE WHEN {_S.format(c='d.client').replace('period', 'd.period')} % 2 = 0 THEN 600 ELSE 0 END AS BIGINT) AS cache_read_tokens
+  FROM (SELECT client, period, count(*) AS k FROM delta GROUP BY client, period) d
+  JOIN snap sn ON sn.client = d.client AND sn.period = d.period
+  UNION ALL
+  SELECT d.client, d.period, 'dax_generation', 'text-model-1', 1500, 900, 0, 0
+  FROM (SELECT DISTINCT client, period FROM delta) d WHERE substr(d.period, 6, 2) = '01'),
+costs AS (SELECT *, input_tokens * 3.0 / 1000000 + output_tokens * 15.0 / 1000000 + cache_write_tokens * 3.75 / 1000000
+  + cache_read_tokens * 0.3 / 1000000 AS usd FROM calls)
+"""
+
+
+@query("cost_by_step", Q.base().rstrip() + _COST_CTES + """SELECT client_name, period, COALESCE(step, 'TOTAL') AS step,
+  sum(usd) AS usd, sum(usd / 1.08) AS eur, count(*) AS calls FROM costs GROUP BY ROLLUP (client_name, period, step)
+HAVING client_name IS NOT NULL AND period IS NOT NULL""")
+def q_cost_by_step(spark, sf):
+    k = kpis(spark, sf)
+    d = snap.kpi_delta(k)
+    return CO.by_step(LG.derive_costs(d, snap.snapshot_from_aggregate(_agg(spark, sf))))
+
+
+@query("cache_saving", Q.base().rstrip() + _COST_CTES + """SELECT client_name, period, step,
+  cache_read_tokens * (3.0 - 0.3) / 1000000 AS saving_usd, cache_read_tokens * (3.0 - 0.3) / 1000000 / 1.08 AS saving_eur
+FROM costs""")
+def q_cache_saving(spark, sf):
+    d = deltas(spark, sf)
+    return CO.cache_saving(LG.derive_costs(d, snap.snapshot_from_aggregate(_agg(spark, sf))))
