@@ -184,9 +184,10 @@ def fallback_flags(commentary: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- whole gate
 
 def run_gate(pair: DataFrame, delta: DataFrame, commentary: DataFrame, defaults: DataFrame,
-             threshold: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
+             threshold: DataFrame | None = None, overrides: DataFrame | None = None,
+             static_fallback: float = STATIC_FALLBACK_PCT) -> DataFrame:
     """Union of all checks, in the reference's order."""
-    parts = [row_count_flags(pair), period_length_flags(pair), delta_flags(delta, threshold),
+    parts = [row_count_flags(pair), period_length_flags(pair), delta_flags(delta, threshold, static_fallback),
              findings_flags(commentary, delta), leak_flags(commentary, delta, defaults, overrides),
              number_flags(commentary, delta), citation_flags(commentary),
              direction_conflict_flags(commentary, delta), round_number_flags(delta), fallback_flags(commentary)]

@@ -32,6 +32,7 @@ from ..sources import sinks as SK
 from ..sources import scan as SC
 from ..sources.testdata import MEASURES, SCHEMAS, STAR_TABLES, sales_fact, table
 from . import sqltext as Q
+from . import coverage as COV
 from . import exports as EX
 from . import ledger as LG
 from .commentary import commentary_sql, derive_commentary
@@ -1233,3 +1234,11 @@ def q_held_packets(spark, sf):
     pair, d, c, thr = gate_inputs(spark, sf)
     flags = G.run_gate(pair, d, c, S.default_synonyms(spark), thr)
     return EX.held_packets(G.gate_result(flags, d), flags, c, d)
+
+
+# ---------------------------------------------------------------- Q18 gate coverage
+
+@query("gate_coverage")
+def q_gate_coverage(spark, sf):
+    pair, d, c, thr = gate_inputs(spark, sf)
+    return COV.coverage(pair, d, S.default_synonyms(spark))

@@ -25,3 +25,10 @@ def test_every_query_plans_on_smoke_data(spark):
     for name, fn in E.queries().items():
         df = fn(spark, "/root/testdata/sf0.001")
         assert len(df.columns) > 0, name
+
+
+def test_gate_coverage_has_no_holes(spark):
+    cov = E.queries()["gate_coverage"](spark, "/root/testdata/sf0.001").collect()
+    assert len(cov) == 12
+    assert all(r["holes"] == 0 for r in cov), [r for r in cov if r["holes"]]
+    assert all(r["applicable"] > 0 for r in cov)
