@@ -183,3 +183,33 @@ def drift(previous: DataFrame, current: DataFrame, key: Sequence[str] = ("table_
 def drift_report(events: DataFrame, key: Sequence[str] = ("table_name",)) -> DataFrame:
     return events.groupBy(*key).agg(F.bool_or(F.col("severity") == "block").alias("has_blockers"),
                                     (F.count(F.lit(1)) == 0).alias("is_clean"))
+
+
+# ---------------------------------------------------------------- dataset schema export
+
+# BI column types. Spark types map exactly; role types follow the reference's ordered
+# substring rule (so ``numeric_cat`` reads as Double, as there).
+BI_EXACT = {"bigint": "Int64", "int": "Int64", "smallint": "Int64", "tinyint": "Int64", "double": "Double",
+            "float": "Double", "timestamp": "DateTime", "timestamp_ntz": "DateTime", "date": "DateTime",
+            "string": "String", "boolean": "Boolean"}
+BI_BY_SUBSTRING = [("numeric", "Double"), ("datetime", "DateTime"), ("text", "String")]
+
+
+def bi_type(dtype):
+    e = None
+    for k, v in BI_EXACT.items():
+        e = F.when(dtype == k, F.lit(v)) if e is None else e.when(dtype == k, F.lit(v))
+    for k, v in BI_BY_SUBSTRING:
+        e = e.when(dtype.contains(k), F.lit(v))
+    return e.otherwise(F.lit("String"))
+
+
+def dataset_schema(roles_df: DataFrame, fact_name: str, keys: DataFrame) -> DataFrame:
+    """(table_name, column_name, data_type): fact columns by type, dimension tables and inline dims as text."""
+    fact = roles_df.where((F.col("table_name") == fact_name) & (F.col("role") != "ignore")).select(
+        "table_name", "column_name", bi_type(F.col("role_dtype")).alias("data_type"))
+    dims = roles_df.join(keys.select("table_name"), "table_name", "left_semi").select(
+        "table_name", "column_name", F.lit("String").alias("data_type"))
+    inline = inline_dim_columns(roles_df, fact_name).select(
+        F.col("dim_name").alias("table_name"), "column_name", F.lit("String").alias("data_type"))
+    return fact.unionByName(dims).unionByName(inline)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import parse as PA
 from ..functions import sanitize as SZ
 from ..functions import text as TX
 from ..functions.numbers import NUMBER_PATTERN
@@ -1242,3 +1243,65 @@ def q_held_packets(spark, sf):
 def q_gate_coverage(spark, sf):
     pair, d, c, thr = gate_inputs(spark, sf)
     return COV.coverage(pair, d, S.default_synonyms(spark))
+
+
+# ---------------------------------------------------------------- K12 response parsing, A15 dataset schema, E15
+
+def raw_responses(commentary: DataFrame) -> DataFrame:
+    """Render each derived commentary as the raw text a model would return: fenced, with a preamble,
+    or with findings in the legacy string form, on fixed residues of the report seed."""
+    s = F.substring("period", 1, 4).cast("int") * 12 + F.substring("period", 6, 2).cast("int") + F.length("client")
+    legacy = F.transform("key_findings", lambda f: F.concat(f["kpi_id"], F.lit(" moved "), f["direction"]))
+    body = F.when(s % 7 == 0, F.to_json(F.struct("headline", "executive_summary", legacy.alias("key_findings"),
+                                                 F.col("rca").alias("root_cause_analysis")))) \
+        .otherwise(F.to_json(F.struct("headline", "executive_summary", "key_findings",
+                                      F.col("rca").alias("root_cause_analysis"))))
+    raw = (F.when(s % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+           .when(s % 5 == 0, F.concat(F.lit("Here is the analysis:\n"), body)).otherwise(body))
+    return commentary.select("client", "period", raw.alias("raw"))
+
+
+@query("parse_commentary", _GATE_BASE + """SELECT c.client, c.period, c.headline, c.executive_summary,
+  c.n_findings, CASE WHEN c.seed % 7 = 0 THEN c.n_findings ELSE COALESCE(f.n_empty, 0) END AS n_legacy, c.n_claims
+FROM comm c LEFT JOIN (SELECT client, period, count(*) FILTER (WHERE kpi_id = '') AS n_empty FROM finding
+                       GROUP BY client, period) f ON f.client = c.client AND f.period = c.period""")
+def q_parse_commentary(spark, sf):
+    _, _, c, _ = gate_inputs(spark, sf)
+    p = raw_responses(c).select("client", "period", PA.parse_response(F.col("raw")).alias("p"))
+    return p.select("client", "period", F.col("p.headline").alias("headline"),
+                    F.col("p.executive_summary").alias("executive_summary"),
+                    F.size("p.key_findings").cast("long").alias("n_findings"),
+                    F.size(F.filter("p.key_findings", lambda f: f["kpi_id"] == "")).cast("long").alias("n_legacy"),
+                    F.size("p.rca.claims").alias("n_claims"))
+
+
+@query("dataset_schema", _PROF_FACT + """SELECT (SELECT table_name FROM fsel WHERE is_fact) AS table_name, column_name,
+  CASE WHEN role_dtype IN ('bigint', 'int', 'smallint', 'tinyint') THEN 'Int64'
+       WHEN role_dtype IN ('double', 'float') THEN 'Double'
+       WHEN role_dtype IN ('timestamp', 'timestamp_ntz', 'date') THEN 'DateTime'
+       WHEN role_dtype = 'string' THEN 'String' WHEN role_dtype = 'boolean' THEN 'Boolean'
+       WHEN contains(role_dtype, 'numeric') THEN 'Double' WHEN contains(role_dtype, 'datetime') THEN 'DateTime'
+       ELSE 'String' END AS data_type
+FROM roles WHERE table_name = (SELECT table_name FROM fsel WHERE is_fact) AND role <> 'ignore'
+UNION ALL
+SELECT p.table_name, p.column_name, 'String' FROM prof p JOIN dkeys k ON k.table_name = p.table_name
+UNION ALL
+SELECT dim_name, column_name, 'String' FROM idims""")
+def q_dataset_schema(spark, sf):
+    prof = _profile(spark, sf).checkpoint()
+    fsel = P.fact_selection(prof, STAR_TABLES)
+    fact = _fact_name(fsel)
+    return P.dataset_schema(P.roles(prof), fact, P.dim_keys(prof, fsel))
+
+
+@query("reconcile_summary", _GATE_BASE.rstrip() + _NUM_CTES + """SELECT c.client, c.period, count(*) AS numbers_checked,
+  count(*) FILTER (WHERE (c.is_pct AND n.deviation <= 2.0) OR (NOT c.is_pct AND a.pos IS NOT NULL)) AS numbers_matched,
+  count(*) FILTER (WHERE (c.is_pct AND n.deviation > 2.0)
+                      OR (NOT c.is_pct AND a.pos IS NULL AND abs(c.value) > 100.0)) AS issues
+FROM chk c LEFT JOIN near n ON n.client = c.client AND n.period = c.period AND n.pos = c.pos
+LEFT JOIN absok a ON a.client = c.client AND a.period = c.period AND a.pos = c.pos
+GROUP BY c.client, c.period""")
+def q_reconcile_summary(spark, sf):
+    _, d, c, _ = gate_inputs(spark, sf)
+    nums = R.extract_numbers(c.select("client", "period", G.prose(c).alias("_t")), "_t")
+    return R.reconciliation_summary(nums, d)
