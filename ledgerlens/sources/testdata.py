@@ -27,22 +27,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sales_fact(spark: SparkSession, sf_dir: str, dims: bool = True) -> DataFrame:
     """One row per lineitem: client, period, dates, measures and dimensions.
 
-    lineitem ⋈ orders ⋈ customer are large-to-large equi-joins (shuffled on the
-    key; AQE may turn them into broadcasts at runtime). nation/region are
-    fixed-size code tables and go through the size-checked broadcast.
+    Join order is chosen for scale: orders ⋈ customer first (an orders-sized
+    shuffle on custkey), then lineitem ⋈ that on orderkey, so the largest
+    table is shuffled exactly once and the line-level rows never move again
+    before the (map-side partial) aggregates. nation/region are fixed-size
+    code tables behind the size-checked broadcast; ``dims=False`` skips them
+    for jobs that need no geography.
     """
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
         "l_returnflag", "l_shipdate")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    f = (li.join(o, li.l_orderkey == o.o_orderkey)
-         .join(c, F.col("o_custkey") == F.col("c_custkey")))
+    oc = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
     if dims:
         n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
         r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
         geo = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")
-        f = join_dim(f, geo, F.col("c_nationkey") == F.col("n_nationkey"))
+        oc = join_dim(oc, geo, F.col("c_nationkey") == F.col("n_nationkey"))
+    f = li.join(oc, F.col("l_orderkey") == F.col("o_orderkey"))
     price = F.col("l_extendedprice").cast(MONEY)
     disc = F.col("l_discount").cast(MONEY)
     cols = [
