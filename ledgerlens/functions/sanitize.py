@@ -33,8 +33,21 @@ FORMAT_CHARS = r"\p{Cf}"
 CONTROL_CHARS = r"[^\P{C}\n\t\r]"   # any C* character except \n \t \r
 
 
+def _scoped(pat: str) -> str:
+    """A pattern as a group with its own flags, so all patterns can share one alternation."""
+    if pat.startswith("(?i)"):
+        return "(?i:" + pat[4:] + ")"
+    return "(?:" + pat + ")"
+
+
+# One pass that tells whether any injection pattern can fire (most texts: none). Replacements never
+# create a new match (no spaces, braces or angle brackets in them), so a text that fails this test
+# needs no further pattern pass.
+ANY_INJECTION = "|".join(_scoped(p) for _, p in INJECTION_PATTERNS)
+
+
 def sanitize(text: Column, max_length: int = MAX_FIELD_LENGTH) -> Column:
-    """STRUCT<clean STRING, reasons ARRAY<STRING>, truncated BOOLEAN>."""
+    """STRUCT<clean STRING, reasons ARRAY<STRING>, truncated BOOLEAN> (column form, for short strings)."""
     v0 = F.coalesce(text, F.lit(""))
     v1 = F.regexp_replace(v0, FORMAT_CHARS, "")
     reasons = [F.when(v1 != v0, F.lit("unicode_format_char"))]
@@ -50,6 +63,34 @@ def sanitize(text: Column, max_length: int = MAX_FIELD_LENGTH) -> Column:
                     truncated.alias("truncated"))
 
 
+def sanitize_frame(df: DataFrame, col: str, max_length: int = MAX_FIELD_LENGTH) -> DataFrame:
+    """Add ``clean``, ``reasons`` and ``truncated`` for a large text column.
+
+    Each step is its own projection and reads the previous step exactly once
+    (Spark does not inline an expensive expression that is read twice, and a
+    single reference keeps the plan linear even when a later filter is pushed
+    through it). Texts that fail the combined pattern test carry NULL through
+    the pattern chain, so they cost no regex pass; a pattern's reason is "this
+    step changed the text".
+    """
+    d = df.withColumn("_v0", F.coalesce(F.col(col), F.lit("")))
+    d = d.withColumn("_v1", F.regexp_replace("_v0", FORMAT_CHARS, ""))
+    d = d.withColumn("_v2", F.regexp_replace("_v1", CONTROL_CHARS, ""))
+    d = d.withColumn("_w0", F.when(F.col("_v2").rlike(ANY_INJECTION), F.col("_v2")))
+    reasons = [F.when(F.col("_v1") != F.col("_v0"), F.lit("unicode_format_char")),
+               F.when(F.col("_v2") != F.col("_v1"), F.lit("control_char"))]
+    n = len(INJECTION_PATTERNS)
+    for i, (reason, pat) in enumerate(INJECTION_PATTERNS):
+        d = d.withColumn(f"_w{i + 1}", F.regexp_replace(f"_w{i}", pat, f"[REDACTED:{reason}]"))
+        reasons.append(F.when(F.col(f"_w{i + 1}") != F.col(f"_w{i}"), F.lit(reason)))
+    d = d.withColumn("_fin", F.coalesce(f"_w{n}", "_v2"))
+    d = d.withColumn("reasons", F.array_compact(F.array(*reasons)))
+    d = d.withColumn("truncated", F.length("_fin") > max_length)
+    d = d.withColumn("clean", F.when(F.col("truncated"), F.concat(F.substring("_fin", 1, max_length),
+                                                                  F.lit(TRUNCATION_MARKER))).otherwise(F.col("_fin")))
+    return d.drop("_v0", "_v1", "_v2", "_fin", *[f"_w{i}" for i in range(n + 1)])
+
+
 def sanitize_columns(df: DataFrame, cols: list[str], max_length: int = MAX_FIELD_LENGTH) -> DataFrame:
     """Replace each text column by its cleaned value and add ``<col>_reasons``."""
     out = df
