@@ -37,3 +37,16 @@ def cache_saving(costs: DataFrame) -> DataFrame:
     """Saving of cache reads vs full input price (eur = usd / rate)."""
     s = F.col("cache_read_tokens") * (PRICE_INPUT - PRICE_CACHE_READ) / 1_000_000
     return costs.select("client_name", "period", "step", s.alias("saving_usd"), (s / EUR_USD).alias("saving_eur"))
+
+
+def session_total(costs: DataFrame) -> DataFrame:
+    """Total usd and eur over the given calls (eur = usd / rate)."""
+    return costs.agg(F.sum("usd").alias("usd"), (F.sum("usd") / EUR_USD).alias("eur"))
+
+
+def monthly_summary(costs: DataFrame, as_of_month: str, client: str | None = None) -> DataFrame:
+    """One month's cost by step plus the total row; ``as_of_month`` is a parameter, never the clock."""
+    c = costs.where(F.col("period") == as_of_month)
+    if client is not None:
+        c = c.where(F.col("client_name") == client)
+    return by_step(c)

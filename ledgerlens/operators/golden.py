@@ -87,3 +87,18 @@ def analyst_suites(signoff: DataFrame, analyst: str, left_on: str | None = None)
     if left_on is not None:
         s = s.withColumn("reverify_by", F.date_add(F.lit(left_on).cast("date"), 60))
     return s
+
+
+def save_suite(values: DataFrame, signoff: DataFrame, path: str) -> None:
+    """A suite is two tables (values, signoff), written as JSON per client."""
+    values.write.mode("overwrite").partitionBy("client").json(f"{path}/values")
+    signoff.write.mode("overwrite").partitionBy("client").json(f"{path}/signoff")
+
+
+def load_suite(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    values = spark.read.schema(
+        "measure_name STRING, period STRING, expected_value DOUBLE, tolerance_pct DOUBLE, tolerance_abs DOUBLE, "
+        "client STRING").json(f"{path}/values")
+    signoff = spark.read.schema(
+        "seeded_by STRING, verified_by STRING, client_signoff_email STRING, client STRING").json(f"{path}/signoff")
+    return values, signoff

@@ -1306,3 +1306,39 @@ def q_reconcile_summary(spark, sf):
     _, d, c, _ = gate_inputs(spark, sf)
     nums = R.extract_numbers(c.select("client", "period", G.prose(c).alias("_t")), "_t")
     return R.reconciliation_summary(nums, d)
+
+
+# ---------------------------------------------------------------- C10 drift report, M14 analyst suites
+
+@query("drift_report", f"""WITH prev AS ({Q.profile_sql([('lineitem', 'lineitem', SCHEMAS['lineitem'])])}),
+cur AS ({Q.profile_sql([('lineitem', _DRIFT_SRC, _DRIFT_COLS)])}),
+ev AS (SELECT COALESCE(p.table_name, c.table_name) AS table_name,
+  CASE WHEN c.dtype IS NULL THEN 'block' WHEN p.dtype IS NULL THEN 'warn'
+       WHEN (p.is_numeric AND NOT c.is_numeric) OR (p.is_datetime AND NOT c.is_datetime) THEN 'block'
+       WHEN NOT c.is_numeric AND p.cardinality > 0 AND c.cardinality / p.cardinality > 5 THEN 'warn' END AS severity
+  FROM prev p FULL OUTER JOIN cur c ON p.table_name = c.table_name AND p.column_name = c.column_name)
+SELECT table_name, bool_or(severity = 'block') AS has_blockers, count(severity) AS events,
+  count(severity) = 0 AS is_clean FROM ev GROUP BY table_name""")
+def q_drift_report(spark, sf):
+    li = table(spark, sf, "lineitem")
+    prev = P.profile({"lineitem": li}).checkpoint()
+    cur = P.profile({"lineitem": _drift_current(li)})
+    ev = P.drift(prev, cur)
+    tables = prev.select("table_name").distinct()
+    agg = ev.groupBy("table_name").agg(F.bool_or(F.col("severity") == "block").alias("has_blockers"),
+                                       F.count(F.lit(1)).alias("events"))
+    j = tables.join(agg, "table_name", "left")
+    return j.select("table_name", F.coalesce("has_blockers", F.lit(False)).alias("has_blockers"),
+                    F.coalesce("events", F.lit(0)).cast("long").alias("events"),
+                    (F.coalesce("events", F.lit(0)) == 0).alias("is_clean"))
+
+
+ANALYST_LEFT_ON = "2001-09-30"
+
+
+@query("analyst_suites", Q.base().rstrip() + _GOLDEN_CTES + f"""SELECT client, verified_by,
+  CAST(DATE '{ANALYST_LEFT_ON}' + INTERVAL 60 DAY AS DATE) AS reverify_by FROM gs WHERE verified_by = 'analyst_b'""")
+def q_analyst_suites(spark, sf):
+    _, _, signoff = golden_inputs(spark, sf)
+    return GD.analyst_suites(signoff.withColumn("verified_at", F.lit(None).cast("string")), "analyst_b",
+                             ANALYST_LEFT_ON).select("client", "verified_by", "reverify_by")
