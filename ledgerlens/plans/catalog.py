@@ -28,6 +28,7 @@ from ..operators import synonyms as S
 from ..operators import volatility as V
 from ..operators.synonyms import DEFAULT_SYNONYMS, NEUTRAL_TOKENS
 from ..operators.joins import broadcast_if_small, join_dim
+from ..operators.spread import spread
 from ..sources import render as RN
 from ..sources import sinks as SK
 from ..sources import scan as SC
@@ -708,7 +709,7 @@ def q_date_pick(spark, sf):
 # ---------------------------------------------------------------- A1-A9 B1-B7 scans
 
 def _orders_lines(spark, sf):
-    o = table(spark, sf, "orders")
+    o = spread(table(spark, sf, "orders"), "o_orderkey")
     f = F.concat(F.lit("exports/orders_"), F.date_format("o_orderdate", "yyyy_MM"), F.lit(".csv"))
     cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
     return RN.render_lines(o, f, "o_orderkey", cols, "delimited", ";",
@@ -716,7 +717,7 @@ def _orders_lines(spark, sf):
 
 
 def _customer_lines(spark, sf):
-    c = table(spark, sf, "customer")
+    c = spread(table(spark, sf, "customer"), "c_custkey")
     f = F.concat(F.lit("exports/customers_"), F.lower("c_mktsegment"), F.lit(".txt"))
     return RN.render_lines(c, f, "c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
                            "pipe", banner=("SAP report RFKLAB00", "Company code 1000"))
@@ -763,7 +764,7 @@ def q_coerce_types(spark, sf):
 @query("scan_grid", """SELECT 'catalogue.xlsx!' || p_brand AS source_file, CAST(p_partkey AS DOUBLE) AS p_partkey,
   p_name, p_type, CAST(p_size AS DOUBLE) AS p_size, CAST(p_retailprice AS DOUBLE) AS p_retailprice FROM part""")
 def q_scan_grid(spark, sf):
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part"), "p_partkey")
     g = RN.render_grid(p, F.lit("catalogue.xlsx"), F.col("p_brand"), "p_partkey",
                        ["p_partkey", "p_name", "p_type", "p_size", "p_retailprice"])
     t = SC.drop_empty(_only_table(SC.grid_tables(g)))
@@ -1088,10 +1089,10 @@ def _planted_sql(text: str, key: str) -> str:
 
 
 def _texts(spark, sf):
-    d = table(spark, sf, "documents").select(
+    d = spread(table(spark, sf, "documents"), "doc_id").select(
         F.lit("documents").alias("source"), F.col("doc_id").alias("item_id"), F.lit(0).cast("long").alias("turn"),
         _planted(F.col("text"), F.col("doc_id")).alias("text"))
-    c = table(spark, sf, "conversations").select(
+    c = spread(table(spark, sf, "conversations"), "conv_id").select(
         F.lit("conversations").alias("source"), F.col("conv_id").alias("item_id"), F.col("turn"),
         _planted(F.col("text"), F.col("conv_id") * 100 + F.col("turn")).alias("text"))
     return d.unionByName(c)
