@@ -30,7 +30,10 @@ def sales_fact(spark: SparkSession, sf_dir: str, dims: bool = True) -> DataFrame
     Join order is chosen for scale: orders ⋈ customer first (an orders-sized
     shuffle on custkey), then lineitem ⋈ that on orderkey, so the largest
     table is shuffled exactly once and the line-level rows never move again
-    before the (map-side partial) aggregates. nation/region are fixed-size
+    before the (map-side partial) aggregates. lineitem ⋈ orders is declared a
+    sort-merge join: both sides grow with the data, so neither can be proven
+    small, and a size estimate under the broadcast threshold (a small test
+    file) would otherwise ship all line items to one build task. nation/region are fixed-size
     code tables behind the size-checked broadcast; ``dims=False`` skips them
     for jobs that need no geography.
     """
@@ -45,7 +48,7 @@ def sales_fact(spark: SparkSession, sf_dir: str, dims: bool = True) -> DataFrame
         r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
         geo = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")
         oc = join_dim(oc, geo, F.col("c_nationkey") == F.col("n_nationkey"))
-    f = li.join(oc, F.col("l_orderkey") == F.col("o_orderkey"))
+    f = li.join(oc.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     price = F.col("l_extendedprice").cast(MONEY)
     disc = F.col("l_discount").cast(MONEY)
     cols = [
