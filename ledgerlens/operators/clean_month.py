@@ -53,6 +53,50 @@ def clean_months(audit: DataFrame, corrections: DataFrame) -> DataFrame:
                     F.array_join(failed, ",").alias("failed"), (F.size(failed) == 0).alias("is_clean"))
 
 
+LISTED_IDS = 3  # fixed: report ids named per failed criterion
+
+
+def criterion_details(audit: DataFrame, corrections: DataFrame, listed: int = LISTED_IDS) -> DataFrame:
+    """(client_name, period, criterion, n, report_ids): why a month failed, one row per failed criterion.
+
+    ``n`` counts the offending entries (C4_nondeterministic: source hashes with
+    more than one response hash); ``report_ids`` names the first ``listed`` of
+    them in log order for C1, C2 and C4_late, as the checker's message does.
+    The first-k is a ``row_number <= k`` filter (a window group limit, partial
+    before the shuffle), so a month with very many reports never gathers its
+    ids in one task; only k ids per group are ever collected.
+    """
+    keys = ["client_name", "period"]
+    a = audit.withColumn("_dl", F.coalesce(F.col("delivery"), F.lit("")).startswith("email:"))
+
+    def ev(df, criterion, o1, o2):
+        return df.select(*keys, F.lit(criterion).alias("criterion"), "report_id",
+                         F.col(o1).cast("string").alias("_o1"), F.col(o2).cast("long").alias("_o2"))
+
+    delivered_ids = a.where("_dl").select(*keys, "report_id").distinct()
+    corr = corrections.select("report_id", "logged_at", F.lit(0).alias("_z")).join(delivered_ids, "report_id")
+    events = (ev(a.where(F.col("_dl") & ~F.col("gate_passed")), "C1", "generated_at", "seq")
+              .unionByName(ev(corr, "C2", "logged_at", "_z"))
+              .unionByName(ev(a.where(F.col("_dl") & ~F.col("schema_drift_clean")), "C3", "generated_at", "seq"))
+              .unionByName(ev(a.where("late_correction"), "C4_late", "generated_at", "seq"))
+              .unionByName(ev(a.where(F.col("_dl") & _has_code("GOLDEN_SUITE_UNSIGNED")), "C6", "generated_at", "seq"))
+              .unionByName(ev(a.where(F.col("_dl") & _has_code("FALLBACK_COMMENTARY")), "C7", "generated_at", "seq")))
+    counts = events.groupBy(*keys, "criterion").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*keys, "criterion").orderBy("_o1", "_o2", "report_id")
+    first = (events.where(F.col("criterion").isin("C1", "C2", "C4_late"))
+             .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= listed)
+             .groupBy(*keys, "criterion")
+             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "report_id"))),
+                                           lambda x: x["report_id"]), ", ").alias("report_ids")))
+    nondet = (a.where(~F.col("late_correction")).groupBy(*keys, "source_data_hash")
+              .agg(F.countDistinct("response_hash").alias("_nr")).where(F.col("_nr") > 1)
+              .groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("criterion", F.lit("C4_nondeterministic")))
+    out = counts.join(first, [*keys, "criterion"], "left").unionByName(nondet, allowMissingColumns=True)
+    return out.select(*keys, "criterion", F.col("n").cast("long").alias("n"),
+                      F.coalesce(F.col("report_ids"), F.lit("")).alias("report_ids"))
+
+
 def rolling_eligibility(clean: DataFrame, months: int = WINDOW_MONTHS) -> DataFrame:
     """For every anchor month (spine month + 1): the ``months`` months before it must all be clean."""
     w = Window.partitionBy("client_name").orderBy("period").rowsBetween(-(months - 1), 0)

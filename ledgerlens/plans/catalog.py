@@ -930,6 +930,32 @@ def q_clean_month(spark, sf):
     return CM.clean_months(audit, corr)
 
 
+
+_DL = "starts_with(delivery, 'email:')"
+
+
+@query("clean_month_details", _LEDGER.rstrip() + f""",
+cev AS (SELECT client_name, period, 'C1' AS criterion, report_id, generated_at AS o1, seq AS o2 FROM audit
+    WHERE {_DL} AND NOT gate_passed
+  UNION ALL SELECT d.client_name, d.period, 'C2', c.report_id, '', 0 FROM corr c JOIN dids d ON d.report_id = c.report_id
+  UNION ALL SELECT client_name, period, 'C3', report_id, generated_at, seq FROM audit WHERE {_DL} AND NOT schema_drift_clean
+  UNION ALL SELECT client_name, period, 'C4_late', report_id, generated_at, seq FROM audit WHERE late_correction
+  UNION ALL SELECT client_name, period, 'C6', report_id, generated_at, seq FROM audit
+    WHERE {_DL} AND contains(',' || codes || ',', ',GOLDEN_SUITE_UNSIGNED,')
+  UNION ALL SELECT client_name, period, 'C7', report_id, generated_at, seq FROM audit
+    WHERE {_DL} AND contains(',' || codes || ',', ',FALLBACK_COMMENTARY,'))
+SELECT client_name, period, criterion, count(*) AS n,
+  CASE WHEN criterion IN ('C1', 'C2', 'C4_late')
+       THEN array_to_string(list(report_id ORDER BY o1, o2, report_id)[1:3], ', ') ELSE '' END AS report_ids
+FROM cev GROUP BY client_name, period, criterion
+UNION ALL
+SELECT client_name, period, 'C4_nondeterministic', count(*), '' FROM (
+  SELECT client_name, period, source_data_hash FROM audit WHERE NOT late_correction
+  GROUP BY client_name, period, source_data_hash HAVING count(DISTINCT response_hash) > 1) GROUP BY client_name, period""")
+def q_clean_month_details(spark, sf):
+    audit, corr, *_ = ledger_inputs(spark, sf)
+    return CM.criterion_details(audit, corr)
+
 @query("rolling_eligibility", _LEDGER + """SELECT client_name,
   strftime(CAST(period || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m') AS anchor_month,
   CAST(clean_in_window AS BIGINT) AS clean_in_window, clean_in_window = 6 AND n = 6 AS eligible,

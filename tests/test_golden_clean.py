@@ -111,3 +111,18 @@ def test_log_roundtrip(spark, tmp_path):
     back = AU.read_log(spark, str(tmp_path / "audit"))
     assert [r["report_id"] for r in back.collect()] == ["r1"]
     assert rows(back)[0]["late_correction"] is False
+
+
+def test_criterion_details_name_first_three_in_log_order(spark):
+    entries = [_entry(f"r{i}", "2024-07", passed=False, gen=f"2024-08-0{9 - i}T10:00:00", src=f"h{i}") for i in range(5)]
+    entries += [_entry("x1", "2024-07", src="hx"), _entry("x2", "2024-07", src="hx", resp="other", seq=1),
+                _entry("d1", "2024-07", drift=False, src="hd")]
+    a = spark.createDataFrame(entries, AUDIT_T)
+    c = spark.createDataFrame([("x1", "2024-08-02"), ("r4", "2024-08-01"), ("nope", "2024-08-01")],
+                              "report_id string, logged_at string")
+    got = {r["criterion"]: (r["n"], r["report_ids"]) for r in rows(CM.criterion_details(a, c))}
+    assert got["C1"] == (5, "r4, r3, r2")           # earliest generated first
+    assert got["C2"] == (2, "r4, x1")               # only corrections of delivered reports, by logged_at
+    assert got["C3"] == (1, "")
+    assert got["C4_nondeterministic"] == (1, "")    # one source hash with two responses
+    assert set(got) == {"C1", "C2", "C3", "C4_nondeterministic"}
