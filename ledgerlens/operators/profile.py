@@ -41,11 +41,13 @@ def column_meta(df: DataFrame, table_name: str, key: str | None = None) -> list[
     return out
 
 
-def profile(tables: dict[str, DataFrame], group: str | None = None) -> DataFrame:
+def profile(tables: dict[str, DataFrame], group: str | None = None, samples: bool = True) -> DataFrame:
     """column_profile(table_name[, group], column, ord, dtype, is_numeric, is_datetime,
     row_count, cardinality, null_count, null_rate, samples).
 
     ``group`` (e.g. client) profiles each group of a table separately in the same job.
+    ``samples=False`` leaves out the samples column and its window (a drift
+    fingerprint needs only types and counts).
     """
     spark = next(iter(tables.values())).sparkSession
     longs, meta = None, []
@@ -61,20 +63,22 @@ def profile(tables: dict[str, DataFrame], group: str | None = None) -> DataFrame
     per_col = counts.groupBy(*g, "column_name").agg(
         F.sum("_n").alias("row_count"), F.count("value").alias("cardinality"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("_n"))), F.lit(0)).alias("null_count"))
-    w = Window.partitionBy(*g, "column_name").orderBy("value")
-    samples = (counts.where(F.col("value").isNotNull())
-               .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= SAMPLE_SIZE)
-               .groupBy(*g, "column_name").agg(F.array_sort(F.collect_list("value")).alias("samples")))
     meta_df = spark.createDataFrame(meta, "table_name STRING, column_name STRING, ord INT, dtype STRING, "
                                           "is_numeric BOOLEAN, is_datetime BOOLEAN")
-    prof = (per_col.join(samples, [*g, "column_name"], "left")
-            .join(broadcast_if_small(meta_df), ["table_name", "column_name"]))
+    prof = per_col
+    if samples:
+        w = Window.partitionBy(*g, "column_name").orderBy("value")
+        smp = (counts.where(F.col("value").isNotNull())
+               .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= SAMPLE_SIZE)
+               .groupBy(*g, "column_name").agg(F.array_sort(F.collect_list("value")).alias("samples")))
+        prof = prof.join(smp, [*g, "column_name"], "left")
+    prof = prof.join(broadcast_if_small(meta_df), ["table_name", "column_name"])
     return prof.select(*g, "column_name", "ord", "dtype", "is_numeric", "is_datetime",
                        F.col("row_count").cast("long").alias("row_count"),
                        F.col("cardinality").cast("long").alias("cardinality"),
                        F.col("null_count").cast("long").alias("null_count"),
                        (F.col("null_count") / F.col("row_count")).alias("null_rate"),
-                       F.coalesce(F.array_join("samples", "|"), F.lit("")).alias("samples"))
+                       *([F.coalesce(F.array_join("samples", "|"), F.lit("")).alias("samples")] if samples else []))
 
 
 def roles(prof: DataFrame) -> DataFrame:

@@ -642,8 +642,8 @@ LATERAL (SELECT * FROM (VALUES
    CAST(c.cardinality / p.cardinality AS DOUBLE))) v(code, severity, metric) WHERE code IS NOT NULL) e""")
 def q_schema_drift(spark, sf):
     li = table(spark, sf, "lineitem")
-    prev = P.profile({"lineitem": li})
-    cur = P.profile({"lineitem": _drift_current(li)})
+    prev = P.profile({"lineitem": li}, samples=False)
+    cur = P.profile({"lineitem": _drift_current(li)}, samples=False)
     return P.drift(prev, cur)
 
 
@@ -1348,8 +1348,8 @@ SELECT table_name, bool_or(severity = 'block') AS has_blockers, count(severity)
   count(severity) = 0 AS is_clean FROM ev GROUP BY table_name""")
 def q_drift_report(spark, sf):
     li = table(spark, sf, "lineitem")
-    prev = P.profile({"lineitem": li}).checkpoint()
-    cur = P.profile({"lineitem": _drift_current(li)})
+    prev = P.profile({"lineitem": li}, samples=False).checkpoint()
+    cur = P.profile({"lineitem": _drift_current(li)}, samples=False)
     ev = P.drift(prev, cur)
     tables = prev.select("table_name").distinct()
     agg = ev.groupBy("table_name").agg(F.bool_or(F.col("severity") == "block").alias("has_blockers"),
