@@ -15,3 +15,10 @@ def test_single_file_scan_is_spread_on_its_key(spark):
 def test_enough_splits_means_no_shuffle(spark):
     wide = spark.range(0, 1000, numPartitions=4 * task_slots(spark.range(1)))
     assert spread(wide, "id") is wide
+
+
+def test_fact_joins_line_items_with_a_sort_merge_join(spark):
+    from ledgerlens.sources.testdata import sales_fact
+    plan = sales_fact(spark, SF001, dims=False)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert "BuildLeft" not in plan      # the line items are never the broadcast side
