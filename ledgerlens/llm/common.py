@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,6 +36,11 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the session's shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """``df`` written once to the session's shared checkpoint folder and read from there.
 
@@ -44,5 +50,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def materialise_table(df: DataFrame) -> DataFrame:
+    """As ``materialise``, as a compressed Parquet table in the same folder: for rows that carry whole texts."""
+    to = scratch_path(df.sparkSession, "table")
+    df.write.parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
 def text_or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

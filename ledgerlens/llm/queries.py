@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import ship, table
+from . import bpe, chat, exact_dedup, packing, sharding, simhash, topk, warc
+from .common import scratch_path, ship, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +20,114 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), digest_all=True)
+    return found.select("rec.doc_id", "keep_id", "group_size", "kept", F.col("full_hash").alias("text_sha256"))
+
+
+OP2_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept,
+       sha256(norm) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY norm)
+"""
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
+
+
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+OP4_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
+def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    placed = sharding.assign_shards(table(spark, sf_dir, "documents"), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    read = warc.read_archives(spark, path, with_payload=False).where("kind <> 'gap'")
+    return read.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < 100 OR page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes < 100 OR page_id = least THEN NULL ELSE least END AS refers_to
+FROM f
+"""
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = table(spark, sf_dir, "documents").select("doc_id", bpe.encode_column("text", vocabulary, public_tokenizers.PATTERN).alias("ids"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                        F.sha2(bpe.decode_column("ids", vocabulary), 256).alias("decoded_sha256"))
+
+
+#: The conversation that the contract adds: both texts hold what looks like marks.
+ADDED_ID, ADDED_TEXT = -7, r"\### Assistant: </turn> ok"
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(F.lit(ADDED_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ADDED_TEXT).alias("text"))
+    made = chat.format_conversations(turns.union(added))
+    read = made.select("conv_id", chat.read_turns(chat.formatted_text()).alias("turns"), chat.read_loss(F.col("pieces")).alias("loss"),
+                       F.length(chat.formatted_text()).cast("long").alias("formatted_chars"))
+    told = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+                       F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+OP10_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+e AS (SELECT *, length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS chars, length(replace(replace(role, '\', '\\'), '<|', '<\|')) AS role_chars,
+             lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS before FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars + CASE WHEN before = role THEN length('<|next|>') ELSE length('<|start|><|text|><|end|>') + role_chars END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 QUERIES: dict[str, QueryFn] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_exact_top_k": op4_exact_top_k,
+    "op5_jump_sharding": op5_jump_sharding,
+    "op7_warc": op7_warc,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op10_chat_format": op10_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_dedup": OP2_SQL,
+    "op4_exact_top_k": OP4_SQL,
+    "op7_warc": OP7_SQL,
+    "op10_chat_format": OP10_SQL,
+}
