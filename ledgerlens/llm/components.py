@@ -1,8 +1,9 @@
 """Connected components of an undirected graph given as pairs, by alternating large and small stars.
 
 Each round lowers every node's neighbours to the smallest one seen. Rounds grow with the logarithm of
-the longest path. Nothing is collected: the driver reads one count and one checksum a round. The joins
-are plain equi-joins whose one side has a row for each node, so that the engine can split a hub's rows.
+the longest path. Nothing is collected: the driver reads one count and one checksum a round. Each join meets
+a checkpointed table with one row for each node, so that both sides are plain exchanges and the engine can
+split a hub's rows.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ def _large_star(pairs: DataFrame) -> DataFrame:
     """Each neighbour above a node gets the smallest of the node and its neighbours."""
     both = pairs.select(F.col("child").alias("n"), F.col("parent").alias("m")).union(
         pairs.select(F.col("parent").alias("n"), F.col("child").alias("m")))
-    least = both.groupBy("n").agg(F.min("m").alias("least"))
+    least = materialise(both.groupBy("n").agg(F.min("m").alias("least")))
     return (both.join(least, "n").where("m > n")
             .select(F.col("m").alias("child"), F.least("n", "least").alias("parent")).distinct())
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
     """Each node and all its smaller neighbours get the smallest of these."""
-    least = pairs.groupBy("child").agg(F.min("parent").alias("least"))
+    least = materialise(pairs.groupBy("child").agg(F.min("parent").alias("least")))
     moved = (pairs.join(least, "child").where("parent > least")
              .select(F.col("parent").alias("child"), F.col("least").alias("parent")))
     return least.select("child", F.col("least").alias("parent")).union(moved).distinct()

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import materialise, materialise_table, text_or_empty
 from .tokens import PieceEncoder
 
-#: Items in a group; texts that are encoded at a time; texts in an Arrow batch that a worker turns into rows at a time.
-GROUP, TEXTS_AT_ONCE = 32_768, 256
+#: Items in a group; texts of an Arrow batch that are turned into rows at a time; pieces that are encoded in one line.
+GROUP, TEXTS_AT_ONCE, PIECES_AT_ONCE = 32_768, 256, 1024
 
 
 # ---------------------------------------------------------------- tokens
@@ -38,8 +38,27 @@ def _encoder(path: str) -> PieceEncoder:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
+    sizes = np.zeros(tokenizer.get_vocab_size(), np.int64)  # bytes of each token: the vocabulary writes a byte as a character
+    for token, i in tokenizer.get_vocab().items():
+        sizes[i] = len(token)
+
+    def ids(text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     def encode(pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        """Pieces that begin with white space and end without are encoded in lines of many, where no token joins two."""
+        out: list[bytes] = [b""] * len(pieces)
+        joined = [i for i, p in enumerate(pieces) if p and p[0] in " \n" and not p[-1].isspace()]
+        for i in set(range(len(pieces))).difference(joined):
+            out[i] = ids(pieces[i]).tobytes()
+        for at in range(0, len(joined), PIECES_AT_ONCE):
+            line = [pieces[i] for i in joined[at:at + PIECES_AT_ONCE]]
+            found = ids("".join(line))
+            ends = np.searchsorted(np.cumsum(sizes[found]), np.cumsum([len(p.encode()) for p in line])) + 1
+            data, start = found.tobytes(), 0
+            for i, end in zip(joined[at:at + PIECES_AT_ONCE], ends.tolist()):
+                out[i], start = data[4 * start:4 * end], end
+        return out
 
     return PieceEncoder(encode)
 
@@ -137,8 +156,9 @@ def _pack(capacity: int, round_no: int):
 
 # ---------------------------------------------------------------- all groups
 
-def _regroup(rows: DataFrame, by: str, n: int) -> DataFrame:
-    return rows.withColumn("group", F.pmod(F.xxhash64(by), F.lit(max(1, -(-n // GROUP)))))
+def _dealt(rows: DataFrame, n: int, round_no: int) -> DataFrame:
+    """Whole sequences are dealt to groups, each round anew."""
+    return rows.withColumn("group", F.pmod(F.xxhash64("sequence_id", F.lit(round_no)), F.lit(max(1, -(-n // GROUP)))))
 
 
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
@@ -157,18 +177,18 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     now = rows.where(F.col("length") < capacity).withColumns({"offset": F.lit(0).cast("long"), "done": F.lit(False), "certified": F.lit(False)})
     n, held, round_no = now.count(), None, 0
     while n:
-        grouped = _regroup(now, "sequence_id", n)
+        grouped = _dealt(now, n, round_no)
         # the rows are few words each: ids and lengths, no tokens
         packed = materialise(grouped.groupBy("group").applyInArrow(_pack(capacity, round_no), grouped.schema).drop("group"))
         finished.append(packed.where("done").select("rec", "sequence_id", "offset", "certified"))
         now = packed.where("not done")
         groups = max(1, -(-n // GROUP))
-        left = now.agg(F.count("*").alias("n"), F.count_distinct("sequence_id").alias("bins")).first()
-        saved = held is None or left["bins"] < held
-        if groups == 1 or not saved:
+        after = packed.agg(F.count_distinct("sequence_id").alias("all"), F.count_distinct(F.when(~F.col("done"), F.col("sequence_id"))).alias("open"),
+                           F.count_if(~F.col("done")).alias("n")).first()
+        if groups == 1 or (held is not None and after["all"] >= held):
             finished.append(now.select("rec", "sequence_id", "offset", "certified"))
             break
-        n, held, round_no = left["n"], left["bins"], round_no + 1
+        n, held, round_no = after["n"], after["open"], round_no + 1
     out = finished[0]
     for part in finished[1:]:
         out = out.union(part)

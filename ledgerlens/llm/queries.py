@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, packing, sharding, simhash, topk, warc
+from . import bpe, chat, exact_dedup, langid, packing, sharding, simhash, topk, warc
 from .common import scratch_path, ship, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(bpe.decode_column("ids", vocabulary), 256).alias("decoded_sha256"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out)
+    dictionaries = langid.learn(docs.where("not held_out"))
+    return docs.select("doc_id", "held_out", langid.predict_column("text", dictionaries).alias("p")).select("doc_id", "held_out", "p.*")
+
+
 #: The conversation that the contract adds: both texts hold what looks like marks.
 ADDED_ID, ADDED_TEXT = -7, r"\### Assistant: </turn> ok"
 
@@ -122,6 +130,7 @@ QUERIES: dict[str, QueryFn] = {
     "op5_jump_sharding": op5_jump_sharding,
     "op7_warc": op7_warc,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
 }
 

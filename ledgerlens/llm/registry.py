@@ -1,17 +1,18 @@
-"""What ``__spark_entry__`` registers from this subpackage."""
+"""What ``__spark_entry__`` registers from this subpackage, and the pipeline at the repository top."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .queries import ORACLE_SQL, QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE_SQL
+    return ORACLE_SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import materialise, materialise_table, text_or_empty
 from .components import connected_components
 
 HALF = 32
@@ -207,6 +207,20 @@ def fingerprint_links(fingerprints: DataFrame, distance: int = 3) -> DataFrame:
             .mapInArrow(_matcher(distance), "a long, b long").distinct())
 
 
+def _with_first(prints: DataFrame, distance: int) -> DataFrame:
+    """``prints`` (id, fp, row) with ``first``: (none, id, row) of the first row of its component, null ids last.
+
+    The answers, one for each fingerprint, are checkpointed: both sides of the join are then plain exchanges, and
+    the engine can split the rows of a fingerprint that very many documents have.
+    """
+    nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("own"))
+    roots = connected_components(fingerprint_links(prints, distance)).withColumnRenamed("node", "fp")
+    first = materialise(roots.join(nodes, "fp").groupBy("root").agg(F.min("own").alias("first")))
+    linked = roots.join(first, "root").select("fp", "first")
+    answers = materialise(nodes.join(linked, "fp", "left").select("fp", F.coalesce("first", "own").alias("first")))
+    return prints.join(answers, "fp")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
     """One row for each row of ``docs``: its id, ``fp`` (long) and ``component_id``.
 
@@ -215,13 +229,20 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with a null id keep their row and take the component's smallest id (null if it has none). Repeated rows
     are kept. Other columns, whatever their names, are not read. An empty table gives no rows.
     """
-    prints = materialise(docs.select(F.col(id_col).alias("id"), fingerprint_column(text_col, shingle).alias("fp")))
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = connected_components(fingerprint_links(prints, distance)).withColumnRenamed("node", "fp")
-    smallest = (roots.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("component")))
-    linked = roots.join(smallest, "root").select("fp", "component")
-    answers = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return prints.join(answers, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    prints = materialise(docs.select(F.col(id_col).alias("id"), fingerprint_column(text_col, shingle).alias("fp"), F.monotonically_increasing_id().alias("row")))
+    return _with_first(prints, distance).select(F.col("id").alias(id_col), "fp", F.col("first.id").alias("component_id"))
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
+    """The rows of ``docs`` without near copies, with its columns: of each component the row with the smallest id.
+
+    Exactly one row stays, also where the id repeats (any of these) or all ids are null. Rows and fingerprints are written
+    once; then only ids and fingerprints move, and the rows that go are taken out by row number.
+    """
+    held = materialise_table(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("rec"), docs[id_col].alias("id"),
+                                         fingerprint_column(docs[text_col], shingle).alias("fp"), F.monotonically_increasing_id().alias("row")))
+    dropped = _with_first(held.select("id", "fp", "row"), distance).where("row <> first.row").select("row")
+    return held.join(materialise(dropped), "row", "left_anti").select("rec.*")
 
 
 def fingerprint_hex(fp: str | Column = "fp") -> Column:

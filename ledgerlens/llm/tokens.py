@@ -13,10 +13,24 @@ from collections.abc import Callable, Iterator
 #: Cuts only before a space or line feed, which are white space by any definition; other white space stays inside.
 _PIECES = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+")
 _CUT = re.compile(r"\S(?=[ \n])")
+_MARK = "\0"
+#: Texts that are cut by ``_PIECES``; and those whose commas and full stops may belong to a longer run of such signs.
+_UNUSUAL = re.compile(r"\s\s|\A\s|\s\Z|\0")
+_SIGNS = re.compile(r"(?:\W|_)[,.]")
 #: Characters cut up at a time, pieces that a worker remembers, and characters of a remembered piece.
 TEXT_BLOCK, REMEMBERED, LONGEST = 1 << 20, 500_000, 48
 
 
+def pieces(text: str) -> list[str]:
+    """The text cut where no token crosses: before white space, and around a comma or full stop that ends a word."""
+    if _UNUSUAL.search(text):
+        return _PIECES.findall(text)
+    marked = text.replace(" ", _MARK + " ").replace("\n", _MARK + "\n")
+    if not _SIGNS.search(text):
+        marked = marked.replace("," + _MARK, f"{_MARK},{_MARK}").replace("." + _MARK, f"{_MARK}.{_MARK}")
+    return marked.split(_MARK)
+
+
 def blocks(text: str) -> Iterator[str]:
     """The text in parts of about TEXT_BLOCK characters, cut where no token crosses."""
     at = 0
@@ -32,11 +46,11 @@ class PieceEncoder:
     def __init__(self, encode: Callable[[list[str]], list[bytes]]):
         self._encode, self._known = encode, {}
 
-    def _learn(self, pieces: list[str]) -> list[str]:
+    def _learn(self, cut: list[list[str]]) -> list[str]:
         """Make all of these known; returns those to forget again."""
         if len(self._known) > REMEMBERED:
             self._known.clear()
-        new = list(set(pieces).difference(self._known))
+        new = list(set().union(*cut).difference(self._known))
         self._known.update(zip(new, self._encode(new)))
         return [p for p in new if len(p) > LONGEST]
 
@@ -56,9 +70,9 @@ class PieceEncoder:
         return out + self._small(held)
 
     def _small(self, texts: list[str]) -> list[bytes]:
-        cut = [_PIECES.findall(t) for t in texts]
-        forget = self._learn([p for pieces in cut for p in pieces])
-        out = [b"".join(map(self._known.__getitem__, pieces)) for pieces in cut]
+        cut = [pieces(t) for t in texts]
+        forget = self._learn(cut)
+        out = [b"".join(map(self._known.__getitem__, c)) for c in cut]
         for p in forget:
             del self._known[p]
         return out

@@ -100,7 +100,18 @@ def test_components_with_nulls_ties_repeats_and_clashing_columns(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_representatives_with_repeated_and_null_ids(spark):
+    base = " ".join(f"w{i}" for i in range(400))
+    rows = [(7, base, 1), (3, base, 2), (3, base, 3), (9, base + " tail", 4), (None, "alone here now", 5), (None, "alone here now", 6), (3, "other words of that id", 7), (1, None, 8), (2, "", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp int").withColumns({"row": F.lit("r"), "rec": F.lit(0), "id": F.lit(1)})
+    kept = S.keep_representatives(df)
+    assert kept.columns == df.columns
+    got = sorted(r.fp for r in kept.collect())
+    assert len(got) == 4 and set(got) - {2, 3, 5, 6} == {7, 8}
+
+
 def test_empty_table(spark):
+    assert S.keep_representatives(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert S.simhash_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
