@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, langid, packing, sharding, simhash, topk, warc
+from . import bpe, chat, exact_dedup, langid, licences, packing, sharding, simhash, topk, warc
 from .common import scratch_path, ship, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,11 @@ def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return licences.scan_licences(table(spark, sf_dir, "documents")).withColumn("sentences", F.concat_ws(",", "sentences"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     path = scratch_path(spark, "warc")
@@ -128,6 +133,7 @@ QUERIES: dict[str, QueryFn] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_jump_sharding": op5_jump_sharding,
+    "op6_licence_scan": op6_licence_scan,
     "op7_warc": op7_warc,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language_id": op9_language_id,
