@@ -11,6 +11,7 @@ RATIO_NAME_PATTERN = r"(?i)(%|pct|percent|rate|ratio|margin|share|coverage|conve
 ROUND_VALUES = (0.0, 100.0, 1000.0, 10000.0)
 MONEY_WORDS = ("revenue", "sales", "cost", "margin", "profit", "amount")
 PCT_WORDS = ("pct", "rate")
+SLUG_BREAKS = r"[\s\-/\\]+"
 
 
 def direction_from_pct(pct: Column, flat_band: float = FLAT_BAND_PCT) -> Column:
@@ -56,13 +57,10 @@ def arrow(pct: Column, flat_band: float = FLAT_BAND_PCT) -> Column:
 
 
 def slug(text: Column) -> Column:
-    """Column-name slug: trim, lower, runs of space/-/slash to '_', drop non-word, squeeze '_'; '' -> 'col'."""
-    s = F.lower(F.trim(text))
-    s = F.regexp_replace(s, r"[\s\-/\\]+", "_")
-    s = F.regexp_replace(s, r"(?U)[^\w]", "")
-    s = F.regexp_replace(s, r"_+", "_")
-    s = F.regexp_replace(s, r"^_+|_+$", "")
-    return F.when(s == "", F.lit("col")).otherwise(s)
+    """Column-name slug: lower-case words of the text, split at space, ``-``, ``/`` and ``\\``, joined by ``_``; '' -> 'col'."""
+    words = F.transform(F.split(F.lower(text), SLUG_BREAKS), lambda w: F.regexp_replace(w, r"(?U)\W", ""))
+    words = F.filter(F.split(F.array_join(words, "_"), "_"), lambda w: w != "")
+    return F.coalesce(F.nullif(F.array_join(words, "_"), F.lit("")), F.lit("col"))
 
 
 def client_slug(name: Column) -> Column:
