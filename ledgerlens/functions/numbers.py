@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# White space by Unicode, spelled out: the engine's own \s is ASCII only.
+SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
 # Fixed pattern (parity with the reference): optional currency, 1-3 digits with
 # comma groups and decimals, optional scale letter, optional percent sign.
-NUMBER_PATTERN = r"([€$£])?(-?\d{1,3}(?:,\d{3})*(?:\.\d+)?)([kKmMbB])?\s*(%)?"
+NUMBER_PATTERN = r"([€$£])?(-?\d{1,3}(?:,\d{3})*(?:\.\d+)?)([kKmMbB])?" + SPACE + r"*(%)?"
 # strict=True: plain digit runs and a word boundary after the scale letter.
-STRICT_PATTERN = r"([€$£])?(-?\d+(?:,\d{3})*(?:\.\d+)?)(?:([kKmMbB])\b)?\s*(%)?"
+STRICT_PATTERN = r"([€$£])?(-?\d+(?:,\d{3})*(?:\.\d+)?)(?:([kKmMbB])\b)?" + SPACE + r"*(%)?"
 
 
 def _scale(letter: Column) -> Column:

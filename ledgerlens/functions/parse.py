@@ -2,8 +2,10 @@
 
 Code fences are stripped, the outermost ``{...}`` is taken when the text has a
 preamble, and findings given in the legacy string form become findings with
-an empty KPI id (the gate then reports them as malformed). Mixed lists are
-read through the VARIANT type.
+an empty KPI id (the gate then reports them as malformed). Findings whose
+magnitude is no number are skipped. A root cause given as plain text has no
+citation: it becomes one unsupported factor. Mixed lists are read through the
+VARIANT type.
 """
 
 from __future__ import annotations
@@ -21,10 +23,18 @@ def _get(v: Column, path: str, t: str = "string") -> Column:
 
 
 def parse_response(raw: Column) -> Column:
-    """STRUCT(headline, executive_summary, key_findings, rca) from a raw response text."""
+    """STRUCT(headline, executive_summary, key_findings, rca, risks, opportunities, recommended_actions, outlook)
+    from a raw response text."""
     t = F.trim(F.regexp_replace(raw, FENCE, ""))
     v = F.coalesce(F.try_parse_json(t), F.try_parse_json(F.regexp_extract(t, OBJECT, 0)))
 
+    def readable(x: Column) -> Column:
+        named = F.try_variant_get(x, "$.magnitude_pct", "variant").isNotNull()
+        return ~named | _get(x, "$.magnitude_pct", "double").isNotNull()
+
+    def texts(path: str) -> Column:
+        return F.coalesce(_get(v, path, "array<string>"), F.array().cast("array<string>"))
+
     def finding(x: Column) -> Column:
         is_obj = F.schema_of_variant(x).startswith("OBJECT")
         return F.when(is_obj, F.struct(
@@ -37,10 +47,15 @@ def parse_response(raw: Column) -> Column:
 
     kf = F.coalesce(_get(v, "$.key_findings", "array<variant>"), F.array().cast("array<variant>"))
     claims = F.coalesce(_get(v, "$.root_cause_analysis.claims", CLAIMS_T), F.array().cast(CLAIMS_T))
-    unsupported = F.coalesce(_get(v, "$.root_cause_analysis.unsupported_factors", "array<string>"),
-                             F.array().cast("array<string>"))
+    plain = F.when(_get(v, "$.root_cause_analysis.claims", "variant").isNull()
+                   & _get(v, "$.root_cause_analysis.unsupported_factors", "variant").isNull(),
+                   F.nullif(F.trim(_get(v, "$.root_cause_analysis")), F.lit("")))
+    no_object = ~F.coalesce(F.schema_of_variant(_get(v, "$.root_cause_analysis", "variant")).startswith("OBJECT"), F.lit(False))
+    unsupported = F.when(no_object & plain.isNotNull(), F.array(plain)).otherwise(texts("$.root_cause_analysis.unsupported_factors"))
     return F.struct(
         F.coalesce(_get(v, "$.headline"), F.lit("")).alias("headline"),
         F.when(v.isNull(), t).otherwise(F.coalesce(_get(v, "$.executive_summary"), F.lit(""))).alias("executive_summary"),
-        F.transform(kf, finding).alias("key_findings"),
-        F.struct(claims.alias("claims"), unsupported.alias("unsupported_factors")).alias("rca"))
+        F.transform(F.filter(kf, readable), finding).alias("key_findings"),
+        F.struct(claims.alias("claims"), unsupported.alias("unsupported_factors")).alias("rca"),
+        texts("$.risks").alias("risks"), texts("$.opportunities").alias("opportunities"),
+        texts("$.recommended_actions").alias("recommended_actions"), F.coalesce(_get(v, "$.outlook"), F.lit("")).alias("outlook"))

@@ -27,6 +27,9 @@ INJECTION_PATTERNS = [
     ("template_injection", r"\{\{[^}]+\}\}"),
     ("polite_override", r"(?i)\bplease\s+(disregard|ignore)\b"),
 ]
+# The engine's own \s is ASCII only; a no-break space must not hide an injection.
+SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
+INJECTION_PATTERNS = [(reason, pattern.replace(r"\s", SPACE)) for reason, pattern in INJECTION_PATTERNS]
 MAX_FIELD_LENGTH = 256
 TRUNCATION_MARKER = "[…TRUNCATED]"
 FORMAT_CHARS = r"\p{Cf}"
