@@ -29,11 +29,24 @@ def report_id(client: Column, period: Column, source_hash: Column, late_correcti
     return sha16(F.concat_ws("|", client, period, source_hash, flag))
 
 
+def row_text(cols: list[tuple[str, Column]]) -> Column:
+    """Names, null marks and values of a row as one text; no two different rows share it."""
+    def part(name: str, c: Column) -> Column:
+        v = c.cast("string")
+        return F.concat(F.lit(f"{name}="), F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("null")), F.lit(";"))
+
+    return F.concat(*[part(n, c) for n, c in cols])
+
+
 def content_hash(df: DataFrame, keys: list[str]) -> DataFrame:
     """Order-free content hash per key group: row hashes over name-sorted columns, combined by
-    count, sum and xor (all associative, so partial aggregation and any partitioning agree)."""
+    count, sum and xor (all associative, so partial aggregation and any partitioning agree).
+
+    A row's hash covers the columns' names, which of them are null, and their values: moved nulls or a
+    renamed column change it.
+    """
     cols = sorted(c for c in df.columns if c not in keys)
-    h = F.xxhash64(*[F.col(c) for c in cols])
+    h = F.conv(F.substring(F.md5(row_text([(c, F.col(c)) for c in cols])), 1, 15), 16, 10).cast("long")
     agg = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(h.cast("decimal(38,0)")).alias("_s"),
                                 F.bit_xor(h).alias("_x"))
     digest = F.concat_ws("|", F.col("_n").cast("string"), F.col("_s").cast("string"), F.col("_x").cast("string"))
@@ -75,17 +88,25 @@ def history(audit: DataFrame, client: str) -> DataFrame:
     return audit.where(F.col("client_name") == client).orderBy("generated_at", "seq")
 
 
-def supersedes_chain(spark: SparkSession, audit: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(report_id, root_id, depth): walk ``supersedes`` links back to the original (recursive CTE)."""
-    audit.select("report_id", "supersedes").distinct().createOrReplaceTempView("_audit_links")
-    return spark.sql(f"""
-        WITH RECURSIVE chain(report_id, cur, depth) AS (
-          SELECT report_id, report_id, 0 FROM _audit_links
-          UNION ALL
-          SELECT c.report_id, l.supersedes, c.depth + 1
-          FROM chain c JOIN _audit_links l ON l.report_id = c.cur
-          WHERE l.supersedes IS NOT NULL AND c.depth < {max_depth})
-        SELECT report_id, max_by(cur, depth) AS root_id, max(depth) AS depth FROM chain GROUP BY report_id""")
+def supersedes_chain(spark: SparkSession, audit: DataFrame) -> DataFrame:
+    """(report_id, root_id, depth, cyclic): the original that each report goes back to over ``supersedes`` links.
+
+    Pointer doubling: each step joins every report to the report that its pointer names and takes over that one's pointer,
+    so a chain of n links needs about log2(n) joins, whatever the data; each step is checkpointed. A link to a report that
+    isn't in the log ends there (that id is the root). Reports that lead into a cycle never reach a root: when the steps
+    exceed the number of reports they are what is left, and come out with ``cyclic``, no root and no depth.
+    """
+    links = audit.where("report_id is not null").groupBy("report_id").agg(F.max("supersedes").alias("to"))
+    now = links.select("report_id", F.coalesce("to", "report_id").alias("at"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("depth"),
+                       F.col("to").isNull().alias("done")).checkpoint()
+    n, reach = now.count(), 1
+    while now.where("not done").limit(1).count() and reach <= n:
+        step = now.select(F.col("report_id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ends"))
+        now = (now.where("done").unionByName(now.where("not done").join(step, "at", "left").select(
+            "report_id", F.coalesce("next", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+            F.coalesce("ends", F.lit(True)).alias("done")))).checkpoint()
+        reach *= 2
+    return now.select("report_id", F.when(F.col("done"), F.col("at")).alias("root_id"), F.when(F.col("done"), F.col("depth")).alias("depth"), (~F.col("done")).alias("cyclic"))
 
 
 def correction_severity(claimed: Column, actual: Column) -> Column:

@@ -20,8 +20,12 @@ def _has_code(code: str):
                     lambda f: f["code"] == code)
 
 
-def clean_months(audit: DataFrame, corrections: DataFrame) -> DataFrame:
-    """clean_month(client_name, period, delivered_reports, corrections_count, blocker_count, failed, is_clean)."""
+def clean_months(audit: DataFrame, corrections: DataFrame, until: str | None = None) -> DataFrame:
+    """clean_month(client_name, period, delivered_reports, corrections_count, blocker_count, failed, is_clean).
+
+    Months run from a client's first entry to its last, or to ``until`` (yyyy-MM) if that is later: months after the last
+    entry had no delivered report and are not clean.
+    """
     a = audit.withColumn("_delivered", F.coalesce(F.col("delivery"), F.lit("")).startswith("email:"))
     delivered_ids = a.where("_delivered").select("client_name", "period", "report_id").distinct()
     corr = (corrections.select("report_id").join(delivered_ids, "report_id")
@@ -36,7 +40,9 @@ def clean_months(audit: DataFrame, corrections: DataFrame) -> DataFrame:
         F.count_if("late_correction").alias("_late"),
         F.count_if(F.col("_delivered") & _has_code("GOLDEN_SUITE_UNSIGNED")).alias("_unsigned"),
         F.count_if(F.col("_delivered") & _has_code("FALLBACK_COMMENTARY")).alias("_fallback"))
-    bounds = a.groupBy("client_name").agg(F.min(period_start()).alias("_lo"), F.max(period_start()).alias("_hi"))
+    bounds = a.groupBy("client_name").agg(F.min(period_start()).alias("_lo"), F.max(period_start()).alias("_hi")).where("_lo IS NOT NULL")
+    if until is not None:
+        bounds = bounds.withColumn("_hi", F.greatest("_hi", F.to_date(F.lit(f"{until}-01"))))
     spine = bounds.select("client_name", F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 MONTH"))).alias("_m")) \
         .select("client_name", F.date_format("_m", "yyyy-MM").alias("period"))
     j = (spine.join(per, ["client_name", "period"], "left").join(corr, ["client_name", "period"], "left")
@@ -109,6 +115,13 @@ def rolling_eligibility(clean: DataFrame, months: int = WINDOW_MONTHS) -> DataFr
                     F.when(eligible, "Spot-Check").otherwise("Reviewed").alias("tier"))
 
 
+def eligibility_at(audit: DataFrame, corrections: DataFrame, anchor_month: str, months: int = WINDOW_MONTHS) -> DataFrame:
+    """Eligibility of every client at one anchor month (yyyy-MM): the ``months`` months before it must all be clean."""
+    y, m = map(int, anchor_month.split("-"))
+    last = f"{y - (m == 1):04d}-{(m - 2) % 12 + 1:02d}"
+    return rolling_eligibility(clean_months(audit, corrections, until=last), months).where(F.col("anchor_month") == anchor_month)
+
+
 def earliest_eligibility(clean: DataFrame, months: int = WINDOW_MONTHS) -> DataFrame:
     """Earliest month whose window ends clean: last dirty month + ``months`` (or first month + months - 1)."""
     g = clean.groupBy("client_name").agg(

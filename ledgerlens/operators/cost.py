@@ -25,11 +25,14 @@ def priced(calls: DataFrame) -> DataFrame:
 
 
 def by_step(costs: DataFrame) -> DataFrame:
-    """Month total and per-step totals per client (``GROUP BY ROLLUP(step)``; total row has step 'TOTAL')."""
-    r = costs.rollup("client_name", "period", "step").agg(
-        F.sum("usd").alias("usd"), F.sum("eur").alias("eur"), F.count(F.lit(1)).alias("calls"))
-    r = r.where(F.col("client_name").isNotNull() & F.col("period").isNotNull())
-    return r.select("client_name", "period", F.coalesce("step", F.lit("TOTAL")).alias("step"), "usd", "eur",
+    """Month total and per-step totals per client; the total row has step 'TOTAL'.
+
+    Calls without a step, client or period are groups of their own (NULL), told from the total by ``grouping``.
+    """
+    by = [F.col(c) for c in ("client_name", "period", "step")]
+    r = costs.groupingSets([by[:2], by], *by).agg(
+        F.grouping("step").alias("_total"), F.sum("usd").alias("usd"), F.sum("eur").alias("eur"), F.count(F.lit(1)).alias("calls"))
+    return r.select("client_name", "period", F.when(F.col("_total") == 1, F.lit("TOTAL")).otherwise(F.col("step")).alias("step"), "usd", "eur",
                     F.col("calls").cast("long").alias("calls"))
 
 

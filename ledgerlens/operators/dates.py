@@ -14,12 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .snapshot import period_start
+
 # Fixed values (parity with the reference).
 MAX_NULL_RATE = 0.05
 MAX_FUTURE_DAYS = 3
 MIN_PARSE_RATE = 0.5
 MIN_IN_PERIOD_SHARE = 0.8
-DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "d/M/yyyy", "d.M.yyyy", "d-M-yyyy")
+DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "d/M/yyyy", "d.M.yyyy", "d-M-yyyy",
+                "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSS][XXX]", "yyyy/M/d", "d/M/yy", "d.M.yy", "d-M-yy")
 
 
 def parse_date(c: Column) -> Column:
@@ -34,9 +37,10 @@ def _is_datetime(df: DataFrame, c: str) -> bool:
 def date_stats(df: DataFrame, candidates: Sequence[str], as_of: str, keys: Sequence[str] = ("client", "period"),
                parity_period_end: bool = True) -> DataFrame:
     """stats(keys, column_name, cand_ord, present, is_typed, rows, parsed, nonnull, distinct, future, in_period, min, max)."""
-    start = F.to_timestamp(F.concat(F.col("period"), F.lit("-01")))
-    end_incl = F.to_timestamp(F.last_day(start))                       # midnight of the last day (parity)
-    end_excl = F.to_timestamp(F.add_months(F.to_date(start), 1))
+    first = period_start()                                             # NULL if the period is no month
+    start = F.to_timestamp(first)
+    end_incl = F.to_timestamp(F.last_day(first))                       # midnight of the last day (parity)
+    end_excl = F.to_timestamp(F.add_months(first, 1))
     cutoff = F.lit(as_of).cast("timestamp") + F.expr(f"INTERVAL {MAX_FUTURE_DAYS} DAYS")
     aggs, structs = [F.count(F.lit(1)).alias("_rows")], []
     for i, c in enumerate(candidates):
@@ -79,6 +83,7 @@ def date_issues(stats: DataFrame, keys: Sequence[str] = ("client", "period"),
                                      metric.cast("double").alias("metric")))
 
     live = F.col("present") & ~not_date
+    is_month = period_start().isNotNull()
     after_null = live & ~all_null
     events = F.array(
         ev(~F.col("present"), "COLUMN_NOT_FOUND", "block", F.lit(None)),
@@ -87,8 +92,9 @@ def date_issues(stats: DataFrame, keys: Sequence[str] = ("client", "period"),
         ev(live & (null_rate > max_null_rate), "HIGH_NULL_RATE", "block", null_rate),
         ev(live & all_null, "ALL_NULL", "block", F.lit(None)),
         ev(after_null & (F.col("future") > 0), "FUTURE_DATES", "warn", F.col("future")),
-        ev(after_null & (F.col("in_period") == 0), "PERIOD_MISMATCH", "block", F.col("in_period")),
-        ev(after_null & (F.col("in_period") > 0) & (F.col("in_period") < rows * MIN_IN_PERIOD_SHARE),
+        ev(after_null & ~is_month, "INVALID_PERIOD", "block", F.lit(None)),
+        ev(after_null & is_month & (F.col("in_period") == 0), "PERIOD_MISMATCH", "block", F.col("in_period")),
+        ev(after_null & is_month & (F.col("in_period") > 0) & (F.col("in_period") < rows * MIN_IN_PERIOD_SHARE),
            "PARTIAL_PERIOD", "warn", F.col("in_period")),
         ev(after_null & (dups == 0), "ALL_DATES_UNIQUE", "warn", F.lit(None)))
     return stats.select(*keys, "column_name", "cand_ord", F.inline(F.filter(events, lambda e: e.isNotNull())))
@@ -107,10 +113,12 @@ def date_summary(stats: DataFrame, issues: DataFrame, keys: Sequence[str] = ("cl
 def pick_date_column(summary: DataFrame, keys: Sequence[str] = ("client", "period"),
                      explicit: str | None = None) -> DataFrame:
     """Explicit wins; exactly one passing -> it; several -> 'ambiguous' (DATE_AMBIGUITY); none -> fewest blockers."""
-    if explicit is not None:
-        return summary.where(F.col("column_name") == explicit).select(
-            *keys, F.col("column_name").alias("date_column"), F.lit("explicit").alias("status"),
-            F.col("passed").cast("int").cast("long").alias("n_passing"))
+    if explicit is not None:  # a column that a report lacks is said to be missing, not left out
+        named = summary.where(F.col("column_name") == explicit).select(*keys, F.col("column_name").alias("_c"), "passed")
+        return summary.select(*keys).distinct().join(named, list(keys), "left").select(
+            *keys, F.col("_c").alias("date_column"),
+            F.when(F.col("_c").isNull(), "explicit_not_found").otherwise("explicit").alias("status"),
+            F.coalesce(F.col("passed").cast("int"), F.lit(0)).cast("long").alias("n_passing"))
     w = Window.partitionBy(*keys).orderBy(F.col("passed").desc(), "n_blockers", "cand_ord")
     ranked = summary.withColumn("_r", F.row_number().over(w)) \
         .withColumn("n_passing", F.count_if("passed").over(Window.partitionBy(*keys)))

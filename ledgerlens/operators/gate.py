@@ -124,7 +124,7 @@ def findings_flags(commentary: DataFrame, delta: DataFrame, flat_band: float = 3
     dev = F.abs(F.col("magnitude_pct") - F.abs("pct"))
     magnitude = _flag(known.where((F.col("direction") != "flat") & (dev > MAGNITUDE_TOLERANCE_PP)), "findings",
                       F.lit("FINDING_MAGNITUDE_MISMATCH"), F.lit("block"), subj, dev)
-    empty = _flag(commentary.where(F.size("key_findings") == 0), "findings", F.lit("NO_FINDINGS"), F.lit("warn"),
+    empty = _flag(commentary.where(F.coalesce(F.size("key_findings"), F.lit(0)) <= 0), "findings", F.lit("NO_FINDINGS"), F.lit("warn"),
                   F.lit(""), F.lit(None))
     return malformed.unionByName(unknown).unionByName(direction).unionByName(magnitude).unionByName(empty)
 
@@ -181,13 +181,19 @@ def fallback_flags(commentary: DataFrame) -> DataFrame:
     return _flag(c, "fallback", F.lit("FALLBACK_COMMENTARY"), F.lit("block"), F.lit(""), F.lit(None))
 
 
+def missing_commentary_flags(reports: DataFrame, commentary: DataFrame) -> DataFrame:
+    """NO_COMMENTARY (block) for a report that has no commentary row: it must not pass for want of anything to check."""
+    bare = reports.select("client", "period").distinct().join(commentary.select("client", "period"), ["client", "period"], "left_anti")
+    return _flag(bare, "commentary", F.lit("NO_COMMENTARY"), F.lit("block"), F.lit(""), F.lit(None))
+
+
 # ---------------------------------------------------------------- whole gate
 
 def run_gate(pair: DataFrame, delta: DataFrame, commentary: DataFrame, defaults: DataFrame,
              threshold: DataFrame | None = None, overrides: DataFrame | None = None,
              static_fallback: float = STATIC_FALLBACK_PCT) -> DataFrame:
-    """Union of all checks, in the reference's order."""
-    parts = [row_count_flags(pair), period_length_flags(pair), delta_flags(delta, threshold, static_fallback),
+    """Union of all checks, in the reference's order, and of reports that have no commentary at all."""
+    parts = [missing_commentary_flags(delta, commentary), row_count_flags(pair), period_length_flags(pair), delta_flags(delta, threshold, static_fallback),
              findings_flags(commentary, delta), leak_flags(commentary, delta, defaults, overrides),
              number_flags(commentary, delta), citation_flags(commentary),
              direction_conflict_flags(commentary, delta), round_number_flags(delta), fallback_flags(commentary)]

@@ -1,7 +1,7 @@
 """Golden values: expected measure values with tolerances, two-person signoff, comparison.
 
 Suites are tables (``golden_value``, ``golden_signoff``); actual values come
-from the KPI jobs. Comparison is a left join on (client, measure) — a missing
+from the KPI jobs. Comparison is a left join on (client, period, measure) — a missing
 actual is a failed row with an error, an unsigned suite produces
 ``GOLDEN_SUITE_UNSIGNED`` rows instead of results.
 """
@@ -17,6 +17,10 @@ from .joins import broadcast_if_small
 # Fixed values (parity with the reference).
 TOLERANCE_PCT = 0.1
 TOLERANCE_ABS_RATIO_PP = 0.05
+VALUE_SCHEMA = ("measure_name STRING, period STRING, filter_context STRING, dax_filter STRING, expected_value DOUBLE, "
+                "tolerance_pct DOUBLE, tolerance_abs DOUBLE, notes STRING, client STRING")
+SIGNOFF_SCHEMA = ("seeded_by STRING, seeded_at STRING, verified_by STRING, verified_at STRING, client_signoff_email STRING, "
+                  "client_signoff_at STRING, client STRING")
 UNSIGNED_CODE = "GOLDEN_SUITE_UNSIGNED"
 MISSING_ERROR = "Measure not found in actuals — not deployed or name mismatch"
 
@@ -25,6 +29,11 @@ def _blank(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit("")) == ""
 
 
+def _period_of(*tables: DataFrame) -> list[str]:
+    """The period column, if all tables have it: suites and actuals of one undated set of values go without."""
+    return ["period"] if all("period" in t.columns for t in tables) else []
+
+
 def signoff_status(signoff: DataFrame) -> DataFrame:
     """(client, is_complete, missing): both analysts set and different, client e-mail set."""
     missing = F.array_compact(F.array(
@@ -39,12 +48,16 @@ def signoff_status(signoff: DataFrame) -> DataFrame:
 
 
 def compare(values: DataFrame, actuals: DataFrame, signoff: DataFrame, allow_unsigned: bool = False) -> DataFrame:
-    """golden_result(client, measure_name, expected, actual, passed, deviation_pct, error)."""
+    """golden_result(client, period, measure_name, expected, actual, passed, deviation_pct, error).
+
+    A suite is seeded for a period; its values are held against that period's actuals only.
+    """
     st = signoff_status(signoff)
     v = values.join(broadcast_if_small(st), "client", "left") \
         .withColumn("is_complete", F.coalesce("is_complete", F.lit(False)))
-    a = actuals.select("client", "measure_name", F.col("value").alias("actual"))
-    j = v.join(a, ["client", "measure_name"], "left")
+    period = _period_of(values, actuals)
+    a = actuals.select("client", *period, "measure_name", F.col("value").alias("actual"))
+    j = v.join(a, ["client", *period, "measure_name"], "left")
     exp, act = F.col("expected_value"), F.col("actual")
     diff = F.abs(act - exp)
     has_abs = F.col("tolerance_abs").isNotNull()
@@ -58,7 +71,7 @@ def compare(values: DataFrame, actuals: DataFrame, signoff: DataFrame, allow_uns
     error = F.when(act.isNull(), F.lit(MISSING_ERROR)).otherwise(F.lit(""))
     gate = F.col("is_complete") | F.lit(allow_unsigned)
     return j.select(
-        "client", "measure_name", F.col("expected_value").alias("expected"),
+        "client", *period, "measure_name", F.col("expected_value").alias("expected"),
         F.when(gate, act).alias("actual"),
         F.when(gate, passed).otherwise(F.lit(False)).alias("passed"),
         F.when(gate, deviation).alias("deviation_pct"),
@@ -74,7 +87,7 @@ def bootstrap(actuals: DataFrame, tolerance_pct: float = TOLERANCE_PCT) -> DataF
     """Seed a suite from trusted actuals: ratio-like names get an absolute 0.05 pp band, others 0.1 %."""
     ratio = is_ratio_name(F.col("measure_name"))
     return actuals.select(
-        "client", "measure_name", F.lit("All data, no filter").alias("filter_context"), F.lit("").alias("dax_filter"),
+        "client", *_period_of(actuals), "measure_name", F.lit("All data, no filter").alias("filter_context"), F.lit("").alias("dax_filter"),
         F.col("value").alias("expected_value"),
         F.when(ratio, F.lit(None).cast("double")).otherwise(F.lit(tolerance_pct)).alias("tolerance_pct"),
         F.when(ratio, F.lit(TOLERANCE_ABS_RATIO_PP)).otherwise(F.lit(None).cast("double")).alias("tolerance_abs"),
@@ -90,15 +103,11 @@ def analyst_suites(signoff: DataFrame, analyst: str, left_on: str | None = None)
 
 
 def save_suite(values: DataFrame, signoff: DataFrame, path: str) -> None:
-    """A suite is two tables (values, signoff), written as JSON per client."""
+    """A suite is two tables (values, signoff) with the columns of VALUE_SCHEMA and SIGNOFF_SCHEMA, written as JSON per client."""
     values.write.mode("overwrite").partitionBy("client").json(f"{path}/values")
     signoff.write.mode("overwrite").partitionBy("client").json(f"{path}/signoff")
 
 
 def load_suite(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    values = spark.read.schema(
-        "measure_name STRING, period STRING, expected_value DOUBLE, tolerance_pct DOUBLE, tolerance_abs DOUBLE, "
-        "client STRING").json(f"{path}/values")
-    signoff = spark.read.schema(
-        "seeded_by STRING, verified_by STRING, client_signoff_email STRING, client STRING").json(f"{path}/signoff")
-    return values, signoff
+    """Both tables as they were saved; columns that a suite does not have are NULL."""
+    return spark.read.schema(VALUE_SCHEMA).json(f"{path}/values"), spark.read.schema(SIGNOFF_SCHEMA).json(f"{path}/signoff")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 # Sides below this estimate are shipped to every executor; anything larger is
 # left to the planner (sort-merge / shuffled hash, AQE may still convert at
-# runtime from real shuffle statistics).
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+# runtime from real shuffle statistics). The limit is the engine's own default:
+# estimates are compressed file bytes, and a built side may be several times larger.
+BROADCAST_LIMIT_BYTES = 10 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int:

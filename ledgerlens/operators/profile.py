@@ -72,12 +72,15 @@ def profile(tables: dict[str, DataFrame], group: str | None = None, samples: boo
                .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= SAMPLE_SIZE)
                .groupBy(*g, "column_name").agg(F.array_sort(F.collect_list("value")).alias("samples")))
         prof = prof.join(smp, [*g, "column_name"], "left")
-    prof = prof.join(broadcast_if_small(meta_df), ["table_name", "column_name"])
+    if group:
+        prof = prof.join(broadcast_if_small(meta_df), ["table_name", "column_name"])
+    else:  # an empty table has columns too, with no row: it is not a table whose columns are missing
+        prof = meta_df.join(prof, ["table_name", "column_name"], "left").na.fill(0, ["row_count", "cardinality", "null_count"])
     return prof.select(*g, "column_name", "ord", "dtype", "is_numeric", "is_datetime",
                        F.col("row_count").cast("long").alias("row_count"),
                        F.col("cardinality").cast("long").alias("cardinality"),
                        F.col("null_count").cast("long").alias("null_count"),
-                       (F.col("null_count") / F.col("row_count")).alias("null_rate"),
+                       F.when(F.col("row_count") > 0, F.col("null_count") / F.col("row_count")).otherwise(F.lit(0.0)).alias("null_rate"),
                        *([F.coalesce(F.array_join("samples", "|"), F.lit("")).alias("samples")] if samples else []))
 
 
@@ -184,9 +187,13 @@ def drift(previous: DataFrame, current: DataFrame, key: Sequence[str] = ("table_
     return out.select(*k, "column_name", "code", "severity", "metric")
 
 
-def drift_report(events: DataFrame, key: Sequence[str] = ("table_name",)) -> DataFrame:
-    return events.groupBy(*key).agg(F.bool_or(F.col("severity") == "block").alias("has_blockers"),
-                                    (F.count(F.lit(1)) == 0).alias("is_clean"))
+def drift_report(events: DataFrame, tables: DataFrame, key: Sequence[str] = ("table_name",)) -> DataFrame:
+    """Per table of ``tables``: whether any event blocks, how many events there are, and whether there is none."""
+    k = list(key)
+    n = events.groupBy(*k).agg(F.bool_or(F.col("severity") == "block").alias("has_blockers"), F.count(F.lit(1)).alias("events"))
+    j = tables.select(*k).distinct().join(n, k, "left")
+    return j.select(*k, F.coalesce("has_blockers", F.lit(False)).alias("has_blockers"), F.coalesce("events", F.lit(0)).cast("long").alias("events"),
+                    (F.coalesce("events", F.lit(0)) == 0).alias("is_clean"))
 
 
 # ---------------------------------------------------------------- dataset schema export

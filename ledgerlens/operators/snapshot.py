@@ -23,8 +23,15 @@ _DAY_MICROS = 86_400_000_000
 
 
 def period_start(col: str = "period"):
-    """First day of the month of a ``yyyy-MM`` period string."""
-    return F.to_date(F.concat(F.col(col), F.lit("-01")))
+    """First day of the month of a ``yyyy-MM`` period string; NULL if the text is no month (never raises)."""
+    return F.try_to_date(F.concat(F.col(col), F.lit("-01")), "yyyy-MM-dd")
+
+
+def invalid_periods(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """INVALID_PERIOD (block) for every report whose period is no month: one bad file name stops no other report."""
+    return (df.select(*keys).distinct().where(period_start().isNull())
+            .select(*keys, F.lit("INVALID_PERIOD").alias("code"), F.lit("block").alias("severity"),
+                    F.concat(F.lit("Period '"), F.coalesce("period", F.lit("")), F.lit("' is not a month (yyyy-MM).")).alias("message")))
 
 
 def period_aggregate(fact: DataFrame, measures: Sequence[str], date_col: str | None,

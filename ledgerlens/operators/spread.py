@@ -1,16 +1,10 @@
-"""Spread CPU-heavy per-row work over the cluster when the input has too few splits.
+"""Spread CPU-heavy per-row work over the cluster.
 
-A scan yields one task per file split, and a parquet row group cannot be split:
-one large single-row-group file is read by one task, and everything fused into
-that stage (regex chains, rendering, parsing, unpivots) runs single-threaded.
-``spread`` hash-partitions such an input on its row key — no local sort, unlike
-a round-robin ``repartition(n)`` — so the heavy projection that follows runs in
-parallel. When the scan already has at least as many splits as the session has
-task slots (the normal case for a directory of many files), it returns the
-input unchanged and adds no shuffle.
-
-Do not use it in front of a shuffle join or aggregate: those redistribute the
-rows anyway, and the extra exchange only costs.
+A scan yields one task per file split, and a parquet row group cannot be split: a large single-row-group file is
+read by one task, and everything fused into that stage (regex chains, rendering, parsing) runs single-threaded. ``spread``
+hash-partitions the input on its row key into ``spark.sql.shuffle.partitions`` partitions. It does so always, at any size
+and file layout, so that the plan that is tested is the plan that runs on a cluster; the work behind it costs several
+times the exchange. Do not use it in front of a shuffle join or aggregate: those deal the rows out anyway.
 """
 
 from __future__ import annotations
@@ -18,21 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def input_splits(df: DataFrame) -> int:
-    """Number of partitions the plan of ``df`` starts with (planning only, no job)."""
-    try:
-        return int(df._jdf.rdd().getNumPartitions())
-    except Exception:  # pragma: no cover - e.g. Spark Connect has no _jdf
-        return 1 << 30
-
-
-def task_slots(df: DataFrame) -> int:
-    return int(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` hash-partitioned on ``keys`` over 2x the task slots, if it has fewer splits than slots."""
-    slots = task_slots(df)
-    if input_splits(df) >= slots:
-        return df
-    return df.repartition(2 * slots, *keys)
+    """``df`` hash-partitioned on ``keys`` over the session's number of shuffle partitions."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +47,27 @@ def keyed_upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str],
     return latest_per_key(both, keys, [F.col(order_col).desc()])
 
 
+def replace_records(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Replace whole records: every existing row of a key that comes in goes, whatever rows the new record has."""
+    kept = existing.join(incoming.select(*keys).distinct(), list(keys), "left_anti")
+    return kept.unionByName(incoming, allowMissingColumns=True)
+
+
+def load_fingerprint(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The stored fingerprint; no rows where none was stored yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def first_runs(current: DataFrame, stored: DataFrame, key: str = "client") -> DataFrame:
+    """The current fingerprint of every key that has none stored: it is accepted as it is, and to be written."""
+    return current.join(stored.select(key).distinct(), key, "left_anti")
+
+
 def write_fingerprint(profile: DataFrame, path: str) -> None:
     """Schema fingerprint store: one partition per client, overwritten on approval."""
     (profile.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -1,20 +1,14 @@
-from ledgerlens.operators.spread import input_splits, spread, task_slots
+from ledgerlens.operators.spread import spread
 
 from conftest import SF001
 
 
-def test_single_file_scan_is_spread_on_its_key(spark):
-    docs = spark.read.parquet(f"{SF001}/documents.parquet")
-    assert input_splits(docs) < task_slots(docs)
-    s = spread(docs, "doc_id")
-    assert input_splits(s) == 2 * task_slots(docs)
-    assert "hashpartitioning(doc_id" in s._jdf.queryExecution().executedPlan().toString()
-    assert s.count() == docs.count()
-
-
-def test_enough_splits_means_no_shuffle(spark):
-    wide = spark.range(0, 1000, numPartitions=4 * task_slots(spark.range(1)))
-    assert spread(wide, "id") is wide
+def test_scan_is_spread_on_its_key_whatever_its_splits(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for df, key in ((spark.read.parquet(f"{SF001}/documents.parquet"), "doc_id"), (spark.range(0, 1000, numPartitions=64), "id")):
+        plan = spread(df, key)._jdf.queryExecution().executedPlan().toString()
+        assert f"hashpartitioning({key}" in plan and f", {n})" in plan
+        assert spread(df, key).count() == df.count()
 
 
 def test_fact_joins_line_items_with_a_sort_merge_join(spark):
