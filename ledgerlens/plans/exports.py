@@ -24,9 +24,12 @@ def _breakdown_maps(breakdown: DataFrame, clean_keys: bool = False) -> DataFrame
                                                                F.substring("dim_value", 1, 30), F.lit(">: "),
                                                                F.array_join("_s.reasons", ","))))
         b = b.withColumn("dim_value", F.col("_s.clean"))
+        # values that clean to one key: the last of the breakdown's order stays, as in a map that is filled in order
+        b = b.groupBy("client", "period", "dim", "dim_value").agg(
+            F.max_by("value", "rnk").alias("value"), F.array_compact(F.collect_list("_red")).alias("_red"))
     per_dim = b.groupBy("client", "period", "dim").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("dim_value", "value")))).alias("_m"),
-        *([F.collect_list("_red").alias("_red")] if clean_keys else []))
+        *([F.flatten(F.collect_list("_red")).alias("_red")] if clean_keys else []))
     out = per_dim.groupBy("client", "period").agg(
         F.map_from_entries(F.collect_list(F.struct("dim", "_m"))).alias("breakdowns"),
         *([F.flatten(F.collect_list("_red")).alias("redactions")] if clean_keys else []))

@@ -87,9 +87,8 @@ def derive_corrections(audit: DataFrame, snap: DataFrame) -> DataFrame:
 
 
 def derive_actuals(kpi: DataFrame) -> DataFrame:
-    """Measure values of each client's latest period: the KPIs plus discount_rate (percent)."""
-    last = kpi.groupBy("client").agg(F.max("period").alias("period"))
-    k = kpi.join(last, ["client", "period"])
+    """Measure values of every report: the KPIs plus discount_rate (percent)."""
+    k = kpi
     rate = (k.groupBy("client", "period").agg(
         F.max(F.when(F.col("kpi") == "total_discount", F.col("value"))).alias("_d"),
         F.max(F.when(F.col("kpi") == "total_revenue", F.col("value"))).alias("_r"))

@@ -30,7 +30,7 @@ SNAP_CTE = """snap AS (SELECT client, period, row_count,
 
 
 def prev_expr(col: str = "period", months: int = 1) -> str:
-    return f"strftime(CAST({col} || '-01' AS DATE) - INTERVAL {months} MONTH, '%Y-%m')"
+    return f"strftime(TRY_CAST({col} || '-01' AS DATE) - INTERVAL {months} MONTH, '%Y-%m')"
 
 
 def delta_cte(months: int = 1, name: str = "delta") -> str:
