@@ -123,14 +123,16 @@ def breakdown(fact: DataFrame, dims: Sequence[str], measure: str, top: int = 10,
               keys: Sequence[str] = KEYS) -> DataFrame:
     """Sum of the first measure by each dimension value, top ``top`` per dimension.
 
-    The fact is unpivoted to (dim, dim_value) before the aggregate, so all
-    dimensions share one shuffle; the partial aggregate runs before it. Null
+    The fact is first summed by all dimensions together; only these sums, far
+    fewer than the fact's rows, are unpivoted to (dim, dim_value) and summed
+    again, so that the fact's rows are never multiplied. Null
     keys are dropped; an all-null group sums to 0. Top-k is a window group
     limit (partial top-k before the shuffle, so a hot group never piles up).
     """
     pairs = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("dim_value"))
                       for d in dims])
-    long = fact.select(*keys, F.col(measure).alias("_m"), F.inline(pairs)).where(F.col("dim_value").isNotNull())
+    base = fact.groupBy(*keys, *dims).agg(F.sum(measure).alias("_m"))
+    long = base.select(*keys, "_m", F.inline(pairs)).where(F.col("dim_value").isNotNull())
     agg = long.groupBy(*keys, "dim", "dim_value").agg(
         F.coalesce(F.sum("_m"), F.lit(0)).cast("double").alias("value"))
     w = Window.partitionBy(*keys, "dim").orderBy(F.col("value").desc(), F.col("dim_value"))

@@ -57,7 +57,8 @@ def kpis(spark, sf) -> DataFrame:
 
 
 def deltas(spark, sf, months_back: int = 1) -> DataFrame:
-    return snap.kpi_delta(kpis(spark, sf), months_back)
+    """Both sides of the comparison read one checkpointed aggregate (clients x months): the fact is joined once."""
+    return snap.kpi_delta(snap.kpis_from_aggregate(_agg(spark, sf).checkpoint(), MEASURES), months_back)
 
 
 # ---------------------------------------------------------------- E1 E3 E4 F1 I1 I2 E2
@@ -106,7 +107,8 @@ def q_breakdown(spark, sf):
 # ---------------------------------------------------------------- H1-H15 BI measures
 
 def _monthly_rev(spark, sf, series=("client",)):
-    return M.monthly(_fact(spark, sf), F.col("revenue"), series)
+    """Monthly revenue, checkpointed: the month spine and the values read it, not the fact."""
+    return M.monthly(sales_fact(spark, sf, dims=False), F.col("revenue"), series).checkpoint()
 
 
 _MONTHLY_SQL = Q.base("""m AS (SELECT client, period, sum(revenue) AS value FROM fact GROUP BY client, period)""",
@@ -200,7 +202,7 @@ SELECT client, period, r_name, CAST(value AS DOUBLE) AS value,
        CAST(value AS DOUBLE) / CAST(sum(value) OVER (PARTITION BY client, period) AS DOUBLE) AS share_within
 FROM reg""")
 def q_share(spark, sf):
-    reg = _fact(spark, sf).groupBy("client", "period", "r_name").agg(F.sum("revenue").alias("value"))
+    reg = _fact(spark, sf).groupBy("client", "period", "r_name").agg(F.sum("revenue").alias("value")).checkpoint()
     a = M.share_of_total(reg, "value").withColumnRenamed("share", "share_all")
     b = M.share_of_total(a, "value", ("client", "period")).withColumnRenamed("share", "share_within")
     return b.withColumn("value", F.col("value").cast("double"))
@@ -226,7 +228,7 @@ FROM (SELECT f.client, f.l_suppkey, s.s_name, sum(f.revenue) AS value
 def q_salesperson(spark, sf):
     per = _fact(spark, sf).groupBy("client", "l_suppkey").agg(F.sum("revenue").alias("value"))
     sup = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
-    per = join_dim(per, sup, "l_suppkey")
+    per = join_dim(per, sup, "l_suppkey").checkpoint()  # shares and ranks read this, not the fact
     out = M.performance(per, ["client"], "value")
     return out.select("client", "l_suppkey", "s_name", F.col("value").cast("double").alias("value"), "share", "rank")
 
@@ -256,8 +258,13 @@ def q_date_dim(spark, sf):
 
 # ---------------------------------------------------------------- E5 E6 G4, gate Q1-Q18
 
-def gate_inputs(spark, sf):
-    """(pair, delta, commentary, threshold) — all derived from one aggregate of the fact.
+def gate_pair(spark, sf):
+    """Snapshots of a month and the one before, from one aggregate of the fact."""
+    return snap.snapshot_pair(snap.snapshot_from_aggregate(_agg(spark, sf).checkpoint()))
+
+
+def gate_inputs(spark, sf, commentary: bool = True):
+    """(pair, delta, commentary, threshold) — all derived from one aggregate of the fact; commentary only if asked for.
 
     The aggregate is (clients x months) rows: it is written once with a
     reliable checkpoint, so the dozen checks below read it instead of
@@ -269,7 +276,7 @@ def gate_inputs(spark, sf):
     d = snap.kpi_delta(k).checkpoint()
     pair = snap.snapshot_pair(snap.snapshot_from_aggregate(agg))
     thr = V.thresholds(V.history_from_deltas(d))
-    return pair, d, derive_commentary(d).checkpoint(), thr
+    return pair, d, derive_commentary(d).checkpoint() if commentary else None, thr
 
 
 _THR_CTE = """hist AS (SELECT client, period, kpi, pct FROM delta),
@@ -421,23 +428,23 @@ def q_volatility(spark, sf):
 
 @query("gate_row_count", _GATE_BASE + _FLAG_ROW_COUNT)
 def q_gate_row_count(spark, sf):
-    return G.row_count_flags(gate_inputs(spark, sf)[0])
+    return G.row_count_flags(gate_pair(spark, sf))
 
 
 @query("gate_period_length", _GATE_BASE + _FLAG_PERIOD)
 def q_gate_period_length(spark, sf):
-    return G.period_length_flags(gate_inputs(spark, sf)[0])
+    return G.period_length_flags(gate_pair(spark, sf))
 
 
 @query("gate_delta", _GATE_BASE + _FLAG_DELTA)
 def q_gate_delta(spark, sf):
-    _, d, _, thr = gate_inputs(spark, sf)
+    _, d, _, thr = gate_inputs(spark, sf, commentary=False)
     return G.delta_flags(d, thr)
 
 
 @query("gate_round_number", _GATE_BASE + _FLAG_ROUND)
 def q_gate_round(spark, sf):
-    return G.round_number_flags(gate_inputs(spark, sf)[1])
+    return G.round_number_flags(deltas(spark, sf))
 
 
 @query("gate_findings", _GATE_BASE + _FLAG_FINDINGS)
@@ -1300,7 +1307,7 @@ def q_snapshot_json(spark, sf):
 
 @query("prompt_context")
 def q_prompt_context(spark, sf):
-    pair, d, c, thr = gate_inputs(spark, sf)
+    pair, d, _, _ = gate_inputs(spark, sf, commentary=False)
     b = snap.breakdown(_fact(spark, sf), DIMS, MEASURES[0], 10)
     return EX.prompt_context(d, pair, b)
 
@@ -1316,7 +1323,7 @@ def q_held_packets(spark, sf):
 
 @query("gate_coverage")
 def q_gate_coverage(spark, sf):
-    pair, d, c, thr = gate_inputs(spark, sf)
+    pair, d, _, _ = gate_inputs(spark, sf, commentary=False)
     return COV.coverage(pair, d, S.default_synonyms(spark))
 
 

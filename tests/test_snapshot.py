@@ -73,3 +73,11 @@ def test_row_order_and_partitions_do_not_change_result(spark):
     a = sorted(map(str, rows(snap.kpi_table(f, ["revenue", "qty"], "date"))))
     b = sorted(map(str, rows(snap.kpi_table(f.repartition(7).orderBy(F.rand(3)), ["revenue", "qty"], "date"))))
     assert a == b
+
+
+def test_comparisons_read_one_aggregate_of_the_fact(spark):
+    import __spark_entry__ as E
+
+    for name in ("kpi_delta", "measure_mom", "measure_yoy", "cost_by_step", "cache_saving", "salesperson_perf", "same_month_last_year"):
+        plan = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "parquet" not in plan, name  # the fact was scanned and joined once, in front of the checkpoint
