@@ -35,6 +35,7 @@ from ..sources import scan as SC
 from ..sources.testdata import MEASURES, SCHEMAS, STAR_TABLES, sales_fact, table
 from . import sqltext as Q
 from . import coverage as COV
+from ..operators import messages as MS
 from . import exports as EX
 from . import ledger as LG
 from .commentary import commentary_sql, derive_commentary
@@ -839,7 +840,7 @@ def ledger_inputs(spark, sf):
                     F.col("prev_period_days").alias("period_days"))).distinct()
     flags = G.run_gate(pair, d, c, S.default_synonyms(spark), thr).checkpoint()
     gres = G.gate_result(flags, d)
-    audit = LG.derive_audit(gres, flags, sn).checkpoint()
+    audit = LG.derive_audit(gres, MS.with_messages(flags, pair, d, c, thr), sn).checkpoint()
     return audit, LG.derive_corrections(audit, sn), d, sn
 
 

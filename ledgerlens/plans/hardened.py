@@ -15,6 +15,7 @@ from ..operators import clean_month as CM
 from ..operators import dates as D
 from ..operators import gate as G
 from ..operators import golden as GD
+from ..operators import messages as MS
 from ..operators import profile as P
 from ..operators import snapshot as snap
 from ..session import ensure_checkpoint_dir
@@ -223,6 +224,44 @@ def q_held_flags(spark, sf):
     return r.select("client", "period", F.inline(both))
 
 
+# ---------------------------------------------------------------- Q1-Q15: text of the flags
+
+_THRESHOLD = """CASE WHEN t.threshold_pct IS NULL THEN 'threshold=15.0% (static fallback — no history)'
+  ELSE 'threshold=' || printf('%.1f', t.threshold_pct) || '% (' || t.method || ', n=' || t.history_count || ')' END"""
+_RATIO = "'Current row count (' || format('{:,}', p.row_count) || ') is ' || CAST(round(f.metric * 100) AS BIGINT) || '% of previous (' || format('{:,}', p.prev_row_count) || ')'"
+_AT = "'key_finding[' || n.idx || ']'"
+
+
+@query("gate_messages", CA._FULL + f""", flags AS ({CA._ALL_FLAGS})
+SELECT f.client, f.period, f.code, f.severity, f.subject, CASE f.code
+  WHEN 'ROW_COUNT_DROP' THEN {_RATIO} || ' — likely truncated source file' WHEN 'ROW_COUNT_LOW' THEN {_RATIO} WHEN 'ROW_COUNT_SPIKE' THEN {_RATIO}
+  WHEN 'PERIOD_LENGTH_MISMATCH' THEN 'Period coverage differs by ' || CAST(f.metric AS BIGINT) || ' days (current=' || p.period_days || ', previous=' || p.prev_period_days || ')'
+  WHEN 'ANOMALOUS_DELTA' THEN d.kpi || ' changed ' || printf('%+.1f', f.metric) || '% — exceeds ' || {_THRESHOLD}
+  WHEN 'NOTABLE_DELTA' THEN d.kpi || ' changed ' || printf('%+.1f', f.metric) || '% — above 60% of ' || {_THRESHOLD}
+  WHEN 'MALFORMED_FINDING' THEN {_AT} || ' has empty kpi_id — likely legacy prose format'
+  WHEN 'UNKNOWN_KPI' THEN {_AT} || ' references kpi_id=''' || n.kpi_id || ''' which is not in source data'
+  WHEN 'FINDING_DIRECTION_MISMATCH' THEN {_AT} || ' for ''' || n.kpi_id || ''' says ''' || n.direction || ''' but source pct is ' || printf('%+.1f', d.pct) || '% (direction='''
+    || CASE WHEN abs(d.pct) < 3 THEN 'flat' WHEN d.pct > 0 THEN 'up' ELSE 'down' END || ''')'
+  WHEN 'FINDING_MAGNITUDE_MISMATCH' THEN {_AT} || ' for ''' || n.kpi_id || ''' claims ' || printf('%.1f', n.magnitude_pct) || '% but source is ' || printf('%.1f', abs(d.pct)) || '% (delta ' || printf('%.1f', f.metric) || 'pp)'
+  WHEN 'CONTEXT_KPI_LEAK' THEN {_AT} || ' for ''' || n.kpi_id || ''' mentions other KPI tokens in context'
+  WHEN 'NUMERIC_MISMATCH' THEN 'Commentary states ''' || f.subject || ''' but the nearest source KPI deviates by ' || printf('%.1f', f.metric) || 'pp'
+  WHEN 'NUMERIC_APPROXIMATION' THEN 'Commentary states ''' || f.subject || '''; the nearest KPI is ' || printf('%.1f', f.metric) || 'pp off'
+  WHEN 'UNVERIFIABLE_ABSOLUTE' THEN 'Value ''' || f.subject || ''' does not match any source KPI within 2.0%'
+  WHEN 'DIRECTION_CONFLICT' THEN 'Commentary says revenue ' || CASE WHEN f.metric > 0 THEN 'fell' ELSE 'grew' END || ' but ' || f.subject || ' is ' || printf('%+.1f', f.metric) || '%'
+  WHEN 'NO_FINDINGS' THEN 'key_findings is empty — report has no headline movements'
+  WHEN 'NO_CITATIONS' THEN 'root_cause_analysis has zero KPI-backed claims — all factors are unsupported'
+  WHEN 'WEAK_CITATION' THEN 'Only 1 cited claim(s) — verify it''s sufficient for the narrative'
+  WHEN 'FALLBACK_COMMENTARY' THEN 'Commentary is the API-unavailable fallback — do not deliver' END AS message
+FROM flags f LEFT JOIN pair p ON p.client = f.client AND p.period = f.period
+LEFT JOIN finding n ON f.gate_check = 'findings' AND n.client = f.client AND n.period = f.period AND f.subject = 'key_finding[' || n.idx || ']'
+LEFT JOIN delta d ON d.client = f.client AND d.period = f.period AND d.kpi = COALESCE(n.kpi_id, f.subject)
+LEFT JOIN thr t ON t.client = f.client AND t.kpi = COALESCE(n.kpi_id, f.subject) WHERE f.code <> 'ROUND_NUMBER'""")
+def q_gate_messages(spark, sf):
+    pair, d, c, thr = CA.gate_inputs(spark, sf)
+    flags = G.run_gate(pair, d, c, CA.S.default_synonyms(spark), thr).checkpoint()
+    return MS.with_messages(flags, pair, d, c, thr).where("code <> 'ROUND_NUMBER'").select("client", "period", "code", "severity", "subject", "message")
+
+
 # ---------------------------------------------------------------- K11 Q14: round values
 
 @query("round_number_planted", Q.base() + """SELECT client, period, 'round_number' AS gate_check, 'ROUND_NUMBER' AS code, 'warn' AS severity, kpi || ':current' AS subject,

@@ -27,7 +27,7 @@ def _gen_at(months: int, day: str = "01") -> F.Column:
 def derive_audit(gres: DataFrame, flags: DataFrame, snap: DataFrame) -> DataFrame:
     """audit(report_id, client_name, period, seq, generated_at, hashes, gate_passed, gate_flags, delivery, ...)."""
     codes = flags.groupBy("client", "period").agg(
-        F.array_sort(F.collect_list(F.struct("severity", "code", F.lit("").alias("message")))).alias("_flags"))
+        F.array_sort(F.collect_list(F.struct("severity", "code", "message"))).alias("_flags"))
     b = (gres.join(snap.select("client", "period", "row_count"), ["client", "period"])
          .join(codes, ["client", "period"], "left").withColumn("_s", seed_col()))
     s = F.col("_s")
