@@ -37,6 +37,18 @@ def finding_sentence(kpi_id: Column, direction: Column, magnitude: Column, conte
     return F.concat(lab, F.lit(" "), verb, mag, ctx)
 
 
+# The wording of a root-cause paragraph.
+UNVERIFIED = "Possible contributing factors (unverified from data): "
+NO_CAUSE = "[No causal claims could be grounded in the data.]"
+
+
+def root_cause_prose(rca: Column) -> Column:
+    """Claims with their evidence, then the factors that nothing supports; null or empty lists say nothing."""
+    claims = F.transform(rca["claims"], lambda c: F.concat(c["claim"], F.lit(" ("), c["evidence_kpi"], F.lit(": "), c["evidence_value"], F.lit(")")))
+    factors = F.nullif(F.array_join(rca["unsupported_factors"], "; "), F.lit(""))
+    return F.coalesce(F.nullif(F.concat_ws(" ", claims, F.concat(F.lit(UNVERIFIED), factors)), F.lit("")), F.lit(NO_CAUSE))
+
+
 def _name_has(name: Column, words) -> Column:
     e = F.lit(False)
     for w in words:

@@ -53,6 +53,23 @@ def content_hash(df: DataFrame, keys: list[str]) -> DataFrame:
     return agg.select(*keys, sha16(digest).alias("source_data_hash"), F.col("_n").alias("row_count"))
 
 
+def complete_record(audit: DataFrame, delta: DataFrame, threshold: DataFrame, costs: DataFrame, date_column: str,
+                    static_fallback: float = 15.0) -> DataFrame:
+    """``audit`` with the rest of the record's fields: KPI snapshot, thresholds, cost, model and date column of each report.
+
+    Every map is built per report (its KPIs), from tables with a row for each report and KPI.
+    """
+    d = delta.join(threshold.select("client", "kpi", "threshold_pct"), ["client", "kpi"], "left")
+    values = F.create_map(F.lit("current"), F.col("current"), F.lit("previous"), F.col("previous"), F.lit("abs"), F.col("abs"), F.lit("pct"), F.col("pct"))
+    maps = d.groupBy(F.col("client").alias("client_name"), "period").agg(
+        F.map_from_entries(F.collect_list(F.struct("kpi", values.alias("v")))).alias("kpi_snapshot"),
+        F.map_from_entries(F.collect_list(F.struct("kpi", F.coalesce("threshold_pct", F.lit(static_fallback)).alias("t")))).alias("volatility_thresholds"))
+    cost = costs.groupBy("client_name", "period").agg(F.round(F.sum("eur"), 6).alias("cost_eur"), F.max("model").alias("model"))
+    known = [c for c in ("kpi_snapshot", "volatility_thresholds", "cost_eur", "model", "date_column_used") if c in audit.columns]
+    return (audit.drop(*known).join(maps, ["client_name", "period"], "left").join(cost, ["client_name", "period"], "left")
+            .withColumn("date_column_used", F.lit(date_column)))
+
+
 def write_log(df: DataFrame, path: str, client_col: str = "client_name") -> None:
     """Append-only sink, one folder per client slug and year (the year of the period)."""
     (df.withColumn("client_slug", client_slug(F.col(client_col)))

@@ -83,7 +83,13 @@ def leaks(findings: DataFrame, report_kpis: DataFrame, defaults: DataFrame,
     report_owned = report_kpis.select("client", "period", "kpi").join(owned, ["client", "kpi"])
     toks = context_tokens(findings)
     hit = (toks.join(report_owned, ["client", "period", "tok"])
-           .where(F.col("kpi") != F.col("kpi_id")))
+           .where(F.col("kpi") != F.col("kpi_id")).select("client", "period", "idx", "kpi_id", "tok"))
+    # alternatives of several words are looked for whole; they are joined to the findings of their report only
+    phrases = report_owned.where(F.col("tok").rlike(r"[^\p{L}\p{N}_]"))
+    text = findings.select("client", "period", "idx", "kpi_id", F.concat(F.lit(" "), F.lower("context"), F.lit(" ")).alias("_text"))
+    whole = F.regexp_like("_text", F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("tok"), F.lit(r"\E(?!\w)")))
+    hit = hit.unionByName(text.join(phrases, ["client", "period"]).where((F.col("kpi") != F.col("kpi_id")) & whole)
+                          .select("client", "period", "idx", "kpi_id", "tok"))
     own = owned.select("client", F.col("kpi").alias("kpi_id"), "tok")
     hit = hit.join(own, ["client", "kpi_id", "tok"], "left_anti")
     return (hit.select("client", "period", "idx", "kpi_id", "tok").distinct()

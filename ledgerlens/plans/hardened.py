@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as NU
 from ..functions import parse as PA
+from ..functions import text as TX
 from ..operators import audit as AU
 from ..operators import clean_month as CM
 from ..operators import dates as D
@@ -281,3 +282,47 @@ def q_drift_empty(spark, sf):
     events = P.drift(P.profile({"region": r}, samples=False), P.profile({"region": r.where("r_regionkey < 0")}, samples=False))
     n = events.groupBy("table_name").agg(F.count(F.lit(1)).alias("n"))
     return r.where("r_regionkey = 0").select(F.lit("region").alias("table_name")).join(n, "table_name", "left").select("table_name", F.coalesce("n", F.lit(0)).cast("long").alias("events"))
+
+
+# ---------------------------------------------------------------- F9 J4: alternatives of several words
+
+@query("phrase_leaks", Q.base() + """SELECT client, period, 0 AS idx, 'total_quantity' AS kpi_id, 'bottom line,top-line' AS leaked
+FROM delta WHERE kpi = 'total_quantity'""")
+def q_phrase_leaks(spark, sf):
+    """Clients call revenue the bottom line, or top-line: both are found in a context, whole, and no part of a word is."""
+    d = CA.deltas(spark, sf).select("client", "period", "kpi")
+    own = d.select("client").distinct().select("client", F.lit("revenue").alias("token"), F.explode(F.array(F.lit("bottom line"), F.lit("top-line"), F.lit("line it"))).alias("alt"))
+    findings = d.where("kpi = 'total_quantity'").select("client", "period", F.lit(0).alias("idx"), F.col("kpi").alias("kpi_id"),
+                                                        F.lit("The Bottom Line fell, the top-line too; headline items rose.").alias("context"))
+    return CA.S.leaks(findings, d, CA.S.default_synonyms(spark), own)
+
+
+# ---------------------------------------------------------------- K4: root cause as prose
+
+@query("root_cause_prose", Q.base() + """SELECT client, period, CASE row_count % 3
+  WHEN 0 THEN '[No causal claims could be grounded in the data.]'
+  WHEN 1 THEN 'More orders (row_count: ' || row_count || ')'
+  ELSE 'More orders (row_count: ' || row_count || ') Possible contributing factors (unverified from data): weather; ' || client END AS prose FROM snap""")
+def q_root_cause_prose(spark, sf):
+    s = snap.snapshot_from_aggregate(CA._agg(spark, sf))
+    n = F.col("row_count")
+    claim = F.array(F.struct(F.lit("More orders").alias("claim"), F.lit("row_count").alias("evidence_kpi"), n.cast("string").alias("evidence_value")))
+    factors = F.array(F.lit("weather"), F.col("client"))
+    rca = F.struct(F.when(n % 3 > 0, claim).alias("claims"), F.when(n % 3 == 2, factors).alias("unsupported_factors"))
+    return s.withColumn("rca", rca).select("client", "period", TX.root_cause_prose(F.col("rca")).alias("prose"))
+
+
+# ---------------------------------------------------------------- M4: the full audit record
+
+@query("audit_full_record", CA._LEDGER + f"""{CA._COST_CTES.replace(", d.k ", ", d.k ")}
+SELECT a.report_id, a.seq, d.kpi, d.current, d.pct, COALESCE(t.threshold_pct, 15.0) AS threshold_pct, 'text-model-1' AS model, 'o_orderdate' AS date_column_used,
+  round(c.eur, 6) AS cost_eur
+FROM audit a JOIN delta d ON d.client = a.client_name AND d.period = a.period LEFT JOIN thr t ON t.client = d.client AND t.kpi = d.kpi
+JOIN (SELECT client_name, period, sum(usd / 1.08) AS eur FROM costs GROUP BY client_name, period) c ON c.client_name = a.client_name AND c.period = a.period""")
+def q_audit_full_record(spark, sf):
+    audit, _, d, sn = CA.ledger_inputs(spark, sf)
+    thr = CA.V.thresholds(CA.V.history_from_deltas(d))
+    full = AU.complete_record(audit, d, thr, LG.derive_costs(d, sn), "o_orderdate")
+    one = full.select("report_id", "seq", "model", "date_column_used", "cost_eur", "volatility_thresholds", F.explode("kpi_snapshot").alias("kpi", "v"))
+    return one.select("report_id", "seq", "kpi", F.col("v")["current"].alias("current"), F.col("v")["pct"].alias("pct"),
+                      F.try_element_at("volatility_thresholds", F.col("kpi")).alias("threshold_pct"), "model", "date_column_used", "cost_eur")
