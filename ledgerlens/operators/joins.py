@@ -26,6 +26,18 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def repeated_keys(dim: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rows): dimension keys that more than one row has. A many-to-one join on them would multiply facts."""
+    return dim.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+
+
+def unique_dim(dim: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row for each key, the first by ``order``: what a many-to-one join may meet. See :func:`repeated_keys` for the rest."""
+    others = [c for c in dim.columns if c not in keys]
+    rest = F.struct(*order, *[c for c in others if c not in order])
+    return dim.groupBy(*keys).agg(F.min(rest).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])
+
+
 def join_dim(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
              limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Many-to-one join of a fact to a dimension; broadcast the dimension if it is small."""

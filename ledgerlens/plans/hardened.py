@@ -16,6 +16,7 @@ from ..operators import clean_month as CM
 from ..operators import dates as D
 from ..operators import gate as G
 from ..operators import golden as GD
+from ..operators import joins as J
 from ..operators import messages as MS
 from ..operators import profile as P
 from ..operators import snapshot as snap
@@ -326,3 +327,27 @@ def q_audit_full_record(spark, sf):
     one = full.select("report_id", "seq", "model", "date_column_used", "cost_eur", "volatility_thresholds", F.explode("kpi_snapshot").alias("kpi", "v"))
     return one.select("report_id", "seq", "kpi", F.col("v")["current"].alias("current"), F.col("v")["pct"].alias("pct"),
                       F.try_element_at("volatility_thresholds", F.col("kpi")).alias("threshold_pct"), "model", "date_column_used", "cost_eur")
+
+
+# ---------------------------------------------------------------- F11: dimension keys that repeat
+
+_TWIN_SQL = "SELECT s_suppkey, s_name FROM supplier UNION ALL SELECT s_suppkey, s_name || ' (copy)' FROM supplier WHERE s_suppkey % 4 = 0"
+
+
+def _twin_suppliers(spark, sf) -> DataFrame:
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_name")
+    return s.unionByName(s.where("s_suppkey % 4 = 0").withColumn("s_name", F.concat("s_name", F.lit(" (copy)"))))
+
+
+@query("dim_repeated_keys", f"SELECT s_suppkey, count(*) AS rows FROM ({_TWIN_SQL}) GROUP BY s_suppkey HAVING count(*) > 1")
+def q_repeated_keys(spark, sf):
+    return J.repeated_keys(_twin_suppliers(spark, sf), ["s_suppkey"])
+
+
+@query("dim_join_unique", Q.base(f"d AS (SELECT s_suppkey, min(s_name) AS s_name FROM ({_TWIN_SQL}) GROUP BY s_suppkey)") + """
+SELECT f.client, d.s_name, CAST(sum(f.revenue) AS DOUBLE) AS value, count(*) AS lines FROM fact f JOIN d ON d.s_suppkey = f.l_suppkey GROUP BY f.client, d.s_name""")
+def q_dim_join_unique(spark, sf):
+    """Facts joined to a dimension with repeated keys are not multiplied."""
+    dim = J.unique_dim(_twin_suppliers(spark, sf), ["s_suppkey"], ["s_name"]).withColumnRenamed("s_suppkey", "l_suppkey")
+    fact = CA._fact(spark, sf).groupBy("client", "l_suppkey").agg(F.sum("revenue").alias("r"), F.count(F.lit(1)).alias("n"))
+    return J.join_dim(fact, dim, "l_suppkey").groupBy("client", "s_name").agg(F.sum("r").cast("double").alias("value"), F.sum("n").alias("lines"))

@@ -35,16 +35,16 @@ def committed_versions(spark: SparkSession, table_dir: str) -> list[int]:
     return sorted(out)
 
 
-def latest_version(spark: SparkSession, table_dir: str) -> DataFrame | None:
-    """The newest committed version (a version is written whole, then marked by _SUCCESS)."""
-    versions = committed_versions(spark, table_dir)
+def latest_version(spark: SparkSession, table_dir: str, below: int | None = None) -> DataFrame | None:
+    """The newest committed version, below a given one if asked (a version is written whole, then marked by _SUCCESS)."""
+    versions = [v for v in committed_versions(spark, table_dir) if below is None or v < below]
     return spark.read.parquet(os.path.join(table_dir, f"v={versions[-1]}")) if versions else None
 
 
 def _upsert(table_dir: str, keys: Sequence[str]):
     def fn(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        current = latest_version(spark, table_dir)
+        current = latest_version(spark, table_dir, below=epoch_id)  # a replayed epoch never reads what it overwrites
         merged = batch if current is None else current.join(batch.select(*keys), list(keys), "left_anti") \
             .unionByName(batch)
         merged.write.mode("overwrite").parquet(os.path.join(table_dir, f"v={epoch_id}"))
