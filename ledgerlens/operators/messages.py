@@ -21,7 +21,7 @@ DETAILS = {
     "ROW_COUNT_DROP": "Verify the export completed. Check file size against history before re-running.",
     "ROW_COUNT_LOW": "May be normal seasonal drop; confirm with the client.",
     "ROW_COUNT_SPIKE": "Possible duplicate ingestion or business-event spike — verify.",
-    "DIRECTION_CONFLICT": "Claude likely hallucinated the narrative direction.",
+    "DIRECTION_CONFLICT": "The commentary likely made the direction up.",
     "ROUND_NUMBER": "Check: percentage column misread as monetary?",
     "NO_COMMENTARY": "The report has nothing to review. Complete the narrative before delivery.",
 }
