@@ -41,26 +41,43 @@ def column_meta(df: DataFrame, table_name: str, key: str | None = None) -> list[
     return out
 
 
-def profile(tables: dict[str, DataFrame], group: str | None = None, samples: bool = True) -> DataFrame:
+def approximate_counts(df: DataFrame, name: str, group: str | None = None) -> DataFrame:
+    """Rows, nulls and estimated distinct values of every column in one aggregate: nothing is unpivoted, no value is shuffled."""
+    cols = [c for c in df.columns if c != group]
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for i, c in enumerate(cols):
+        aggs += [F.count(c).alias(f"_n{i}"), F.approx_count_distinct(c).alias(f"_d{i}")]
+    one = df.groupBy(*([group] if group else [])).agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("_rows").alias("row_count"), F.col(f"_d{i}").alias("cardinality"),
+                              (F.col("_rows") - F.col(f"_n{i}")).alias("null_count")) for i, c in enumerate(cols)])
+    return one.select(F.lit(name).alias("table_name"), *([group] if group else []), F.inline(rows))
+
+
+def profile(tables: dict[str, DataFrame], group: str | None = None, samples: bool = True, approximate: bool = False) -> DataFrame:
     """column_profile(table_name[, group], column, ord, dtype, is_numeric, is_datetime,
     row_count, cardinality, null_count, null_rate, samples).
 
     ``group`` (e.g. client) profiles each group of a table separately in the same job.
     ``samples=False`` leaves out the samples column and its window (a drift
-    fingerprint needs only types and counts).
+    fingerprint needs only types and counts). ``approximate=True`` is the caller's choice for large tables: distinct
+    counts are estimates, from one aggregate without an unpivot (no samples then).
     """
     spark = next(iter(tables.values())).sparkSession
-    longs, meta = None, []
+    longs, meta, samples = None, [], samples and not approximate
     for name, df in tables.items():
         meta += column_meta(df, name, group)
+        if approximate:
+            part = approximate_counts(df, name, group)
+            longs = part if longs is None else longs.unionByName(part)
+            continue
         cols = [c for c in df.columns if c != group]
         pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols])
         keys = [F.lit(name).alias("table_name")] + ([F.col(group)] if group else [])
         part = df.select(*keys, F.inline(pairs))
         longs = part if longs is None else longs.unionByName(part)
     g = ["table_name"] + ([group] if group else [])
-    counts = longs.groupBy(*g, "column_name", "value").agg(F.count(F.lit(1)).alias("_n"))
-    per_col = counts.groupBy(*g, "column_name").agg(
+    counts = None if approximate else longs.groupBy(*g, "column_name", "value").agg(F.count(F.lit(1)).alias("_n"))
+    per_col = longs if approximate else counts.groupBy(*g, "column_name").agg(
         F.sum("_n").alias("row_count"), F.count("value").alias("cardinality"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("_n"))), F.lit(0)).alias("null_count"))
     meta_df = spark.createDataFrame(meta, "table_name STRING, column_name STRING, ord INT, dtype STRING, "

@@ -76,3 +76,16 @@ def test_pick_date_column(spark):
     pick = rows(D.pick_date_column(D.date_summary(st2, D.date_issues(st2))))[0]
     assert pick == {"client": "c", "period": "2024-03", "date_column": "posted_date", "status": "least_broken",
                     "n_passing": 0}
+
+
+def test_approximate_profile_is_near_the_exact_one(spark):
+    from ledgerlens.operators import profile as P
+
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    exact = {r.column_name: r for r in P.profile({"lineitem": li}, samples=False).collect()}
+    near = P.profile({"lineitem": li}, approximate=True)
+    assert "Generate explode" not in near._jdf.queryExecution().toString()
+    for r in near.collect():
+        e = exact[r.column_name]
+        assert (r.row_count, r.null_count, r.dtype) == (e.row_count, e.null_count, e.dtype)
+        assert abs(r.cardinality - e.cardinality) <= 0.15 * e.cardinality + 1
