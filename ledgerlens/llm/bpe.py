@@ -10,12 +10,14 @@ automaton, whose alphabet is Latin-1: a byte is the character of the same number
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 from .tokens import PieceEncoder
 
-#: Bytes whose matches are looked up at a time and such windows kept; pairs remembered; texts encoded at a time.
-WINDOW, WINDOWS, PAIRS, TEXTS_AT_ONCE = 1024, 4, 1 << 19, 256
+#: Pairs and pieces that a worker remembers; texts encoded at a time.
+PAIRS, REMEMBERED, TEXTS_AT_ONCE = 1 << 19, 250_000, 256
 #: Above all ranks: no merge.
 NONE = 1 << 62
 
@@ -53,16 +55,18 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.longest = max(map(len, ranks))
+        self.pairs: dict[int, bool] = {}
         self.halves: dict[bytes, list[bytes]] = {}
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
             halves = merge_by_rank(token, ranks, 2)
             if len(halves) <= 2:  # others never come out of a merge
                 self.halves[token] = halves
-                self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
+                self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
+        self.sizes = {ranks[token]: len(token) for token in self.halves}
+        #: The longest other token that each token begins with.
+        self.shorter = {ranks[t]: next((ranks[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.halves), None) for t in self.halves}
 
     def _edge(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
         """What stands at one end (-1: the last, 0: the first) of a token while it is merged, each with the rank of the
@@ -91,52 +95,44 @@ class Encoder:
                 j += 1
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
+        pair = left << 32 | right
+        known = self.pairs.get(pair)
         if known is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self._apart(self.tokens[left], self.tokens[right])
+            known = self.pairs[pair] = self._apart(self.tokens[left], self.tokens[right])
         return known
 
-    def _window(self, text: str, number: int) -> list[list[tuple[int, int]]]:
-        """For each position of a window the tokens that start there, short to long."""
-        start, stop = number * WINDOW, min(len(text), (number + 1) * WINDOW)
-        found: list[list[tuple[int, int]]] = [[] for _ in range(stop - start)]
-        for end, match in self.automaton.iter(text, start, min(len(text), stop + self.longest)):
-            at = end - match[1] + 1 - start
-            if 0 <= at < len(found):
-                found[at].append(match)
-        return found
-
     def encode(self, data: bytes) -> list[int]:
         """The ids of one match of the split pattern."""
-        if not data:
-            return []
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        text, n = data.decode("latin-1"), len(data)
-        windows: dict[int, list[list[tuple[int, int]]]] = {}
-        out: list[tuple[int, int]] = []
-        given_up = bytearray(n + 1)
-        at, below = 0, n + 1  # only tokens shorter than this are left to try here
-        while at < n:
-            number = at // WINDOW
-            if number not in windows:
-                if len(windows) >= WINDOWS:
-                    windows.pop(min(windows, key=lambda w: -abs(w - number)))
-                windows[number] = self._window(text, number)
-            last = out[-1][0] if out else -1
-            for token, size in reversed(windows[number][at - number * WINDOW]):
-                if size < below and not given_up[at + size] and (last < 0 or self.compatible(last, token)):
-                    out.append((token, size))
-                    at, below = at + size, n + 1
-                    break
-            else:
+        text, compatible = data.decode("latin-1"), self.compatible
+        out = [token for _, token in self.automaton.iter_long(text)]  # the longest match at each place, one after another
+        for i in range(1, len(out)):
+            if not compatible(out[i - 1], out[i]):
+                return self._backtrack(text, out[:i], out[i])
+        return out
+
+    def _backtrack(self, text: str, out: list[int], token: int | None) -> list[int]:
+        """Go on from compatible tokens, and a candidate for the place behind them."""
+        sizes, shorter, compatible, longest = self.sizes, self.shorter, self.compatible, self.automaton.iter_long
+        given_up = bytearray(len(text) + 1)
+        at = sum(sizes[t] for t in out)
+        while True:
+            while token is not None and (given_up[at + sizes[token]] or (out and not compatible(out[-1], token))):
+                token = shorter[token]
+            if token is None:
                 given_up[at] = 1
-                _, below = out.pop()
-                at -= below
-        return [token for token, _ in out]
+                token = out.pop()
+                at -= sizes[token]
+                continue
+            out.append(token)
+            at += sizes[token]
+            if at == len(text):
+                return out
+            token = next(longest(text, at))[1]
 
 
 @cache
@@ -145,14 +141,18 @@ def _piece_encoder(path: str, pattern: str) -> PieceEncoder:
     encoder, split = Encoder(read_ranks(path)), regex.compile(pattern)
 
     def encode(pieces: list[str]) -> list[bytes]:
-        return [np.array([i for match in split.findall(p) for i in encoder.encode(match.encode())], "<u4").tobytes() for p in pieces]
+        return [array("I", [i for match in split.findall(p) for i in encoder.encode(match.encode())]).tobytes() for p in pieces]
 
-    return PieceEncoder(encode)
+    return PieceEncoder(encode, REMEMBERED)
 
 
 @cache
-def _token_bytes(path: str) -> dict[int, bytes]:
-    return {rank: token for token, rank in read_ranks(path).items()}
+def _token_bytes(path: str) -> pa.Array:
+    ranks = read_ranks(path)
+    out: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return pa.array(out, pa.binary())
 
 
 def encode_column(text: str | Column, vocabulary: str, pattern: str) -> Column:
@@ -181,6 +181,11 @@ def decode_column(ids: str | Column, vocabulary: str) -> Column:
     def decode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = _token_bytes(vocabulary)
         for lists in parts:
-            yield pa.array([None if x is None else b"".join(map(tokens.__getitem__, x)) for x in (a.as_py() for a in lists)], pa.binary())
+            found = tokens.take(lists.flatten())
+            if found.null_count:
+                raise ValueError("an id is null or not in the vocabulary")
+            sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False), 0)
+            rows = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), found)
+            yield pc.if_else(lists.is_valid(), pc.binary_join(rows, b""), pa.scalar(None, pa.binary()))
 
     return decode(ids)

@@ -15,6 +15,9 @@ from ..session import ensure_checkpoint_dir
 #: The white space of every contract here: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
+#: Rows in an Arrow batch, if the session leaves Spark's default (10,000): whole texts make large rows.
+BATCH_ROWS, BATCH_KEY = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _shipped: set[str] = set()
 
 
@@ -23,8 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let the executors' Python workers import this package, wherever the driver was started."""
+    """Let the executors' Python workers import this package, wherever the driver was started; keep their batches small."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_KEY) == "10000":
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
     if sc.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parent.parent

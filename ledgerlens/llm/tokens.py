@@ -43,12 +43,12 @@ def blocks(text: str) -> Iterator[str]:
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, given a function that does so for a list of pieces."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self._encode, self._known = encode, {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = REMEMBERED):
+        self._encode, self._known, self._most = encode, {}, remembered
 
     def _learn(self, cut: list[list[str]]) -> list[str]:
         """Make all of these known; returns those to forget again."""
-        if len(self._known) > REMEMBERED:
+        if len(self._known) > self._most:
             self._known.clear()
         new = list(set().union(*cut).difference(self._known))
         self._known.update(zip(new, self._encode(new)))

@@ -39,9 +39,7 @@ def test_bpe_equals_the_library(library):
     assert [ids(x) for x in encode(texts)] == [library.encode_ordinary(t) for t in texts]
 
 
-def test_bpe_of_single_matches_with_small_windows(library, monkeypatch):
-    monkeypatch.setattr(bpe, "WINDOW", 8)
-    monkeypatch.setattr(bpe, "WINDOWS", 2)
+def test_bpe_of_single_matches_with_few_remembered_pairs(library, monkeypatch):
     monkeypatch.setattr(bpe, "PAIRS", 50)
     encoder, rng = bpe.Encoder(bpe.read_ranks(MULTI)), random.Random(2)
     for _ in range(400):
@@ -60,9 +58,8 @@ def test_compatible_pairs_are_those_that_merging_keeps():
 
 def test_texts_longer_than_a_block_and_bounded_memory(library, monkeypatch):
     monkeypatch.setattr(tokens, "TEXT_BLOCK", 50)
-    monkeypatch.setattr(tokens, "REMEMBERED", 20)
     monkeypatch.setattr(tokens, "LONGEST", 4)
-    encode = tokens.PieceEncoder(lambda ps: [np.array(library.encode_ordinary(p), "<u4").tobytes() for p in ps])
+    encode = tokens.PieceEncoder(lambda ps: [np.array(library.encode_ordinary(p), "<u4").tobytes() for p in ps], 20)
     texts = ["".join(x) for x in zip(fuzzed(300, 4), fuzzed(300, 5), fuzzed(300, 6), fuzzed(300, 7))] + HARD
     assert [ids(x) for x in encode(texts)] == [library.encode_ordinary(t) for t in texts]
     assert max(map(len, encode._known)) <= 4
