@@ -46,7 +46,7 @@ def connected_components(pairs: DataFrame, left: str = "a", right: str = "b") ->
                       .select(F.greatest(left, right).alias("child"), F.least(left, right).alias("parent")).distinct())
     before, seen = None, _checksum(now)
     while seen != before:
-        now = materialise(_small_star(_large_star(now)))
+        now = materialise(_small_star(materialise(_large_star(now))))  # each star is read twice
         before, seen = seen, _checksum(now)
     return now.select(F.col("child").alias("node"), F.col("parent").alias("root")).union(
         now.select(F.col("parent").alias("node"), F.col("parent").alias("root"))).distinct()
