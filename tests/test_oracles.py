@@ -1,10 +1,16 @@
-"""Every registered query with oracle SQL against DuckDB, on the smallest tables."""
+"""Every registered query with oracle SQL against DuckDB, on the smallest tables.
+
+The small report tables that most queries start from (checkpointed aggregates, deltas, gate and ledger inputs) are built once
+for the whole module; each query's own work runs for itself.
+"""
+
+from functools import cache
 
 import duckdb
 import pytest
 
 import __spark_entry__ as E
-from ledgerlens.plans import registry
+from ledgerlens.plans import catalog, registry
 from ledgerlens.sources.testdata import TABLES
 from scripts.oracle_check import _rows
 
@@ -19,6 +25,17 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_inputs(spark):
+    patch = pytest.MonkeyPatch()
+    for name in ("deltas", "gate_pair", "gate_inputs", "ledger_inputs", "golden_inputs"):
+        patch.setattr(catalog, name, cache(getattr(catalog, name)))
+    plain = catalog._agg
+    patch.setattr(catalog, "_agg", cache(lambda *a, **k: plain(*a, **k).checkpoint()))
+    yield
+    patch.undo()
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_equals_its_oracle(spark, duck, name):
     got = E.queries()[name](spark, SF001)
