@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVEL, BLOCK, LEAD = 5, 1024, 400
+#: So many times the sample is ranked for each language.
+OVERSAMPLE = 8
 UNKNOWN = "und"
 PREDICTION = "struct<lang_pred:string,score:double,accepted:boolean>"
 
@@ -44,9 +46,16 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     from; of an id that repeats, one text is. No rows give no dictionaries.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("id is not null and lang is not null and text is not null")
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    first = Window.partitionBy("lang").orderBy("hash", "id")
-    picked = (rows.where(F.col("lang").isin(langs)).select("lang", "id", F.xxhash64("id").alias("hash")).distinct()
+    counts = [(r["lang"], r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    langs = [lang for lang, _ in counts]
+    if not langs:
+        return {}
+    # only ids whose hash lies so low that a few times the sample is left are ranked, however many rows a language has
+    low = F.lit(None).cast("boolean")
+    for lang, n in counts:
+        low = F.when(F.col("lang") == lang, F.pmod("hash", F.lit(1 << 40)) < max(1, min(1 << 40, OVERSAMPLE * per_language * (1 << 40) // n))).otherwise(low)
+    first = Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 40)), "id")
+    picked = (rows.select("lang", "id", F.xxhash64("id").alias("hash")).where(low).distinct()
               .withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("lang", "id"))
     part = F.substring("text", F.greatest(F.lit(1), F.floor((F.length("text") - chars) / 2).cast("int") + 1), F.lit(chars))
     # at most per_language x max_languages rows on this side, and in what is collected
