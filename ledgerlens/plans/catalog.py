@@ -1263,7 +1263,7 @@ def q_kpi_cards(spark, sf):
                     TX.arrow(F.col("pct")).alias("arrow"),
                     F.format_number("current", 2).alias("current_text"),
                     F.format_number("previous", 2).alias("previous_text"),
-                    F.concat(F.format_string("%+.1f", F.col("pct")), F.lit("%")).alias("change_text"))
+                    F.concat(F.format_string("%+.1f", F.bround("pct", 1)), F.lit("%")).alias("change_text"))
 
 
 # ---------------------------------------------------------------- A12 G4 keyed upsert of the delta history
