@@ -30,37 +30,48 @@ def _plain(text: str) -> str:
     return " " + text.lower()
 
 
-def dictionary(samples: list[str], size: int) -> bytes:
-    """The samples' lines as one dictionary; lines that several samples share (licences, mottos) say nothing and are left out."""
+def dictionary(samples: list[str], size: int, shared: set[str] | None = None) -> bytes:
+    """The samples' lines as one dictionary, each once. Lines in ``shared`` (licences, mottos) say nothing and are left out;
+    by default these are the lines that several samples have."""
     lines = [dict.fromkeys(s.split("\n")) for s in samples]
-    seen = Counter(x for own in lines for x in own)
-    return "\n".join(_plain(x) for own in lines for x in own if seen[x] == 1).encode()[:size]
+    if shared is None:
+        seen = Counter(x for own in lines for x in own)
+        shared = {x for x, n in seen.items() if n > 1}
+    return "\n".join(_plain(x) for x in dict.fromkeys(x for own in lines for x in own) if x not in shared).encode()[:size]
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 128, chars: int = 1024,
           max_languages: int = 64) -> dict[str, bytes]:
     """A dictionary for each language, the most frequent first.
 
-    The sample is bounded: the ``max_languages`` most frequent languages, ``per_language`` ids each (those with the
-    smallest hash), ``chars`` characters from the middle of each text. Rows with a null text, language or id are not learnt
-    from; of an id that repeats, one text is. No rows give no dictionaries.
+    The sample is bounded: the ``max_languages`` most frequent languages, ``per_language`` different texts each (those with
+    the smallest hash), ``chars`` characters from the middle of each text. Of equal texts one is learnt from, and of equal
+    lines of a language one; lines that several languages have are left out. Rows with a null text, language or id are not
+    learnt from. No rows give no dictionaries.
     """
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("id is not null and lang is not null and text is not null")
-    counts = [(r["lang"], r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    rows = (labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("id is not null and lang is not null and text is not null")
+            .withColumn("hash", F.xxhash64("text")))
+    counts = [(r["lang"], r["texts"]) for r in rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("hash").alias("texts"))
+              .orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
     langs = [lang for lang, _ in counts]
     if not langs:
         return {}
-    # only ids whose hash lies so low that a few times the sample is left are ranked, however many rows a language has
+    # only texts whose hash lies so low that a few times the sample is left are ranked, however many a language has
     low = F.lit(None).cast("boolean")
     for lang, n in counts:
-        low = F.when(F.col("lang") == lang, F.pmod("hash", F.lit(1 << 40)) < max(1, min(1 << 40, OVERSAMPLE * per_language * (1 << 40) // n))).otherwise(low)
-    first = Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 40)), "id")
-    picked = (rows.select("lang", "id", F.xxhash64("id").alias("hash")).where(low).distinct()
-              .withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("lang", "id"))
+        low = F.when(F.col("lang") == lang, F.pmod("hash", F.lit(1 << 40)) < max(1, min(1 << 40, OVERSAMPLE * per_language * (1 << 40) // max(1, n)))).otherwise(low)
+    first = Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 40)), "hash")
+    picked = (rows.where(low).groupBy("lang", "hash").agg(F.min("id").alias("id"))
+              .withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("lang", "hash", "id"))
     part = F.substring("text", F.greatest(F.lit(1), F.floor((F.length("text") - chars) / 2).cast("int") + 1), F.lit(chars))
     # at most per_language x max_languages rows on this side, and in what is collected
-    texts = rows.join(F.broadcast(picked), ["lang", "id"]).groupBy("lang", "id").agg(F.min(part).alias("part")).orderBy("lang", "id").collect()
-    return {lang: dictionary([r["part"] for r in texts if r["lang"] == lang], per_language * chars) for lang in langs}
+    texts = rows.join(F.broadcast(picked), ["lang", "hash", "id"]).groupBy("lang", "hash").agg(F.min(part).alias("part")).orderBy("lang", "hash").collect()
+    samples: dict[str, list[str]] = {lang: [] for lang in langs}
+    for r in texts:
+        samples[r["lang"]].append(r["part"])
+    seen = Counter(x for own in samples.values() for x in {line for s in own for line in s.split("\n")})
+    shared = {x for x, n in seen.items() if n > 1}
+    return {lang: dictionary(own, per_language * chars, shared) for lang, own in samples.items()}
 
 
 class Classifier:

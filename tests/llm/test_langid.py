@@ -50,6 +50,22 @@ def test_sample_is_bounded(spark):
     assert len(known) == 2 and max(map(len, known.values())) <= 200
 
 
+def test_copies_do_not_erase_each_other(spark):
+    rows = corpus(120)
+    hot = [(5000 + i, rows[0][1], "xa") for i in range(2000)]  # one text holds nearly all rows of its language
+    df = spark.createDataFrame(rows + [(1000 + i, text, lang) for i, text, lang in rows] + hot, "doc_id long, text string, lang string")
+    known = L.learn(df, chars=4096)
+    assert all(known[lang].decode().count(text.lower()) == 1 for _, text, lang in rows)
+    got = df.select("lang", L.predict_column("text", known).alias("p")).collect()
+    assert all(r.p.lang_pred == r.lang and r.p.accepted for r in got)
+
+
+def test_a_line_that_repeats_in_a_language_is_kept_once_and_one_of_several_languages_is_not(spark):
+    rows = [(i, f"{text}\noften in {lang}\nin all languages", lang) for i, text, lang in corpus(30)]
+    for lang, known in L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars=4096).items():
+        assert known.count(f"often in {lang}".encode()) == 1 and b"in all languages" not in known
+
+
 def test_empty_table_and_no_labels(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert L.learn(empty) == {} and L.keep_identified(empty).count() == 0
