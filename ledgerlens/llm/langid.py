@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 LEVEL, BLOCK, LEAD = 5, 1024, 400
 #: So many times the sample is ranked for each language.
 OVERSAMPLE = 8
+#: Texts that are learnt from, over all languages; with more languages than that, learning is an error.
+SAMPLE = 8192
 UNKNOWN = "und"
 PREDICTION = "struct<lang_pred:string,score:double,accepted:boolean>"
 
@@ -41,30 +43,32 @@ def dictionary(samples: list[str], size: int, shared: set[str] | None = None) ->
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 128, chars: int = 1024,
-          max_languages: int = 64) -> dict[str, bytes]:
-    """A dictionary for each language, the most frequent first.
+          max_languages: int | None = None) -> dict[str, bytes]:
+    """A dictionary for each language, the most frequent first; only for the first ``max_languages``, if that is given.
 
-    The sample is bounded: the ``max_languages`` most frequent languages, ``per_language`` different texts each (those with
-    the smallest hash), ``chars`` characters from the middle of each text. Of equal texts one is learnt from, and of equal
+    The sample is bounded: ``per_language`` different texts of each language (those with the smallest hash), fewer if all
+    languages together would have more than ``SAMPLE``, and ``chars`` characters from the middle of each text. More than
+    ``SAMPLE`` languages raise ValueError: so many values are no languages. Of equal texts one is learnt from, and of equal
     lines of a language one; lines that several languages have are left out. Rows with a null text, language or id are not
     learnt from. No rows give no dictionaries.
     """
     rows = (labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("id is not null and lang is not null and text is not null")
             .withColumn("hash", F.xxhash64("text")))
-    counts = [(r["lang"], r["texts"]) for r in rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("hash").alias("texts"))
-              .orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    langs = [lang for lang, _ in counts]
+    counts = (rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("hash").alias("texts"))
+              .orderBy(F.desc("count"), "lang").limit(SAMPLE + 1 if max_languages is None else max_languages).collect())
+    langs = [r["lang"] for r in counts]
+    if len(langs) > SAMPLE:
+        raise ValueError(f"{lang_col} has more than {SAMPLE} different values")
     if not langs:
         return {}
+    per_language = min(per_language, SAMPLE // len(langs))
     # only texts whose hash lies so low that a few times the sample is left are ranked, however many a language has
-    low = F.lit(None).cast("boolean")
-    for lang, n in counts:
-        low = F.when(F.col("lang") == lang, F.pmod("hash", F.lit(1 << 40)) < max(1, min(1 << 40, OVERSAMPLE * per_language * (1 << 40) // max(1, n)))).otherwise(low)
+    below = labelled.sparkSession.createDataFrame([(r["lang"], max(1, min(1 << 40, OVERSAMPLE * per_language * (1 << 40) // max(1, r["texts"])))) for r in counts], "lang string, below long")
     first = Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 40)), "hash")
-    picked = (rows.where(low).groupBy("lang", "hash").agg(F.min("id").alias("id"))
+    picked = (rows.join(F.broadcast(below), "lang").where(F.pmod("hash", F.lit(1 << 40)) < F.col("below")).groupBy("lang", "hash").agg(F.min("id").alias("id"))
               .withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("lang", "hash", "id"))
     part = F.substring("text", F.greatest(F.lit(1), F.floor((F.length("text") - chars) / 2).cast("int") + 1), F.lit(chars))
-    # at most per_language x max_languages rows on this side, and in what is collected
+    # at most SAMPLE rows on this side, and in what is collected
     texts = rows.join(F.broadcast(picked), ["lang", "hash", "id"]).groupBy("lang", "hash").agg(F.min(part).alias("part")).orderBy("lang", "hash").collect()
     samples: dict[str, list[str]] = {lang: [] for lang in langs}
     for r in texts:

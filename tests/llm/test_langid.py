@@ -66,6 +66,21 @@ def test_a_line_that_repeats_in_a_language_is_kept_once_and_one_of_several_langu
         assert known.count(f"often in {lang}".encode()) == 1 and b"in all languages" not in known
 
 
+def test_every_language_is_learnt(spark, monkeypatch):
+    rng = random.Random(1)
+    letters = [chr(0x4E00 + 40 * i + j) for i in range(70) for j in range(40)]
+    rows = [(100 * i + j, "".join(rng.choices(letters[40 * i:40 * i + 40], k=200)), f"l{i}") for i in range(70) for j in range(9 if i < 64 else 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = L.learn(df)
+    assert len(known) == 70 and all(r.p.lang_pred == r.lang for r in df.select("lang", L.predict_column("text", known).alias("p")).collect())
+    monkeypatch.setattr(L, "SAMPLE", 140)
+    known = L.learn(df, chars=100)
+    assert len(known) == 70 and all(0 < len(d) <= 200 for d in known.values())
+    monkeypatch.setattr(L, "SAMPLE", 69)
+    with pytest.raises(ValueError, match="more than 69"):
+        L.learn(df)
+
+
 def test_empty_table_and_no_labels(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert L.learn(empty) == {} and L.keep_identified(empty).count() == 0
