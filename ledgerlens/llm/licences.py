@@ -1,7 +1,7 @@
 """Licence scans by sentence rules.
 
 A text is cut into sentences. Each is normalised (lower case; letters, digits and the signs of versions only) and looked
-up: known licence sentences have identifiers, some with a parameter such as a version. The identifiers of a text, in
+up, from each of its lines on, as notices often follow each other without a full stop: known licence sentences have identifiers, some with a parameter such as a version. The identifiers of a text, in
 order, are then matched against ordered rules, longest evidence first; a rule names the licence that its sequence of
 identifiers means. Identifiers that no rule takes are reported too, as a licence that isn't known.
 """
@@ -9,6 +9,7 @@ identifiers means. Identifiers that no rule takes are reported too, as a licence
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -76,16 +77,22 @@ UNKNOWN = "unknown"
 WEAK = {"copyright", "rights", "mit-title"}
 MATCHES = "rule string, licence string, start long, length long, sentences array<string>"
 
-_PATTERNS = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
+
+def _lined(name: str, pattern: str) -> tuple[str, re.Pattern, bool]:
+    """The pattern for text whose lines are kept: a blank may be a line's end, and the sentence ends with a line (but not
+    before "or ..."). A last ``.*`` is no part of it; it says that the sentence may go on."""
+    open_end = pattern.endswith(".*")
+    end = "" if open_end else r"(?=[ ./-]*(?:\n(?!or[ \n])|\Z))"
+    return name, re.compile(pattern.removesuffix(".*").replace(" ", "[ \n]") + end, re.S), open_end
+
+
+_PATTERNS = [_lined(name, pattern) for name, pattern in SENTENCES]
 #: Every pattern holds one of these, so that texts and sentences without any need no look-up.
 _HINT = re.compile(r"licen[sc]e|copyright|permission|redistribut|software|rights reserved|liable|public domain|neither the name|under cc|warranty", re.I)
-_END = re.compile(r"(?<=[.!?;])\s+(?=[A-Z0-9\"'(©*#/-]*[A-Z])|\s*\n\s*\n\s*")
-_OTHER = re.compile(r"[^a-z0-9.+()/-]+")
-
+_END = re.compile(r"(?<=[.!?;])\s+(?=[A-Z0-9\"'(©*#/-]*[A-Z])|(?<!\s)\s*\n\s*\n\s*")
+_LINE, _WORD, _LEAD = re.compile(r"[^\n]+"), re.compile(r"[A-Za-z0-9.+()/-]+"), re.compile(r"[ ./-]*")
 
-def normalise(sentence: str) -> str:
-    """Lower case, with a space for any run of other signs than those of versions and names."""
-    return _OTHER.sub(" ", sentence.lower()).strip(" ./-")
+Identity = tuple[str, tuple[str, ...]]
 
 
 def _parameters(name: str, found: tuple) -> tuple[str, ...]:
@@ -99,18 +106,6 @@ def _parameters(name: str, found: tuple) -> tuple[str, ...]:
     return tuple(version(v) for v in found if v)
 
 
-def identify(sentence: str) -> tuple[str, tuple[str, ...]] | None:
-    """(identifier, parameters) of a known licence sentence."""
-    if _HINT.search(sentence):
-        plain = normalise(sentence)
-        for name, pattern in _PATTERNS:
-            if m := pattern.fullmatch(plain):
-                if name == "spdx":  # as it is written there
-                    return name, tuple(sentence.split()[-1:])
-                return name, _parameters(name, m.groups())
-    return None
-
-
 def _spans(text: str) -> Iterator[tuple[int, int]]:
     at = 0
     for m in _END.finditer(text):
@@ -119,18 +114,94 @@ def _spans(text: str) -> Iterator[tuple[int, int]]:
     yield at, len(text)
 
 
-def sentences(text: str) -> Iterator[tuple[int, int, tuple[str, tuple[str, ...]] | None]]:
-    """(start, end, identity) of the text's sentences. A sentence may run over lines; one that isn't known as a whole
-    is taken line by line. Sentences without a letter are passed over."""
+class _Lines:
+    """A sentence's lines: ``plain`` holds them normalised (lower case, with a space for any run of other signs than those
+    of versions and names), ``begins`` where each begins there, and ``words`` (begin there, start in the text) of each word."""
+
+    def __init__(self, text: str, start: int, end: int):
+        self.text, self.ends, self.begins, self.words, self.plain = text, [], [], [], ""
+        lines, size = [], 0
+        for m in _LINE.finditer(text, start, end):
+            own = [(w.start(), w.group().lower()) for w in _WORD.finditer(text, m.start(), m.end())]
+            self.begins.append(size)
+            self.ends.append(m)
+            for at, word in own:
+                self.words.append((size, at))
+                size += len(word) + 1
+            lines.append(" ".join(word for _, word in own))
+            size += not own
+        self.plain = "\n".join(lines)
+
+    def span(self, first: int, last: int) -> tuple[int, int]:
+        """(start, end) of lines in the text, without white space around them."""
+        a, b = self.ends[first].start(), self.ends[last].end()
+        part = self.text[a:b]
+        return a + len(part) - len(part.lstrip()), b - len(part) + len(part.rstrip())
+
+    def known(self, at: int) -> tuple[Identity, int, bool] | None:
+        """(identity, last line, whether it may go on) of the known licence sentence that begins at ``at`` of ``plain``."""
+        at = _LEAD.match(self.plain, at).end()
+        for name, pattern, open_end in _PATTERNS:
+            if m := pattern.match(self.plain, at):
+                values = _parameters(name, m.groups())
+                if name == "spdx":  # as it is written there
+                    begin, start = self.words[bisect_right(self.words, (m.end() - 1, len(self.text))) - 1]
+                    values = (self.text[start:start + m.end() - begin].rstrip("."),)
+                return (name, values), bisect_right(self.begins, m.end() - 1) - 1, open_end
+        return None
+
+
+def _known(lines: _Lines) -> Iterator[tuple[int, int, int, Identity, bool]]:
+    """(first line, start in the text, last line, identity, whether it may go on) of known licence sentences.
+
+    One begins at a line's beginning and may run over lines, or follows in the line of a copyright.
+    """
+    i, n = 0, len(lines.begins)
+    while i < n:
+        if (found := lines.known(lines.begins[i])) is None:
+            i += 1
+            continue
+        identity, last, open_end = found
+        yield i, lines.span(i, i)[0], last, identity, open_end
+        i = last + 1
+        if identity[0] == "copyright":
+            begin, end = lines.begins[last], lines.begins[last + 1] if last + 1 < n else len(lines.plain) + 1
+            for at, start in lines.words[bisect_right(lines.words, (begin, len(lines.text))):bisect_right(lines.words, (end - 1, len(lines.text)))]:
+                if (found := lines.known(at)) and found[0][0] not in WEAK:
+                    yield last, start, found[1], found[0], found[2]
+                    i = found[1] + 1
+                    break
+
+
+def sentences(text: str) -> Iterator[tuple[int, int, Identity | None]]:
+    """(start, end, identity) of the text's sentences. A sentence is taken apart where a line begins a known one; one that
+    may go on (a copyright, say) goes on until then. What isn't known is taken line by line. Sentences without a letter are
+    passed over."""
     for start, end in _spans(text):
-        known = identify(text[start:end])
-        if known or "\n" not in text[start:end]:
-            parts = [(start, end, known)]
-        else:
-            parts = [(start + m.start(), start + m.end(), identify(m.group())) for m in re.finditer(r"[^\n]+", text[start:end])]
-        for a, b, known in parts:
-            if known or any(map(str.isalpha, text[a:b])):
-                yield a, b, known
+        if not _HINT.search(text, start, end):
+            if any(map(str.isalpha, text[start:end])):
+                yield start, end, None
+            continue
+        lines = _Lines(text, start, end)
+        found, i, n = [*_known(lines)], 0, len(lines.begins)
+        for k, (first, at, last, identity, open_end) in enumerate(found):
+            yield from _unknown(lines, i, first)
+            following = found[k + 1] if k + 1 < len(found) else (n, None)
+            if open_end:
+                last = max(last, following[0] - 1)
+            stop = lines.span(last, last)[1]
+            if following[1] is not None and following[1] < stop:  # in the same line
+                stop = at + len(text[at:following[1]].rstrip())
+            yield at, stop, identity
+            i = last + 1
+        yield from _unknown(lines, i, n)
+
+
+def _unknown(lines: _Lines, first: int, end: int) -> Iterator[tuple[int, int, None]]:
+    for i in range(first, end):
+        a, b = lines.span(i, i)
+        if any(map(str.isalpha, lines.text[a:b])):
+            yield a, b, None
 
 
 def _fit(rule: tuple[str, ...], names: list[str]) -> int:
@@ -148,7 +219,7 @@ def scan(text: str | None) -> Iterator[tuple[str | None, str, int, int, list[str
     """(rule, licence, start, length, identifiers) of every match, in order of the text."""
     if not text or not _HINT.search(text):
         return
-    run: list[tuple[int, int, tuple[str, tuple[str, ...]]]] = []
+    run: list[tuple[int, int, Identity]] = []
     for start, end, known in [*sentences(text), (0, 0, None)]:
         if known:
             run.append((start, end, known))

@@ -64,6 +64,19 @@ def test_rules(text, want):
     assert [m[1] for m in L.scan(text)] == want
 
 
+@pytest.mark.parametrize("text, want", [
+    ("Copyright 2020 Foo\nReleased under the MIT License.", [("MIT", "Released under the MIT License.")]),
+    ("Copyright (c) 2020 Foo\nLicensed under the Apache License, Version 2.0.\nOther words", [("Apache-2.0", "Licensed under the Apache License, Version 2.0.")]),
+    ("Copyright (c) 2020 Foo Released under the MIT License.", [("MIT", "Released under the MIT License.")]),
+    ("Copyright 2019 A\nCopyright 2020 B and\nothers\nReleased under\nthe MIT License", [("MIT", "Released under\nthe MIT License")]),
+    ("Copyright 2020 Foo\nThis work is licensed under the GNU General\nPublic License, version 3.", [("GPL-3.0-only", "This work is licensed under the GNU General\nPublic License, version 3.")]),
+    ("Licensed under the Apache License, Version 2.0\nReleased under the MIT License", [("Apache-2.0", "Licensed under the Apache License, Version 2.0"), ("MIT", "Released under the MIT License")]),
+    ("Copyright 2020 Foo\nand the others of it", []), ("Copyright 2020 Foo\nAll rights reserved", []),
+])
+def test_a_notice_that_follows_a_copyright_is_found(text, want):
+    assert [(m[1], text[m[2]:m[2] + m[3]]) for m in L.scan(text)] == want
+
+
 def test_apache_header_in_comments_is_one_match():
     rule, licence, start, length, names = next(iter(L.scan("x = 1\n\n" + APACHE)))
     assert licence == "Apache-2.0" and names[0] == "apache-licensed"
