@@ -3,7 +3,8 @@
 A text is cut into sentences. Each is normalised (lower case; letters, digits and the signs of versions only) and looked
 up, from each of its lines on, as notices often follow each other without a full stop: known licence sentences have identifiers, some with a parameter such as a version. The identifiers of a text, in
 order, are then matched against ordered rules, longest evidence first; a rule names the licence that its sequence of
-identifiers means. Identifiers that no rule takes are reported too, as a licence that isn't known.
+identifiers means. Identifiers that no rule takes are reported too, as a licence that isn't known, and so are sentences
+that put something under a licence without being known. Marks of comments at the ends of lines count as blanks.
 """
 
 from __future__ import annotations
@@ -90,8 +91,16 @@ _PATTERNS = [_lined(name, pattern) for name, pattern in SENTENCES]
 #: Every pattern holds one of these, so that texts and sentences without any need no look-up.
 _HINT = re.compile(r"licen[sc]e|copyright|permission|redistribut|software|rights reserved|liable|public domain|neither the name|under cc|warranty", re.I)
 _END = re.compile(r"(?<=[.!?;])\s+(?=[A-Z0-9\"'(©*#/-]*[A-Z])|(?<!\s)\s*\n\s*\n\s*")
+#: Marks of comments, lists and quotations at the beginning of a line, marks at its end, and lines of signs only.
+_MARKS = (re.compile(r"""^[ \t]*(?:(?:/\*+!?|\*+/|\(\*+|<!--+|//+!?|\*+\)?|\#+!?|--+>?|-(?=[ \t])|;+|%+|!+|>+|\|+|\"{3}|'{3}|\.\\"|@?(?:dnl|rem)\b)[ \t]*)+""", re.M | re.I),
+          re.compile(r"(?<![*#|-])(?:[*#|]++[/)]?|--+>?)[ \t\r]*$", re.M), re.compile(r"^[^\w\n]+$", re.M))
+#: A sentence that puts something under a licence, whichever.
+_LIKE = re.compile(r"(?:(?:this|these|the|all|it|code)(?:[ \n][^ \n]+){0,8}?[ \n](?:is|are|may[ \n]be|can[ \n]be)[ \n](?:also[ \n])?)?"
+                   r"(?:dual-)?(?:licen[sc]ed|(?:re)?distributed|released|available|covered|governed)[ \n](?:under|by)[ \n](?:[^ \n]+[ \n]){0,12}?licen[sc]es?(?![a-z])")
 _LINE, _WORD, _LEAD = re.compile(r"[^\n]+"), re.compile(r"[A-Za-z0-9.+()/-]+"), re.compile(r"[ ./-]*")
 
+#: The identifier of licence sentences that aren't known.
+LIKE = "licence-like"
 Identity = tuple[str, tuple[str, ...]]
 
 
@@ -106,6 +115,13 @@ def _parameters(name: str, found: tuple) -> tuple[str, ...]:
     return tuple(version(v) for v in found if v)
 
 
+def uncommented(text: str) -> str:
+    """The text with blanks for the marks of comments; every other sign stays where it is."""
+    for marks in _MARKS:
+        text = marks.sub(lambda m: " " * len(m.group()), text)
+    return text
+
+
 def _spans(text: str) -> Iterator[tuple[int, int]]:
     at = 0
     for m in _END.finditer(text):
@@ -138,6 +154,11 @@ class _Lines:
         part = self.text[a:b]
         return a + len(part) - len(part.lstrip()), b - len(part) + len(part.rstrip())
 
+    def like(self, at: int) -> int | None:
+        """The last line of the words at ``at`` that put something under a licence."""
+        m = _LIKE.match(self.plain, _LEAD.match(self.plain, at).end())
+        return bisect_right(self.begins, m.end() - 1) - 1 if m else None
+
     def known(self, at: int) -> tuple[Identity, int, bool] | None:
         """(identity, last line, whether it may go on) of the known licence sentence that begins at ``at`` of ``plain``."""
         at = _LEAD.match(self.plain, at).end()
@@ -187,19 +208,25 @@ def sentences(text: str) -> Iterator[tuple[int, int, Identity | None]]:
         for k, (first, at, last, identity, open_end) in enumerate(found):
             yield from _unknown(lines, i, first)
             following = found[k + 1] if k + 1 < len(found) else (n, None)
+            i = last + 1
             if open_end:
-                last = max(last, following[0] - 1)
+                i = max(i, following[0])
+                if identity[0] in WEAK:  # it does not go on over what names a licence
+                    i = next((j for j in range(last + 1, i) if (to := lines.like(lines.begins[j])) is not None and to < i), i)
+                last = max(last, i - 1)
             stop = lines.span(last, last)[1]
             if following[1] is not None and following[1] < stop:  # in the same line
                 stop = at + len(text[at:following[1]].rstrip())
             yield at, stop, identity
-            i = last + 1
         yield from _unknown(lines, i, n)
 
 
-def _unknown(lines: _Lines, first: int, end: int) -> Iterator[tuple[int, int, None]]:
+def _unknown(lines: _Lines, first: int, end: int) -> Iterator[tuple[int, int, Identity | None]]:
     for i in range(first, end):
         a, b = lines.span(i, i)
+        if (to := lines.like(lines.begins[i])) is not None and to < end:
+            yield a, lines.span(end - 1, end - 1)[1], (LIKE, ())
+            return
         if any(map(str.isalpha, lines.text[a:b])):
             yield a, b, None
 
@@ -220,7 +247,7 @@ def scan(text: str | None) -> Iterator[tuple[str | None, str, int, int, list[str
     if not text or not _HINT.search(text):
         return
     run: list[tuple[int, int, Identity]] = []
-    for start, end, known in [*sentences(text), (0, 0, None)]:
+    for start, end, known in [*sentences(uncommented(text)), (0, 0, None)]:
         if known:
             run.append((start, end, known))
             continue

@@ -77,6 +77,38 @@ def test_a_notice_that_follows_a_copyright_is_found(text, want):
     assert [(m[1], text[m[2]:m[2] + m[3]]) for m in L.scan(text)] == want
 
 
+ISC = """Copyright (c) 2020 Some One
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+@pytest.mark.parametrize("first, mark, last", [("/*", " * ", " */"), ("/*", " ", "*/"), ("#", "# ", "#"), ("//", "// ", ""), ("", "-- ", ""), ("<!--", "  ", "-->"), ("/" + "*" * 70, " * ", " " + "*" * 70 + "/"), ("", "\t;; ", "")])
+@pytest.mark.parametrize("notice, want", [(MIT, "MIT"), (BSD, "BSD-2-Clause"), (BSD + ENDORSE, "BSD-3-Clause"), (GPL, "GPL-3.0-or-later"), (ISC, "ISC"), ("Copyright 2020 Foo LLC\n\n" + APACHE.replace("# ", "").replace("#", ""), "Apache-2.0"),
+                                          ("Copyright 2020 Foo\nThis work is licensed under the GNU General\nPublic License, version 3.", "GPL-3.0-only")])
+def test_notices_in_comments(first, mark, last, notice, want):
+    text = "\n".join([first, *((mark + line).rstrip() for line in notice.split("\n")), last, "x = 1"])
+    got = list(L.scan(text))
+    assert [m[1] for m in got] == [want] and text[got[0][2]:].startswith("This work" if "work" in notice else notice.split()[0])
+    assert "work" in notice or len(got[0][4]) >= 2
+
+
+@pytest.mark.parametrize("text, want", [
+    ("This code is dual-licensed under the Foo License.", "This code is dual-licensed under the Foo License."), ("Copyright 2020 Foo\nLicensed under the Foo\nLicense, see there", "Licensed under the Foo\nLicense, see there"),
+    ("# Words\n#\n# Released under the terms of\n# the Bar Licence\n", "Released under the terms of\n# the Bar Licence"), ("// SPDX-License-Identifier: MIT */", None), ("The licence is under the tree", ""),
+    ("This package is\nreleased under the MIT License.", None),
+])
+def test_sentences_that_put_something_under_an_unknown_licence(text, want):
+    got = [(m[1], text[m[2]:m[2] + m[3]]) for m in L.scan(text)]
+    assert [x for x, _ in got] == ["MIT"] if want is None else got == [("unknown", want)] * bool(want)
+
+
+def test_long_runs_of_marks_take_no_long_time():
+    for run in ("#" * 100_000, "* " * 50_000, " " * 100_000, "-" * 100_000 + "x", "x" + "*" * 100_000 + "x", "/* " * 30_000 + "x", "\n#" * 50_000):
+        assert [m[1] for m in L.scan("licence\n" + run + "\n\nReleased under the MIT License.")] == ["MIT"]
+
+
 def test_apache_header_in_comments_is_one_match():
     rule, licence, start, length, names = next(iter(L.scan("x = 1\n\n" + APACHE)))
     assert licence == "Apache-2.0" and names[0] == "apache-licensed"
