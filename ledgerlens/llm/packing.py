@@ -3,10 +3,11 @@
 Documents are tokenised, and those longer than a sequence are cut: full pieces are sequences of their own, what is
 left over (the first piece) is packed with the short documents. Items are dealt into groups of about ``GROUP``; each
 group is packed best fit decreasing. Dual feasible functions bound the sequences that a group's items need at least:
-a group that needs no more is certified and done. A group with a gap keeps its full sequences and gives the documents
-of the others away; these sequences are dealt into fewer groups, whose documents are packed anew, and the better
-of the old and the new packing stays. This ends when no gap is left, or when one group holds all that was given away,
-or when an exchange saved nothing. A group never holds more than a bounded number of rows; the driver reads counts.
+a group that needs no more is certified, and gives only its emptiest sequence away. A group with a gap keeps its full
+sequences and gives the others away; if it came in sequences and saved none, it keeps the fuller half of these too. What
+was given away is dealt into fewer groups, whose documents are packed anew, and the better of the old and the new packing
+stays. This ends when one group holds all that was given away, or when the sequences of all groups are as few as the
+bound for the lengths of the whole table. A group never holds more than a bounded number of rows; the driver reads counts.
 """
 
 from __future__ import annotations
@@ -141,14 +142,20 @@ def _pack(capacity: int, round_no: int):
         lengths, old = rows["length"].to_numpy(), rows["sequence_id"].to_numpy()
         bins, offsets, n = best_fit_decreasing(lengths, capacity)
         before = len(np.unique(old)) if round_no else n + 1
-        if n < before:
+        saved = n < before
+        if saved:
             sequence = (round_no << 54) + (int(rows["group"][0].as_py()) << 20) + bins
         else:
             sequence, offsets, n = old, rows["offset"].to_numpy(), before
             bins = np.unique(old, return_inverse=True)[1]
         certified = n == lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        full = np.bincount(bins, weights=lengths)[bins] == capacity
-        new = {"sequence_id": sequence, "offset": offsets, "done": full | certified, "certified": np.full(len(bins), certified)}
+        fill = np.bincount(bins, weights=lengths)
+        emptiest = np.argsort(fill, kind="stable")[:np.count_nonzero(fill < capacity)]
+        # a group that saved nothing gives fewer away than came in, so that the exchange comes to an end
+        away = len(emptiest) if saved else len(emptiest) // 2
+        done = np.ones(n, bool)
+        done[emptiest[:min(away, 1) if certified else away]] = False
+        new = {"sequence_id": sequence, "offset": offsets, "done": done[bins], "certified": np.full(len(bins), certified)}
         return pa.table({name: pa.array(new[name]) if name in new else rows[name] for name in rows.column_names})
 
     return pack
@@ -175,7 +182,10 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     number = F.col("sequence_id") + F.lit(1 << 62)
     finished = [rows.where(F.col("length") >= capacity).select("rec", number.alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))]
     now = rows.where(F.col("length") < capacity).withColumns({"offset": F.lit(0).cast("long"), "done": F.lit(False), "certified": F.lit(False)})
-    n, held, round_no = now.count(), None, 0
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in now.groupBy("length").count().collect():  # a row for each length
+        counts[r["length"]] = r["count"]
+    n, kept, least, round_no = int(counts.sum()), 0, lower_bound(counts, capacity), 0
     while n:
         grouped = _dealt(now, n, round_no)
         # the rows are few words each: ids and lengths, no tokens
@@ -185,10 +195,10 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
         groups = max(1, -(-n // GROUP))
         after = packed.agg(F.count_distinct("sequence_id").alias("all"), F.count_distinct(F.when(~F.col("done"), F.col("sequence_id"))).alias("open"),
                            F.count_if(~F.col("done")).alias("n")).first()
-        if groups == 1 or (held is not None and after["all"] >= held):
+        if groups == 1 or kept + after["all"] == least:
             finished.append(now.select("rec", "sequence_id", "offset", "certified"))
             break
-        n, held, round_no = after["n"], after["open"], round_no + 1
+        n, kept, round_no = after["n"], kept + after["all"] - after["open"], round_no + 1
     out = finished[0]
     for part in finished[1:]:
         out = out.union(part)

@@ -85,6 +85,15 @@ def test_gaps_are_repacked_over_groups(spark, monkeypatch, group):
         assert all(r.certified for r in rows)
 
 
+def test_exchange_goes_on_over_certified_groups_and_rounds_that_save_nothing(spark, monkeypatch):
+    monkeypatch.setattr(K, "GROUP", 50)
+    rng = random.Random(7)
+    for lengths, most in (([512] * 1001, 501), ([rng.randrange(200, 700) for _ in range(1500)], None)):
+        rows = K.pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id int, length long").coalesce(1)).collect()
+        assert Counter(r.length for r in rows) == Counter(lengths)
+        assert placed(rows) <= (most or 1.02 * K.best_fit_decreasing(np.array(lengths), 1024)[2])
+
+
 def check(rows, docs, capacity=1024):
     plain = Tokenizer.from_file(PATH)
     want = Counter()
