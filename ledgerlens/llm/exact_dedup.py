@@ -3,10 +3,12 @@
 Texts are equal when they are identical after every run of white space is replaced by one space. Rows are
 grouped by length, then by a hash of a prefix, and only rows that still share both are hashed in full.
 
-* One scan yields (length, prefix hash) of each row: finding the normalised length already needs the text.
-  Their counts are combined before the shuffle, so that a group of any size is one row a task.
-* Lengths that occur once drop out, then (length, prefix) pairs that occur once. What is left is a small
-  table with one row for each repeated pair. It is joined to the rows once; whole texts move in that join only.
+* A scan counts the rows of each normalised length. Lengths that occur once drop out. The others are few: each is held
+  by two rows, so that they are no more than the square root of the table's characters, and they are broadcast.
+* The next scan hashes the prefixes of rows whose length repeats. (length, prefix) pairs that occur once drop out. Counts
+  are combined before the shuffle, so that a group of any size is one row a task.
+* What is left is a small table with one row for each repeated pair. It is joined to the rows once; whole texts move in
+  that join only, those of all rows, as there are no row numbers by which a later scan could find the rows that are left.
 * Rows that match are hashed with SHA-256 and grouped by the full hash; only hashes and ids move.
 
 The tables of keys are checkpointed before each join, so that both sides of it are plain exchanges: then the
@@ -25,11 +27,20 @@ def normalised(text: str | Column) -> Column:
     return F.regexp_replace(text_or_empty(text), f"{SPACE_CLASS}+", " ")
 
 
+def repeated_lengths(keyed: DataFrame) -> DataFrame:
+    """Lengths of more than one row."""
+    return keyed.groupBy("length").agg(F.count("*").alias("n")).where("n > 1").select("length")
+
+
+def prefixed(keyed: DataFrame, lengths: DataFrame, prefix: int) -> DataFrame:
+    """``keyed`` with the hash of its prefix; null, and not computed, where the length is not among ``lengths``."""
+    known = F.broadcast(lengths.withColumn("repeats", F.lit(True)))
+    return keyed.join(known, "length", "left").withColumn("prefix", F.when(F.col("repeats"), F.xxhash64(F.substring("norm", 1, prefix)))).drop("repeats")
+
+
 def repeated_prefixes(keyed: DataFrame) -> DataFrame:
-    """(length, prefix) of more than one row, found level by level."""
-    pairs = keyed.groupBy("length", "prefix").agg(F.count("*").alias("n"))
-    lengths = pairs.groupBy("length").agg(F.sum("n").alias("n")).where("n > 1").select("length")
-    return pairs.join(lengths, "length", "left_semi").where("n > 1").select("length", "prefix")
+    """(length, prefix) of more than one row, where there is a prefix."""
+    return keyed.where("prefix is not null").groupBy("length", "prefix").agg(F.count("*").alias("n")).where("n > 1").select("length", "prefix")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None,
@@ -44,7 +55,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rec = F.struct(*[docs[c] for c in columns or [id_col]]).alias("rec")
     keyed = (docs.select(rec, docs[id_col].alias("id"), normalised(docs[text_col]).alias("norm"))
-             .select("*", F.length("norm").alias("length"), F.xxhash64(F.substring("norm", 1, prefix)).alias("prefix")))
+             .withColumn("length", F.length("norm")))
+    keyed = prefixed(keyed, materialise(repeated_lengths(keyed)), prefix)
     again = materialise(repeated_prefixes(keyed).withColumn("again", F.lit(True)))
     digest = F.sha2("norm", 256)
     joined = keyed.join(again, ["length", "prefix"], "left")

@@ -35,5 +35,12 @@ def test_nulls_ties_repeats_long_texts_and_clashing_columns(spark):
     assert E.drop_duplicates(df).columns == df.columns and E.drop_duplicates(df).count() == len(groups)
 
 
+def test_prefixes_are_hashed_only_where_the_length_repeats(spark):
+    keyed = spark.createDataFrame([("aa", 2), ("bb", 2), ("aa", 2), ("c", 1), ("", 0)], "norm string, length int")
+    got = E.prefixed(keyed, E.repeated_lengths(keyed), 256)
+    assert sorted((r.norm, r.prefix is None) for r in got.collect()) == [("", True), ("aa", False), ("aa", False), ("bb", False), ("c", True)]
+    assert [r.length for r in E.repeated_prefixes(got).collect()] == [2]
+
+
 def test_empty_table(spark):
     assert E.exact_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
