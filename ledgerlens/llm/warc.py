@@ -7,7 +7,7 @@ will do, and lost tasks leave nothing behind. The writer ends each archive with
 
 Reading: every record is checked (version line, headers, length, end, block digest, payload digest). After a failed
 check the reader searches for the next gzip member or version line that holds a valid record, goes on from there, and
-reports the bytes between as a quarantined gap with the reason.
+reports the bytes between as a quarantined gap with the reason. Members may hold any number of records.
 """
 
 from __future__ import annotations
@@ -159,29 +159,66 @@ def _http_length(block: bytes) -> int | None:
     return None
 
 
-def _member(data: bytes, at: int) -> tuple[Record, int]:
-    """The record in the gzip member at ``at``, and the offset behind the member."""
+def _unpacked(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What the gzip member at ``at`` holds, the offset behind what was read of it, and what is wrong with it, if anything:
+    then it is what it holds before the break."""
     unpack, parts, end = zlib.decompressobj(31), [], at
     try:
         while not unpack.eof and end < len(data):
             parts.append(unpack.decompress(data[end:end + FEED]))
             end = min(end + FEED, len(data))
-    except zlib.error as e:
-        raise Damage("gzip member is damaged") from e
-    if not unpack.eof:
-        raise Damage("gzip member is cut off")
-    plain = b"".join(parts)
-    record = parse_record(plain)
-    if record.end != len(plain):
-        raise Damage("gzip member holds more than a record")
-    return record, end - len(unpack.unused_data)
+    except zlib.error:
+        # the piece with the break again, byte by byte
+        unpack = zlib.decompressobj(31)
+        parts = [unpack.decompress(data[at:end])]
+        try:
+            for i in range(end, min(end + FEED, len(data))):
+                parts.append(unpack.decompress(data[i:i + 1]))
+        except zlib.error:
+            pass
+        return b"".join(parts), end, "gzip member is damaged"
+    return b"".join(parts), end - len(unpack.unused_data), None if unpack.eof else "gzip member is cut off"
+
+
+def _inside(plain: bytes) -> Iterator[Record | str]:
+    """The valid records of a member, and a reason for each gap between, in order."""
+    at = 0
+    while at < len(plain):
+        if plain[at] == 0:
+            at += 1
+            continue
+        try:
+            record = parse_record(plain, at)
+            yield record
+            at = record.end
+            continue
+        except Damage as damage:
+            reason = damage.reason
+        while at < len(plain):
+            at = plain.find(b"WARC/1.", at + 1)
+            at = len(plain) if at < 0 else at
+            try:
+                if at < len(plain):
+                    parse_record(plain, at)
+                break
+            except Damage:
+                continue
+        yield reason
 
 
-def _at(data: bytes, at: int) -> tuple[Record, int]:
-    if data.startswith(GZIP, at):
-        return _member(data, at)
-    record = parse_record(data, at)
-    return record, record.end
+def _at(data: bytes, at: int) -> tuple[list[Record | str], int | None]:
+    """The records at ``at`` (several, with reasons for gaps, if a member holds them) and the offset behind them; None if
+    their member breaks off, with the reason as the last item. Raises Damage if there is no valid record."""
+    if not data.startswith(GZIP, at):
+        record = parse_record(data, at)
+        return [record], record.end
+    plain, end, broken = _unpacked(data, at)
+    found = [*_inside(plain)]
+    if not any(isinstance(x, Record) for x in found):
+        raise Damage(broken or next(iter(found), "gzip member is empty"))
+    if broken:  # the last gap, if there is one, is the break
+        return [*(found[:-1] if isinstance(found[-1], str) else found), broken], None
+    return found, end
 
 
 def _next_start(data: bytes, at: int) -> int:
@@ -194,21 +231,21 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, Record | str]]:
     """(offset, length, record) of all valid records and (offset, length, reason) of the gaps between, in order.
 
     Bytes of zero between records are padding and no gap. A valid record that lies inside a damaged one (in its
-    payload, say) is recovered like any other. An empty archive has neither records nor gaps.
+    payload, say) is recovered like any other. Records that share a gzip member, and the gaps between them, all have the
+    place of the member; of a member that breaks off those before the break are read, and the rest is a gap. An empty
+    archive has neither records nor gaps.
     """
     at = 0
     while at < len(data):
         if data[at] == 0:
             at += 1
             continue
+        start = at
         try:
-            record, end = _at(data, at)
-            yield at, end - at, record
-            at = end
-            continue
+            found, end = _at(data, at)
         except Damage as damage:
-            reason, start = damage.reason, at
-        while at < len(data):
+            found, end = [damage.reason], None
+        while end is None and at < len(data):
             at = _next_start(data, at + 1)
             try:
                 if at < len(data):
@@ -216,7 +253,8 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, Record | str]]:
                 break
             except Damage:
                 continue
-        yield start, at - start, reason
+        at = at if end is None else end
+        yield from ((start, at - start, x) for x in found)
 
 
 def _reader(with_payload: bool):
@@ -244,7 +282,7 @@ def _reader(with_payload: bool):
                             body = _payload(x.block)
                             row |= {"payload": body if with_payload else None, "payload_bytes": len(body), "payload_digest": hashlib.sha256(body).hexdigest()}
                     rows.append(row)
-                    held += length
+                    held += length if isinstance(x, str) else len(x.block)
                     if held > ARCHIVE or len(rows) >= 1000:
                         yield pa.RecordBatch.from_pylist(rows, schema)
                         rows, held = [], 0

@@ -49,6 +49,25 @@ def test_salvage_of_every_kind_of_damage(pack):
     assert pages(whole[:starts[1]] + b"\0" * 20 + whole[starts[1]:]) == list(range(6))
 
 
+def test_members_that_hold_several_records():
+    rng = random.Random(3)
+    records = [record(n, rng.randbytes(3000)) for n in range(40)]
+    whole, tail = W._gzip(b"".join(records)), W._gzip(record(90))
+    assert pages(whole + tail) == [*range(40), 90] and gaps(whole + tail) == []
+    inner = records.copy()
+    inner[7] = inner[7][:-1000] + b"x" + inner[7][-999:]
+    spoilt = W._gzip(b"".join(inner))
+    assert pages(spoilt + tail) == [*range(7), *range(8, 40), 90] and gaps(spoilt + tail) == [(0, len(spoilt))]
+    cut = whole[:len(whole) // 2]  # half of random bytes are half of the records
+    assert pages(cut + tail)[:18] == [*range(18)] and pages(cut + tail)[-1] == 90 and gaps(cut + tail) == [(0, len(cut))]
+    assert pages(cut) == pages(cut + tail)[:-1]
+    broken = bytearray(whole)
+    broken[len(whole) // 2:len(whole) // 2 + 400] = b"\xff" * 400
+    assert pages(bytes(broken) + tail)[:18] == [*range(18)] and pages(bytes(broken) + tail)[-1] == 90 and gaps(bytes(broken) + tail) == [(0, len(broken))]
+    no_sum = whole[:-8] + bytes(8)
+    assert pages(no_sum) == [*range(40)] and gaps(no_sum) == [(0, len(no_sum))]
+
+
 def test_gaps_and_records_cover_the_archive():
     rng = random.Random(0)
     whole = b"".join(rng.choice([lambda r: r, W._gzip])(record(n, rng.randbytes(rng.randrange(0, 300)))) for n in range(30))
