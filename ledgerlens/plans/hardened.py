@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as NU
@@ -94,14 +94,26 @@ def q_missing_commentary(spark, sf):
 
 # ---------------------------------------------------------------- F13: a chain of all reports, and cycles
 
+def _with_previous(ids: DataFrame, col: str, out: str) -> DataFrame:
+    """``ids`` with ``out``: the value of ``col`` before it in the order of the whole table, which no single task sorts.
+
+    Inside a range it is the row before; the first row of a range takes the last of the ranges before (one row a range).
+    """
+    ensure_checkpoint_dir(ids.sparkSession)
+    ranged = ids.orderBy(col).withColumn("_range", F.spark_partition_id()).checkpoint()
+    inside = ranged.withColumn("_before", F.lag(col).over(Window.partitionBy("_range").orderBy(col)))
+    lasts = ranged.groupBy("_range").agg(F.max(col).alias("_last")).select("_last")
+    firsts = inside.where("_before is null").select(F.col(col).alias("_first"))
+    links = firsts.join(F.broadcast(lasts), F.col("_last") < F.col("_first")).groupBy("_first").agg(F.max("_last").alias("_link"))
+    return inside.join(F.broadcast(links), F.col(col) == F.col("_first"), "left").withColumn(out, F.coalesce("_before", "_link")).drop("_range", "_before", "_first", "_link")
+
+
 @query("supersedes_long_chain", Q.base() + """SELECT id AS report_id, first_value(id) OVER w AS root_id, CAST(row_number() OVER w - 1 AS BIGINT) AS depth, false AS cyclic
 FROM (SELECT DISTINCT client || '/' || period AS id FROM snap) WINDOW w AS (ORDER BY id)
 UNION ALL SELECT DISTINCT client || s, NULL, NULL, true FROM snap, (VALUES ('#a'), ('#b'), ('#c')) v(s)""")
 def q_long_chain(spark, sf):
-    from pyspark.sql import Window
-
     ids = CA._agg(spark, sf).select("client", F.concat_ws("/", "client", "period").alias("report_id"))
-    chain = ids.select("report_id", F.lag("report_id").over(Window.orderBy("report_id")).alias("supersedes"))  # one row for each report
+    chain = _with_previous(ids.select("report_id"), "report_id", "supersedes")  # one row for each report
     turns = F.array(F.struct(F.lit("#a").alias("s"), F.lit("#b").alias("t")), F.struct(F.lit("#b").alias("s"), F.lit("#a").alias("t")), F.struct(F.lit("#c").alias("s"), F.lit("#b").alias("t")))
     cycles = ids.select("client").distinct().select("client", F.inline(turns)).select(F.concat("client", "s").alias("report_id"), F.concat("client", "t").alias("supersedes"))
     return AU.supersedes_chain(spark, chain.unionByName(cycles))
