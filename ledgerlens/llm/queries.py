@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, fim, langid, licences, packing, sharding, simhash, topk, warc
+from . import bpe, chat, exact_dedup, fim, langid, licences, packing, runs, sharding, simhash, topk, warc
 from .common import scratch_path, ship, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -147,6 +147,26 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
 FROM p
 """
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """The contract's texts: of every tenth document, the words from one on repeat the first few of these."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("words"))
+    docs = docs.withColumn("n", F.size("words")).withColumn("a", F.expr("int(if(n > 0, g % n, 0))")).withColumn("p", F.expr("int(1 + (n - a) div (3 + g % 8))"))
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.expr("int((n - a + p - 1) div p)")))
+    made = F.concat_ws(" ", F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), again), F.lit(1), F.col("n")))
+    return docs.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found = runs.periodic_runs(planted_periods(table(spark, sf_dir, "documents")))
+    found = found.withColumn("best", runs.strongest("runs"))
+    told = F.concat_ws("", F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(told, 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -159,6 +179,7 @@ QUERIES: dict[str, QueryFn] = {
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
