@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,8 +43,27 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the session's shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the session's shared checkpoint folder, which is deleted when the application ends."""
+    to = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    file_system, path = _located(spark, to)
+    file_system.deleteOnExit(path)
+    return to
+
+
+def _located(spark: SparkSession, to: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(to)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialise_table`` wrote for these, which nothing reads any more."""
+    for df in tables:
+        if to := _written.pop(df, None):
+            file_system, path = _located(df.sparkSession, to)
+            file_system.delete(path, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -59,7 +79,9 @@ def materialise_table(df: DataFrame) -> DataFrame:
     """As ``materialise``, as a compressed Parquet table in the same folder: for rows that carry whole texts."""
     to = scratch_path(df.sparkSession, "table")
     df.write.parquet(to)
-    return df.sparkSession.read.schema(df.schema).parquet(to)
+    out = df.sparkSession.read.schema(df.schema).parquet(to)
+    _written[out] = to
+    return out
 
 
 def text_or_empty(text: str | Column) -> Column:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, fim, langid, licences, packing, runs, sharding, simhash, topk, warc
+from . import bpe, chat, exact_dedup, fim, langid, licences, ngram_join, packing, runs, sharding, simhash, topk, warc
 from .common import scratch_path, ship, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -167,6 +167,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=5, percent=80)
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -180,6 +185,7 @@ QUERIES: dict[str, QueryFn] = {
     "op10_chat_format": op10_chat_format,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
