@@ -13,12 +13,10 @@ BROADCAST_LIMIT_BYTES = 10 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer size estimate of ``df`` (scan sizes after pruning and filters)."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
-    except Exception:  # pragma: no cover - e.g. Spark Connect has no _jdf
+    """Optimizer size estimate of ``df`` (scan sizes after pruning and filters); very large where the session gives none."""
+    if not hasattr(df, "_jdf"):  # pragma: no cover - Spark Connect
         return 1 << 62
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
