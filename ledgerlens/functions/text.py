@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Fixed values (parity with the reference).
 FLAT_BAND_PCT = 3.0
 RATIO_NAME_PATTERN = r"(?i)(%|pct|percent|rate|ratio|margin|share|coverage|conversion)"
-ROUND_VALUES = (0.0, 100.0, 1000.0, 10000.0)
+ROUND_TEXTS = ("0.0", "100.0", "1000.0", "10000.0")
 MONEY_WORDS = ("revenue", "sales", "cost", "margin", "profit", "amount")
 PCT_WORDS = ("pct", "rate")
 SLUG_BREAKS = r"[\s\-/\\]+"
@@ -20,6 +20,25 @@ def direction_from_pct(pct: Column, flat_band: float = FLAT_BAND_PCT) -> Column:
             .when(pct > 0, F.lit("up")).otherwise(F.lit("down")))
 
 
+def fixed(x: Column, digits: int = 1, plus: bool = False) -> Column:
+    """The double with so many decimals, from its exact binary value: 0.35 is a little less than that and gives ``0.3``, exact halves go to
+    the even digit, and the sign is that of the value before rounding (``-0.0`` for -0.04). ``plus`` writes it for positive values too.
+
+    The product with 10**digits is taken in two parts, whose sum is exact. Values from 1e15 on are left to the formatter.
+    """
+    a, factor = F.abs(x), float(10 ** digits)
+    high = a * 134217729.0 - (a * 134217729.0 - a)  # the upper 26 bits
+    scaled = a * factor
+    rest = (high * factor - scaled) + (a - high) * factor
+    whole = F.floor(scaled)
+    over = scaled - whole
+    up = (over > 0.5) | ((over == 0.5) & ((rest > 0) | ((rest == 0) & (whole % 2 == 1))))
+    n = whole + up.cast("long")
+    text = F.concat(F.floor(n / 10 ** digits).cast("string"), F.lit("."), F.lpad((n % 10 ** digits).cast("string"), digits, "0")) if digits else n.cast("string")
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("+" if plus else "")
+    return F.when(a < 1e15, F.concat(sign, text)).otherwise(F.format_string(f"%{'+' if plus else ''}.{digits}f", x))
+
+
 def kpi_label(kpi: Column) -> Column:
     """``total_revenue`` -> ``Total Revenue``."""
     return F.initcap(F.regexp_replace(kpi, "_", " "))
@@ -59,7 +78,7 @@ def _name_has(name: Column, words) -> Column:
 def card_value(kpi: Column, value: Column) -> Column:
     """KPI card: € with thousands for money names, '%' for rates, else thousands."""
     return (F.when(_name_has(kpi, MONEY_WORDS), F.concat(F.lit("€"), F.format_number(value, 0)))
-            .when(_name_has(kpi, PCT_WORDS), F.concat(F.format_string("%.1f", value), F.lit("%")))
+            .when(_name_has(kpi, PCT_WORDS), F.concat(fixed(value), F.lit("%")))
             .otherwise(F.format_number(value, 0)))
 
 
@@ -92,4 +111,4 @@ def is_ratio_name(name: Column) -> Column:
 
 def is_round_number(v: Column) -> Column:
     """One-decimal text of |v| is 0.0, 100.0, 1000.0 or 10000.0."""
-    return F.round(F.abs(v), 1).isin(*ROUND_VALUES)
+    return fixed(F.abs(v)).isin(*ROUND_TEXTS)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sanitize import sanitize
+from ..functions.text import fixed
 from ..operators.snapshot import top_movers
 
 
@@ -49,7 +50,7 @@ def snapshot_json(kpi: DataFrame, snap: DataFrame, breakdown: DataFrame) -> Data
 
 def _days_note(cur, prev):
     diff = cur - prev
-    share = F.format_string("%.1f", F.abs(diff / F.greatest(prev, F.lit(1))) * 100)
+    share = fixed(F.abs(diff / F.greatest(prev, F.lit(1))) * 100)
     note = F.when(F.abs(diff) >= 2, F.concat(
         F.lit("Period length differs by "), F.abs(diff).cast("string"), F.lit(" day(s). Attribute up to "), share,
         F.lit("% of any revenue delta to period length, not business change."))).otherwise(F.lit("Period lengths match."))
