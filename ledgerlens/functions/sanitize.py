@@ -49,49 +49,55 @@ def _scoped(pat: str) -> str:
 ANY_INJECTION = "|".join(_scoped(p) for _, p in INJECTION_PATTERNS)
 
 
+def _redacted(text: Column) -> Column:
+    """STRUCT<text, reasons> of a text that some pattern matches: a fold over the patterns, in order.
+
+    Each pattern written out as a step of one projection grows beyond what the engine compiles, and then every text of the stage
+    runs interpreted. The fold is one small expression, and it is evaluated for matching texts only.
+    """
+    steps = F.array(*[F.struct(F.lit(reason).alias("reason"), F.lit(pattern).alias("pattern")) for reason, pattern in INJECTION_PATTERNS])
+    start = F.struct(text.alias("text"), F.array().cast("array<string>").alias("reasons"))
+
+    def step(acc: Column, s: Column) -> Column:
+        found = F.rlike(acc["text"], s["pattern"])
+        return F.struct(F.when(found, F.regexp_replace(acc["text"], s["pattern"], F.concat(F.lit("[REDACTED:"), s["reason"], F.lit("]")))).otherwise(acc["text"]).alias("text"),
+                        F.when(found, F.array_append(acc["reasons"], s["reason"])).otherwise(acc["reasons"]).alias("reasons"))
+
+    return F.aggregate(steps, start, step)
+
+
+def _cut(text: Column, max_length: int) -> tuple[Column, Column]:
+    truncated = F.length(text) > max_length
+    return F.when(truncated, F.concat(F.substring(text, 1, max_length), F.lit(TRUNCATION_MARKER))).otherwise(text), truncated
+
+
 def sanitize(text: Column, max_length: int = MAX_FIELD_LENGTH) -> Column:
     """STRUCT<clean STRING, reasons ARRAY<STRING>, truncated BOOLEAN> (column form, for short strings)."""
     v0 = F.coalesce(text, F.lit(""))
     v1 = F.regexp_replace(v0, FORMAT_CHARS, "")
-    reasons = [F.when(v1 != v0, F.lit("unicode_format_char"))]
     v2 = F.regexp_replace(v1, CONTROL_CHARS, "")
-    reasons.append(F.when(v2 != v1, F.lit("control_char")))
-    v = v2
-    for reason, pat in INJECTION_PATTERNS:
-        reasons.append(F.when(v.rlike(pat), F.lit(reason)))
-        v = F.regexp_replace(v, pat, f"[REDACTED:{reason}]")
-    truncated = F.length(v) > max_length
-    clean = F.when(truncated, F.concat(F.substring(v, 1, max_length), F.lit(TRUNCATION_MARKER))).otherwise(v)
-    return F.struct(clean.alias("clean"), F.array_compact(F.array(*reasons)).alias("reasons"),
-                    truncated.alias("truncated"))
+    none = F.array().cast("array<string>")
+    done = F.when(v2.rlike(ANY_INJECTION), _redacted(v2)).otherwise(F.struct(v2.alias("text"), none.alias("reasons")))
+    clean, truncated = _cut(done["text"], max_length)
+    stripped = F.array_compact(F.array(F.when(v1 != v0, F.lit("unicode_format_char")), F.when(v2 != v1, F.lit("control_char"))))
+    return F.struct(clean.alias("clean"), F.concat(stripped, done["reasons"]).alias("reasons"), truncated.alias("truncated"))
 
 
 def sanitize_frame(df: DataFrame, col: str, max_length: int = MAX_FIELD_LENGTH) -> DataFrame:
     """Add ``clean``, ``reasons`` and ``truncated`` for a large text column.
 
-    Each step is its own projection and reads the previous step exactly once
-    (Spark does not inline an expensive expression that is read twice, and a
-    single reference keeps the plan linear even when a later filter is pushed
-    through it). Texts that fail the combined pattern test carry NULL through
-    the pattern chain, so they cost no regex pass; a pattern's reason is "this
-    step changed the text".
+    Each step is its own projection and reads the previous step's columns (Spark does not inline an expensive expression that is read
+    twice). Texts that fail the combined pattern test carry NULL past the patterns, so they cost no further regex pass.
     """
     d = df.withColumn("_v0", F.coalesce(F.col(col), F.lit("")))
     d = d.withColumn("_v1", F.regexp_replace("_v0", FORMAT_CHARS, ""))
     d = d.withColumn("_v2", F.regexp_replace("_v1", CONTROL_CHARS, ""))
-    d = d.withColumn("_w0", F.when(F.col("_v2").rlike(ANY_INJECTION), F.col("_v2")))
-    reasons = [F.when(F.col("_v1") != F.col("_v0"), F.lit("unicode_format_char")),
-               F.when(F.col("_v2") != F.col("_v1"), F.lit("control_char"))]
-    n = len(INJECTION_PATTERNS)
-    for i, (reason, pat) in enumerate(INJECTION_PATTERNS):
-        d = d.withColumn(f"_w{i + 1}", F.regexp_replace(f"_w{i}", pat, f"[REDACTED:{reason}]"))
-        reasons.append(F.when(F.col(f"_w{i + 1}") != F.col(f"_w{i}"), F.lit(reason)))
-    d = d.withColumn("_fin", F.coalesce(f"_w{n}", "_v2"))
-    d = d.withColumn("reasons", F.array_compact(F.array(*reasons)))
-    d = d.withColumn("truncated", F.length("_fin") > max_length)
-    d = d.withColumn("clean", F.when(F.col("truncated"), F.concat(F.substring("_fin", 1, max_length),
-                                                                  F.lit(TRUNCATION_MARKER))).otherwise(F.col("_fin")))
-    return d.drop("_v0", "_v1", "_v2", "_fin", *[f"_w{i}" for i in range(n + 1)])
+    d = d.withColumn("_w", F.when(F.col("_v2").rlike(ANY_INJECTION), _redacted(F.col("_v2"))))
+    d = d.withColumn("_fin", F.coalesce("_w.text", "_v2"))
+    stripped = F.array_compact(F.array(F.when(F.col("_v1") != F.col("_v0"), F.lit("unicode_format_char")), F.when(F.col("_v2") != F.col("_v1"), F.lit("control_char"))))
+    clean, truncated = _cut(F.col("_fin"), max_length)
+    d = d.withColumns({"reasons": F.concat(stripped, F.coalesce("_w.reasons", F.array().cast("array<string>"))), "truncated": truncated, "clean": clean})
+    return d.drop("_v0", "_v1", "_v2", "_w", "_fin")
 
 
 def sanitize_columns(df: DataFrame, cols: list[str], max_length: int = MAX_FIELD_LENGTH) -> DataFrame:

@@ -27,10 +27,10 @@ def query(name: str, oracle: str | None = None):
 
 
 def queries() -> dict[str, QueryFn]:
-    from . import catalog, hardened  # noqa: F401  (register on import)
+    from . import catalog, hardened, intake  # noqa: F401  (register on import)
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog, hardened  # noqa: F401
+    from . import catalog, hardened, intake  # noqa: F401
     return dict(_ORACLE)

@@ -46,6 +46,21 @@ def render_lines(df: DataFrame, file_col: Column, order_col: str, columns: Seque
     return top.unionByName(rows)
 
 
+def quoted(text: Column, sep: str) -> Column:
+    """A cell's text, in quotes if it holds a separator, a quote or a line feed."""
+    special = text.contains(sep) | text.contains('"') | text.contains("\n")
+    return F.when(special, F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def render_records(df: DataFrame, file_col: Column, order_col: str, columns: Sequence[str], sep: str = ";", most_lines: int = 16) -> DataFrame:
+    """lines(file, line_no, value) of ``df`` written as one export per distinct ``file_col``; a cell with line feeds takes several lines."""
+    value = F.concat_ws(sep, *[quoted(F.coalesce(cell_text(df, c), F.lit("")), sep) for c in columns])
+    rows = df.select(file_col.alias("file"), F.col(order_col).cast("long").alias("_at"), F.posexplode(F.split(value, "\n", -1)).alias("_i", "value"))
+    rows = rows.select("file", ((F.col("_at") + 1) * most_lines + F.col("_i")).alias("line_no"), "value")
+    top = df.select(file_col.alias("file")).distinct().select("file", F.lit(0).cast("long").alias("line_no"), F.lit(sep.join(columns)).alias("value"))
+    return top.unionByName(rows)
+
+
 def render_grid(df: DataFrame, file_col: Column, sheet_col: Column, order_col: str, columns: Sequence[str],
                 title: str = "Catalogue") -> DataFrame:
     """grid(file, sheet, row_no, cells): a title row, an empty row, the header, data, plus an empty column."""
