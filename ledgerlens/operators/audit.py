@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import client_slug, sha16
+from ..session import ensure_checkpoint_dir
+from .joins import broadcast_if_small
 
 AUDIT_SCHEMA = (
     "report_id STRING, client_name STRING, period STRING, generated_at STRING, source_data_hash STRING, "
@@ -85,6 +87,33 @@ def read_log(spark: SparkSession, path: str, schema: str = AUDIT_SCHEMA) -> Data
     return df
 
 
+def log_lines(spark: SparkSession, path: str, schema: str = AUDIT_SCHEMA, key: str = "report_id") -> DataFrame:
+    """lines(file, status, reason, value, record): every line of a log, once; none is dropped.
+
+    ``status`` is ``read``; ``repeated`` for a line whose content was read before (re-delivered files; the line of the first file in name order
+    is the one that counts); or ``rejected``, with a ``reason``: ``blank``, ``malformed`` (no JSON, or a value of another type), ``no_key`` (the field
+    ``key`` is missing or null). ``record`` has the fields of ``schema``: unknown fields are ignored, missing ones are null.
+    """
+    ensure_checkpoint_dir(spark)
+    corrupt = "_corrupt"
+    raw = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("_line"))
+    parsed = raw.withColumn("record", F.from_json("value", f"{schema}, {corrupt} STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}))
+    blank = F.trim("value") == ""
+    reason = F.when(blank, "blank").when(F.col("record").isNull() | F.col(f"record.{corrupt}").isNotNull(), "malformed").when(F.col(f"record.{key}").isNull(), "no_key")
+    lines = parsed.withColumns({"reason": reason, "_content": F.sha2("value", 256), "record": F.col("record").dropFields(corrupt)}).checkpoint()
+    place = F.struct("file", "_line")
+    first = lines.where("reason IS NULL").groupBy("_content").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_content", "_first").checkpoint()
+    j = lines.join(broadcast_if_small(first), "_content", "left")
+    status = F.when(F.col("reason").isNotNull(), "rejected").when(F.col("_first") != place, "repeated").otherwise("read")
+    return j.select("file", status.alias("status"), "reason", "value", F.when(F.col("reason").isNull(), F.col("record")).alias("record"))
+
+
+def read_log_once(lines: DataFrame) -> DataFrame:
+    """The records of :func:`log_lines` that count, each once, with the defaults of :func:`read_log`."""
+    df = lines.where("status = 'read'").select("record.*")
+    return df.withColumn("late_correction", F.coalesce("late_correction", F.lit(False))) if "late_correction" in df.columns else df
+
+
 def _ordered(audit: DataFrame, asc: bool) -> Window:
     o = [F.col("generated_at"), F.col("seq")]
     return Window.partitionBy("client_name", "period").orderBy(*[c.asc() if asc else c.desc() for c in o])

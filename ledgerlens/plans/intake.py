@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..operators import audit as AU
 from ..operators import dates as D
 from ..operators import gate as G
 from ..operators import golden_filters as GF
 from ..operators import messages as MS
 from ..operators import payloads as PL
 from ..operators import profile as P
+from ..operators import pseudonyms as PS
 from ..operators import sketch as SK
 from ..operators.spread import spread
 from ..sources import render as RN
@@ -284,3 +286,63 @@ def q_prompt_notes(spark, sf):
     r = CA.q_prompt_context(spark, sf).select("client", "period", F.from_json("json", schema).alias("j"))
     return r.select("client", "period", F.col("j.period").alias("span"), F.array_join(F.col("j.top_movers")["kpi"], ",").alias("movers"),
                     F.col("j.period_days.difference_days").alias("difference_days"), F.col("j.period_days.analyst_note").alias("note"))
+
+
+# ---------------------------------------------------------------- A14: push batches of exactly 10,000 rows
+
+@query("push_batches", f"""WITH n AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS i FROM lineitem),
+b AS (SELECT *, i // {SI.PUSH_BATCH_ROWS} AS batch, i % {SI.PUSH_BATCH_ROWS} AS place FROM n)
+SELECT batch // {SI.PUSH_HOUR_ROWS // SI.PUSH_BATCH_ROWS} AS hour, batch, count(*) AS rows, min_by(l_orderkey * 100 + l_linenumber, place) AS first_key, max_by(l_orderkey * 100 + l_linenumber, place) AS last_key,
+  max_by(strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S'), place) AS last_shipdate FROM b GROUP BY batch""")
+def q_push_batches(spark, sf):
+    """The batches as they were written: one file each, in key order, however the rows were partitioned."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
+    path = _scratch(spark, "push")
+    SI.write_push_plan(SI.push_plan(li, ["l_orderkey", "l_linenumber"]), path)
+    back = spark.read.schema("l_orderkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_shipdate STRING, place INT, hour BIGINT, batch BIGINT").json(path)
+    key = F.col("l_orderkey") * 100 + F.col("l_linenumber")
+    return back.groupBy("hour", "batch").agg(F.count(F.lit(1)).alias("rows"), F.min_by(key, "place").alias("first_key"), F.max_by(key, "place").alias("last_key"), F.max_by("l_shipdate", "place").alias("last_shipdate"))
+
+
+# ---------------------------------------------------------------- S4: keyed pseudonyms and their mapping
+
+_KEY = b"an example key, 16 bytes or more"
+
+
+def _hmac_sql(text: str) -> str:
+    inner, outer = ("".join(f"\\x{b ^ pad:02X}" for b in _KEY.ljust(64, b"\0")) for pad in (0x36, 0x5C))
+    return f"'p_' || substr(sha256('{outer}'::BLOB || unhex(sha256('{inner}'::BLOB || encode({text})))), 1, 32)"
+
+
+@query("pseudonym_mapping", f"""SELECT c_custkey, {_hmac_sql('c_name')} AS pseudonym, CASE WHEN c_custkey % 3 <> 0 THEN 'run 1' ELSE 'run 2' END AS first_run, c_name AS restored, 0 AS collisions FROM customer""")
+def q_pseudonym_mapping(spark, sf):
+    """Two runs, the second over all names: the mapping keeps the first run's rows, and leads every pseudonym back to its name."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_name")
+    path = _scratch(spark, "pseudonyms")
+    PS.append_mapping(c.where("c_custkey % 3 <> 0"), path, _KEY, "run 1", "c_name")
+    mapping = PS.append_mapping(c, path, _KEY, "run 2", "c_name")
+    hidden = c.select("c_custkey", PS.keyed_pseudonym(F.col("c_name"), _KEY).alias("pseudonym"))
+    back = PS.restore(hidden, mapping, "pseudonym", "restored").join(mapping.select("pseudonym", "first_run"), "pseudonym")
+    bad = PS.collisions(mapping).agg(F.count(F.lit(1)).alias("collisions"))
+    return back.select("c_custkey", "pseudonym", "first_run", "restored", bad.scalar().alias("collisions"))
+
+
+# ---------------------------------------------------------------- A10 J5: every line of a damaged log
+
+@query("audit_log_lines", CA._LEDGER + """SELECT status, reason, count(*) AS lines, count(DISTINCT id) AS reports FROM (
+  SELECT 'read' AS status, CAST(NULL AS VARCHAR) AS reason, report_id AS id FROM audit
+  UNION ALL SELECT 'repeated', NULL, report_id FROM audit WHERE seq = 1
+  UNION ALL SELECT 'rejected', 'malformed', NULL FROM audit WHERE seq = 2
+  UNION ALL SELECT 'rejected', 'no_key', NULL FROM audit WHERE seq = 3
+  UNION ALL SELECT 'rejected', 'blank', NULL FROM audit WHERE seq = 3) GROUP BY status, reason""")
+def q_audit_log_lines(spark, sf):
+    """A log with damage planted: lines delivered twice, cut off, without a report id, and blank. All lines are accounted for."""
+    audit = CA.ledger_inputs(spark, sf)[0]
+    path = _scratch(spark, "audit")
+    AU.write_log(audit, path)
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).withColumn("seq", F.get_json_object("value", "$.seq").cast("int"))
+    cut = F.substring("value", F.lit(1), F.length("value") - 9)
+    nameless = F.regexp_replace("value", '"report_id":', '"other_id":')
+    bad = lines.select(F.explode(F.array_compact(F.array(F.when(F.col("seq") == 1, F.col("value")), F.when(F.col("seq") == 2, cut), F.when(F.col("seq") == 3, nameless), F.when(F.col("seq") == 3, "")))).alias("value"))
+    bad.checkpoint().write.mode("append").text(path)
+    return AU.log_lines(spark, path).groupBy("status", "reason").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("record.report_id").alias("reports"))
