@@ -8,9 +8,11 @@ import zipfile
 from pathlib import Path
 from weakref import WeakKeyDictionary
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import broadcast_if_small
 from ..session import ensure_checkpoint_dir
 
 #: The white space of every contract here: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -86,3 +88,37 @@ def materialise_table(df: DataFrame) -> DataFrame:
 
 def text_or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
+#: Bytes of a table of row names, as written, up to which it is told to all tasks: about a million rows.
+NAMES_BYTES = 4 << 20
+
+
+def _scanned(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is a row of one file: a scan, perhaps filtered, with other columns."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.children().size() == 1:
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` as ``rec`` (a struct of its columns) and ``row``: file and position, which name a row alike in every scan.
+
+    Later scans can then find rows by name, so that what decides about them moves without their texts. Where a row has no
+    place in a file of its own, the rows are written first.
+    """
+    rec = F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("rec")
+    row = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("row")
+    if "_metadata" not in df.columns and _scanned(df):
+        try:
+            return df.select(rec, row)
+        except AnalysisException:  # files of a format without positions
+            pass
+    return materialise_table(df.select(rec)).select("rec", row)
+
+
+def without(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """The records of ``numbered`` rows that are not among ``names`` (a column ``row``). Texts stay where they are read as long as the names are few."""
+    names = materialise_table(names.select("row"))
+    return rows.join(broadcast_if_small(names, NAMES_BYTES), "row", "left_anti").select("rec.*")

@@ -19,15 +19,15 @@ Lists with the same members are one list.
 
 Candidates come from lists. In a round, every set is compared with one set of its lists, the smallest by a hash that changes from round to
 round; sets found to be linked are one component, and lists of one component are done. After ``ROUNDS`` rounds, or as soon as few pairs are left, the sets
-that are not in their list's largest component are compared with all others of the list that are in another component. So no link between
-components is lost, and copies of one text are not compared pair by pair. Compared sets are made again from the texts, which move once for each comparison;
+that are not in their list's largest component meet all others of the list that are in another component. Pairs that meet in too few lists to link
+drop out (``_left_over``), the others are compared. So no link between components is lost, and copies of one text are not compared pair by pair. Compared sets are made again from the texts, which move once for each comparison;
 the comparisons of a set with very many others are dealt over many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import combinations
 from math import comb
 
@@ -39,16 +39,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import broadcast_if_small, estimated_bytes
-from .common import materialise_table, text_or_empty
+from .common import NAMES_BYTES, materialise_table, numbered, text_or_empty
 from .components import connected_components
-from .words import parts, split
+from .words import parts
 
-#: Shingles that a task holds before it writes blocks; bytes of input for a block range; ranges at most.
-HELD, RANGE_BYTES, MOST_RANGES = 1 << 21, 1 << 21, 1 << 16
+#: Shingles that a task holds before it writes blocks; bytes of input for a block range; ranges at most; bytes of text that are hashed at a time.
+HELD, RANGE_BYTES, MOST_RANGES, BLOCK_BYTES = 1 << 21, 1 << 21, 1 << 16, 1 << 20
 #: A shingle is hot from this frequency on, or a greater one that leaves so many hot ones at most.
 HOT_FREQUENCY, HOT_SHINGLES = 16, 1 << 19
-#: The largest set that may count as small; rounds of single comparisons; comparisons of one set in a task; classes told to all tasks.
-LARGEST_SMALL, ROUNDS, DEALT, TOLD = 24, 5, 1024, 1 << 19
+#: The largest set that may count as small; rounds of single comparisons, and pairs for each list
+#: entry that end them; comparisons of one set in a task.
+LARGEST_SMALL, ROUNDS, FEW, DEALT = 24, 6, 8, 512
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB,
                  0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -61,27 +62,85 @@ def _stirred(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: White space; and a value for each byte, where A-Z count as a-z.
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_VALUE = _stirred(np.arange(1, 257, dtype=np.uint64) * _ODD[0])
+_VALUE[65:91] = _VALUE[97:123]
+_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base and of its inverse, modulo 2**64."""
+    def of(base: int) -> np.ndarray:
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        return np.cumprod(steps, dtype=np.uint64)
+    return of(_BASE), of(_INVERSE)
+
+
+def _word_hashes(data: np.ndarray, white: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of ``data`` (bytes), and how many words lie before each of ``cuts`` (0, ..., length), which no word crosses.
+
+    A word's hash is a polynomial in its bytes, taken from sums over all bytes: no step is done for a single word.
+    """
+    if not len(data):
+        return np.empty(0, np.uint64), np.zeros(len(cuts), np.int64)
+    full = ~white
+    edge = np.zeros(len(data) + 1, bool)
+    edge[cuts] = True
+    starts = np.flatnonzero(full & (edge[:-1] | np.concatenate(([True], white[:-1]))))
+    ends = np.flatnonzero(full & (edge[1:] | np.concatenate((white[1:], [True])))) + 1
+    power, inverse = _powers(max(BLOCK_BYTES, 1 << int(len(data) - 1).bit_length()))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * power[:len(data)], dtype=np.uint64)))
+    return _stirred((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _ODD[3]), np.searchsorted(starts, cuts)
+
+
+def _blocks(data: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``_word_hashes`` in blocks that stay small for any length of text, cut at white space."""
+    white = _WHITE[data]
+    if len(data) <= BLOCK_BYTES:
+        yield _word_hashes(data, white, cuts)
+        return
+    hashes, before, at = [], np.zeros(len(cuts), np.int64), 0
+    while at < len(data):
+        end = min(len(data), at + BLOCK_BYTES)
+        while end < len(data) and not white[end]:
+            gap = np.flatnonzero(white[end:end + BLOCK_BYTES])
+            end = end + int(gap[0]) if len(gap) else min(len(data), end + BLOCK_BYTES)
+        inside = (cuts > at) & (cuts <= end)
+        own = np.concatenate(([0], cuts[inside] - at, [end - at]))
+        h, n = _word_hashes(data[at:end], white[at:end], own)
+        before[inside] += n[1:-1]
+        before[cuts > end] += len(h)
+        hashes.append(h)
+        at = end
+    yield np.concatenate(hashes), before
+
+
 def shingle_sets(texts: pa.Array, words: int = 5) -> Iterator[np.ndarray]:
     """For each text its different shingles, as sorted 64-bit hashes. A-Z count as a-z. Fewer words are one shingle; none, none."""
     factors = _ODD[np.arange(words) % len(_ODD)] * (np.uint64(2) * np.arange(words, dtype=np.uint64) + np.uint64(1))
-    for first, n in parts(texts):
-        w = split(pc.ascii_lower(texts.slice(first, n)))
-        known = np.fromiter((xxhash.xxh64_intdigest(x, 13) for x in w.distinct.cast(pa.binary()).to_pylist()), np.uint64, len(w.distinct))
-        v = known[w.codes]
-        least = len(v) - words + 1
-        h = np.zeros(max(0, least), np.uint64)
-        for j in range(words):
-            h += v[j:j + len(h)] * factors[j]
-        h = _stirred(h)
-        ends = w.ends.tolist()
-        for a, b in zip(ends[:-1], ends[1:]):
-            if b - a >= words:
-                s = np.sort(h[a:b - words + 1])
-                yield s[np.concatenate(([True], s[1:] != s[:-1]))]
-            elif b > a:
-                yield _stirred((v[a:b] * factors[:b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a))
-            else:
-                yield np.empty(0, np.uint64)
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    for first, n in parts(texts, BLOCK_BYTES):
+        part = texts.slice(first, n)
+        _, places, content = part.buffers()
+        cuts = np.frombuffer(places, np.int64)[part.offset:part.offset + n + 1]
+        data = np.frombuffer(content, np.uint8)[cuts[0]:cuts[-1]] if content else np.empty(0, np.uint8)
+        for v, ends in _blocks(data, cuts - cuts[0]):
+            h = np.zeros(max(0, len(v) - words + 1), np.uint64)
+            for j in range(words):
+                h += v[j:j + len(h)] * factors[j]
+            h = _stirred(h)
+            ends = ends.tolist()
+            for a, b in zip(ends[:-1], ends[1:]):
+                if b - a >= words:
+                    s = np.sort(h[a:b - words + 1])
+                    yield s[np.concatenate(([True], s[1:] != s[:-1]))]
+                elif b > a:
+                    yield _stirred((v[a:b] * factors[:b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a))
+                else:
+                    yield np.empty(0, np.uint64)
 
 
 def _class(s: np.ndarray) -> int:
@@ -224,7 +283,7 @@ def frequencies(docs: DataFrame, text_col: str, words: int, percent: int, bits:
 # ---------------------------------------------------------------- lists
 
 DOC, BLOCK, HOT, SUBSET, LISTED = range(5)
-NAMES = ["kind", "range", "key", "cls", "size", "blob"]
+OWN, NAMES = ["id", "file", "at"], ["kind", "range", "key", "cls", "size", "blob"]
 
 
 def _lister(words: int, percent: int, bits: int, small: int, hot):
@@ -239,17 +298,17 @@ def _lister(words: int, percent: int, bits: int, small: int, hot):
         for r, a, b in _ranges(keys):
             yield BLOCK, r, b - a, None, None, _low(keys[a:b]) + cls[a:b].astype("<u8").tobytes() + size[a:b].astype("<u4").tobytes()
 
-    def out(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    def out(docs: list[pa.Array], rows: list[tuple]) -> pa.RecordBatch:
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         rest = _batch(rows, types, NAMES)
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([ids, pa.nulls(len(rows) - len(ids), ids.type)]), *rest.columns], ["id", *NAMES])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([a, pa.nulls(len(rows) - len(a), a.type)]) for a in docs] + rest.columns, [*OWN, *NAMES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_keys, hot_n = hot.value
-        seen, held, entries, at, no_id = set(), [], 0, 0, None
+        seen, held, entries, at, nothing = set(), [], 0, 0, None
         for batch in batches:
-            docs, rows, no_id = [], [], batch.column(0).slice(0, 0)
-            for s in shingle_sets(batch.column(1), words):
+            docs, rows, nothing = [], [], [c.slice(0, 0) for c in batch.columns[:3]]
+            for s in shingle_sets(batch.column(3), words):
                 at += 1
                 c = _class(s) if len(s) else None
                 docs.append((DOC, at % (1 << bits), None, None if c is None else _long(c), len(s), None))
@@ -278,9 +337,9 @@ def _lister(words: int, percent: int, bits: int, small: int, hot):
                 if entries >= HELD // 2:
                     rows += flush(held)
                     held, entries = [], 0
-            yield out(batch.column(0), docs + rows)
+            yield out(batch.columns[:3], docs + rows)
         if held:
-            yield out(no_id, list(flush(held)))
+            yield out(nothing, list(flush(held)))
 
     return run
 
@@ -294,19 +353,18 @@ def _long(x: int) -> int:
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks become the entries (key, cls, size) of lists with more than one class; a list's key is a hash of its classes."""
-    names = ["id", "kind", "key", "cls", "size"]
-    id_type = None
+    """Blocks become the entries (key, cls, size, n) of lists with more than one class; a list's key is a hash of its classes, ``n`` the shingles that have it."""
+    names = [*OWN, "kind", "key", "cls", "size"]
+    own_types: list[pa.DataType] = []
 
     def watched() -> Iterator[pa.RecordBatch]:
-        nonlocal id_type
         for batch in batches:
-            id_type = batch.column("id").type
+            own_types[:] = [batch.column(c).type for c in OWN]
             yield batch
 
     for _, rows, rest in _by_range(watched(), BLOCK):
         if rest is not None:
-            yield rest.select(names)
+            yield rest.select(names).append_column("n", pa.nulls(rest.num_rows, pa.int64()))
             continue
         low, cls, size = [], [], []
         for row in rows:
@@ -330,20 +388,22 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
         n = np.diff(np.append(first, len(low)))
         key = _stirred(np.add.reduceat(_stirred(cls ^ _ODD[3]), first) + n.astype(np.uint64))
-        chosen = np.zeros(len(first), bool)
-        chosen[np.unique(key, return_index=True)[1]] = True
-        kept = np.repeat(chosen & (n > 1), n)
+        _, one, times = np.unique(key, return_index=True, return_counts=True)
+        equal = np.zeros(len(first), np.int64)  # shingles of equal lists, told by the first of them
+        equal[one] = times
+        kept = np.repeat((equal > 0) & (n > 1), n)
         m = int(kept.sum())
         if m:
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, id_type), pa.array(np.full(m, LISTED, np.int32)), pa.array(_signed(np.repeat(key, n)[kept])),
-                                              pa.array(_signed(cls[kept])), pa.array(size[kept].astype(np.int64))], names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(m, t) for t in own_types], pa.array(np.full(m, LISTED, np.int32)), pa.array(_signed(np.repeat(key, n)[kept])),
+                                              pa.array(_signed(cls[kept])), pa.array(size[kept].astype(np.int64)), pa.array(np.repeat(equal, n)[kept])], [*names, "n"])
 
 
 def _hot_lists(entries: DataFrame) -> DataFrame:
-    """The lists of hot shingles: the same columns, with the key of equal lists."""
+    """The lists of hot shingles: (key, cls, size, n), with the key of equal lists."""
     entries = materialise_table(entries.distinct())
     made = materialise_table(entries.groupBy("key").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(cls))").alias("x"), F.expr("bit_xor(xxhash64(cls, 7))").alias("y")))
-    return entries.join(made.where("n > 1"), "key").select(F.xxhash64("n", "x", "y").alias("key"), "cls", "size").distinct()
+    named = entries.join(made.where("n > 1"), "key").select(F.xxhash64("n", "x", "y").alias("key"), "cls", "size")
+    return named.groupBy("key", "cls", "size").agg(F.count("*").alias("n"))
 
 
 def _subset_links(subsets: DataFrame, percent: int) -> DataFrame:
@@ -357,22 +417,6 @@ def _subset_links(subsets: DataFrame, percent: int) -> DataFrame:
 
 # ---------------------------------------------------------------- comparisons
 
-def _fetcher(words: int, wanted: Callable[[], np.ndarray] | None):
-    """(cls, text) of different texts' classes, once a task; only of those wanted, if these are told."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, some = set(), None if wanted is None else set(wanted().tolist())
-        for batch in batches:
-            cls, rows = [], []
-            for i, s in enumerate(shingle_sets(batch.column(0), words)):
-                if len(s) and (c := _long(_class(s))) not in seen and (some is None or c in some):
-                    seen.add(c)
-                    cls.append(c)
-                    rows.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), batch.column(0).take(pa.array(rows, pa.int64()))], ["cls", "text"])
-
-    return run
-
-
 def _comparer(words: int, percent: int):
     """Rows come sorted by centre and part, the centre's own first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,28 +455,62 @@ def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
     return materialise_table(labels.join(broadcast_if_small(materialise_table(step)), "root", "left").select("cls", F.coalesce("to", "root").alias("root")))
 
 
-def _candidates(entries: DataFrame, seed: int, may_link: Callable[[Column, Column], Column]) -> DataFrame:
-    """For each class one other (a, b) of its lists, of another component: the smallest by a hash."""
-    h = F.xxhash64("cls", F.lit(seed))
+def _enough(n: Column, s: Column, t: Column, percent: int) -> Column:
+    """Whether sets of s and t shingles that have n listed ones in common may link.
+
+    Say the listed part of one, p of its s shingles, ends first in the common order. It holds all shared ones up to there, that is p less
+    those that only this set has, which are s - c(s, t) at most; and the other's part holds them too.
+    """
+    c, outside = F.ceil(percent * (s + t) / (100 + percent)), F.ceil(percent * F.greatest(s, t) / 100)
+    return n >= 1 + c - outside
+
+
+def _candidates(entries: DataFrame, seed: int, may_link: Callable[[Column, Column], Column], percent: int) -> DataFrame:
+    """For each class one other (a, b), of another component: the first in an order that is the first of enough of its lists.
+
+    The order is one for all lists, so that most classes of a large group of copies meet the same one: by weight, so that this is one that has
+    most in common with the others; after the first round weights are lowered by a hash, by half at most.
+    """
+    less = F.pmod(F.xxhash64("cls", F.lit(seed)), F.lit(1 << 20)) / float(1 << 21) if seed else F.lit(0.0)
+    h = -F.col("weight") * (1 - less)
     first = materialise_table(entries.groupBy("key").agg(F.min(F.struct(h.alias("h"), F.col("cls").alias("a"), F.col("size").alias("a_size"), F.col("root").alias("a_root"))).alias("c")))
     met = entries.join(broadcast_if_small(first), "key").where((F.col("root") != F.col("c.a_root")) & may_link(F.col("size"), F.col("c.a_size")))
-    return materialise_table(met.groupBy(F.col("cls").alias("b")).agg(F.min("c").alias("c")).select("c.a", "b"))
+    shared = met.groupBy(F.col("cls").alias("b"), "size", "c").agg(F.sum("n").alias("n")).where(_enough(F.col("n"), F.col("size"), F.col("c.a_size"), percent))
+    return materialise_table(shared.groupBy("b").agg(F.min("c").alias("c")).select("c.a", "b"))
+
+
+def _weighed(entries: DataFrame, percent: int) -> DataFrame:
+    """``entries`` with ``weight``: how often a class meets others in its lists. Without those that can't link to any of their list.
+
+    A class has no more in common with another than the shingles of all its lists, and what it needs is least for the sizes at either end
+    of those that its list holds.
+    """
+    lists = materialise_table(entries.groupBy("key").agg(F.count("*").alias("held"), F.min("size").alias("least"), F.max("size").alias("most")))
+    classes = entries.join(broadcast_if_small(lists.select("key", "held")), "key").groupBy("cls").agg(
+        F.sum("n").alias("total"), F.sum(F.col("n") * F.col("held")).cast("double").alias("weight"))
+    s = F.col("size")
+    ends = F.greatest("least", F.ceil(percent * s / 100)), F.least("most", F.floor(100 * s / percent))
+    may = _enough(F.col("total"), s, ends[0], percent) | _enough(F.col("total"), s, ends[1], percent)
+    known = entries.join(broadcast_if_small(lists), "key").join(broadcast_if_small(materialise_table(classes)), "cls")
+    return materialise_table(known.where(may).select("key", "cls", "size", "n", "weight"))
 
 
 def _open(entries: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
-    """The entries of lists of several components, with ``root`` and the largest component ``main``; and the pairs still to be compared, at most."""
-    named = materialise_table(entries.select("key", "cls", "size").join(broadcast_if_small(labels), "cls"))
-    sizes = named.groupBy("key", "root").agg(F.count("*").alias("n"))
-    main = materialise_table(sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all")).where("most < all"))
+    """The entries of lists of several components, with ``root`` and the largest component ``main``; and the pairs still to be looked at, at most."""
+    named = materialise_table(entries.select("key", "cls", "size", "n", "weight").join(broadcast_if_small(labels), "cls"))
+    sizes = named.groupBy("key", "root").agg(F.count("*").alias("held"))
+    main = materialise_table(sizes.groupBy("key").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.max("held").alias("most"), F.sum("held").alias("all")).where("most < all"))
     left = main.agg(F.sum((F.col("all") - F.col("most")) * F.col("all")).alias("n")).first()["n"]
     return materialise_table(named.join(broadcast_if_small(main.select("key", "main")), "key")), left or 0
 
 
-def _left_over(entries: DataFrame, may_link: Callable[[Column, Column], Column]) -> DataFrame:
-    """All pairs (a, b) of different components in a list, one of which is not the list's largest; none for two classes of one component."""
+def _left_over(entries: DataFrame, may_link: Callable[[Column, Column], Column], percent: int) -> DataFrame:
+    """All pairs (a, b) of different components that may link: each pair meets once in each list that holds both, unless both are of its largest component.
+    """
     a = entries.where("root <> main").select("key", F.col("cls").alias("a"), F.col("size").alias("a_size"), F.col("root").alias("a_root"))
     met = a.join(entries, "key").where((F.col("root") != F.col("a_root")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("cls"))) & may_link(F.col("size"), F.col("a_size")))
-    return materialise_table(met.select("a", F.col("cls").alias("b")).distinct())
+    pairs = met.groupBy(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b"), F.least("size", "a_size").alias("s"), F.greatest("size", "a_size").alias("t")).agg(F.sum("n").alias("n"))
+    return materialise_table(pairs.where(_enough(F.col("n"), F.col("s"), F.col("t"), percent)).select("a", "b"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -446,34 +524,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not 50 < percent <= 100:
         raise ValueError("percent is 51 to 100")
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    source = numbered(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))).select("rec.id", "row.file", "row.at", "rec.text")
     bits = max(6, min(MOST_RANGES, estimated_bytes(docs) // RANGE_BYTES).bit_length())
     hot_keys, hot_n, small = frequencies(source, "text", words, percent, bits)
     hot = spark.sparkContext.broadcast((hot_keys, hot_n))
     id_type = source.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, kind int, key long, cls long, size long"
-    listed = source.mapInArrow(_lister(words, percent, bits, small, hot), f"id {id_type}, kind int, range long, key long, cls long, size long, blob binary")
+    schema = f"id {id_type}, file long, at long, kind int, key long, cls long, size long, n long"
+    listed = source.mapInArrow(_lister(words, percent, bits, small, hot), f"id {id_type}, file long, at long, kind int, range long, key long, cls long, size long, blob binary")
     made = materialise_table(listed.repartition("range").sortWithinPartitions("range").mapInArrow(_lists, schema))
 
     def may_link(s: Column, t: Column) -> Column:
         return (F.greatest(s, t) > small) & (100 * F.least(s, t) >= percent * F.greatest(s, t))
 
     links = [materialise_table(_subset_links(made.where(F.col("kind") == SUBSET), percent))]
-    entries = made.where(F.col("kind") == LISTED).select("key", "cls", "size").union(_hot_lists(made.where(F.col("kind") == HOT).select("key", "cls", "size")))
-    entries = materialise_table(entries.distinct())
+    rare = made.where(F.col("kind") == LISTED).groupBy("key", "cls", "size").agg(F.sum("n").alias("n"))
+    entries = materialise_table(rare.union(_hot_lists(made.where(F.col("kind") == HOT).select("key", "cls", "size"))))
     classes = materialise_table(entries.select("cls").distinct())
-    texts = _texts(source, classes, words)
+    texts = _texts(source, made.where(F.col("kind") == DOC).join(broadcast_if_small(classes), "cls"))
     labels = _relabelled(classes.select("cls", F.col("cls").alias("root")), links[0])
-    entries, left = _open(entries, labels)
-    before = 2 * left
+    entries, left = _open(_weighed(entries, percent), labels)
+    before = [left] * 3
     for seed in range(ROUNDS):
-        if left <= entries.count() or 10 * left > 9 * before:
+        if left <= FEW * entries.count() or 10 * left > 9 * before[-3] and seed > 2:
             break
-        before = left
-        links.append(materialise_table(_compared(_candidates(entries, seed, may_link), texts, words, percent)))
+        before.append(left)
+        links.append(materialise_table(_compared(_candidates(entries, seed, may_link, percent), texts, words, percent)))
         labels = _relabelled(labels, links[-1])
         entries, left = _open(entries, labels)
-    links.append(_compared(_left_over(entries, may_link), texts, words, percent))
+    links.append(_compared(_left_over(entries, may_link, percent), texts, words, percent))
     roots = connected_components(reduce(DataFrame.union, links)).withColumnRenamed("node", "cls")
 
     rows = made.where(F.col("kind") == DOC).select("id", "cls", "size")
@@ -485,12 +563,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                                                     F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _texts(source: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(cls, text) of each wanted class: picked out by the tasks that read, if the classes are few; by a join, if they are many."""
-    texts = source.select("text")
-    if wanted.count() <= TOLD:
-        told = source.sparkSession.sparkContext.broadcast(wanted.toArrow()["cls"].to_numpy())
-        found = texts.mapInArrow(_fetcher(words, lambda: told.value), "cls long, text string")
-    else:
-        found = texts.mapInArrow(_fetcher(words, None), "cls long, text string").join(wanted, "cls", "left_semi")
-    return materialise_table(found.groupBy("cls").agg(F.first("text").alias("text")))
+def _texts(source: DataFrame, named: DataFrame) -> DataFrame:
+    """(cls, text) of one row of each class; rows are found by name. Texts stay where they are read as long as the names are few."""
+    names = materialise_table(named.groupBy("cls").agg(F.min(F.struct("file", "at")).alias("row")).select("cls", "row.file", "row.at"))
+    return materialise_table(source.select("file", "at", "text").join(broadcast_if_small(names, NAMES_BYTES), ["file", "at"]).select("cls", "text"))

@@ -124,7 +124,7 @@ def test_hot_shingles_single_comparisons_and_joins_of_texts(spark, monkeypatch):
     want = sorted(plain_components(rows)[0], key=str)
     monkeypatch.setattr(J, "ROUNDS", 0)
     monkeypatch.setattr(J, "DEALT", 2)
-    monkeypatch.setattr(J, "TOLD", 1)
+    monkeypatch.setattr(J, "NAMES_BYTES", 1)
     assert got(spark, rows) == want
     monkeypatch.setattr(J, "HOT_SHINGLES", 10)
     assert got(spark, rows) == want
