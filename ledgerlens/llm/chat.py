@@ -78,12 +78,15 @@ def format_conversations(turns: DataFrame, trained_roles: tuple[str, ...] = ("as
     clean = turns.select("conv_id", F.col("turn").isNull().alias("none"), "turn", escape(F.coalesce("role", F.lit(""))).alias("role"),
                          escape(F.coalesce("text", F.lit(""))).alias("text"))
     runs = (clean.groupBy("conv_id", "none", F.floor(F.col("turn") / RUN).alias("run"))
-            .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+            .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("all")))
+    # turns without a number, or with one number, are one run however many they are: it is cut by place
+    places = F.sequence(F.lit(0).cast("long"), F.floor((F.size("all") - 1) / RUN))
+    runs = (runs.select("conv_id", "none", "run", F.posexplode(F.transform(places, lambda i: F.slice("all", (i * RUN + 1).cast("int"), F.lit(RUN)))).alias("part", "turns"))
             .withColumn("blocks", _blocks(F.col("turns"))))
     trained = F.array(*[escape(F.lit(r)) for r in trained_roles])
-    runs = runs.select("conv_id", "none", "run", F.element_at("blocks", 1)["role"].alias("first"), F.element_at("blocks", -1)["role"].alias("last"),
+    runs = runs.select("conv_id", "none", "run", "part", F.element_at("blocks", 1)["role"].alias("first"), F.element_at("blocks", -1)["role"].alias("last"),
                        _segments(F.col("blocks"), trained).alias("segments"))
-    runs = runs.select("conv_id", F.struct("none", "run", "first", "last", F.concat_ws("", F.col("segments.s")).alias("body"),
+    runs = runs.select("conv_id", F.struct("none", "run", "part", "first", "last", F.concat_ws("", F.col("segments.s")).alias("body"),
                                            _spans(F.col("segments")).alias("spans")).alias("piece"))
     gathered = runs.groupBy("conv_id").agg(F.sort_array(F.collect_list("piece")).alias("runs"))
 

@@ -68,3 +68,15 @@ def test_added_conversation(spark):
     text = "\\### Assistant: </turn> ok"
     assert row.n_turns == 2 and row.loss_chars == len(text) and row.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert row.turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+
+
+def test_very_many_turns_without_a_number_are_cut_into_runs(spark):
+    n = 3 * C.RUN + 5
+    rows = [(1, None, "user" if i % 3 else "assistant", f"t{i:05d} <| \\") for i in range(n)] + [(2, 7, "assistant", f"same {i:04d}") for i in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = C.format_conversations(df).select("conv_id", F.size("pieces").alias("k"), C.read_turns(C.formatted_text()).alias("turns"), C.read_loss(F.col("pieces")).alias("loss"))
+    got = {r.conv_id: r for r in made.collect()}
+    want = sorted((r[2], r[3]) for r in rows if r[0] == 1)
+    assert [tuple(t) for t in got[1].turns] == want and got[1].k == 4
+    assert got[1].loss == "".join(t for r, t in want if r == "assistant")
+    assert got[2].loss == "".join(f"same {i:04d}" for i in range(n)) and got[2].k == 4
