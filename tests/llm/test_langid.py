@@ -2,6 +2,8 @@ import random
 import zlib
 
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import langid as L
@@ -106,3 +108,52 @@ def test_short_and_long_texts_do_not_fail(text):
     known = {"xa": b"abc", "xb": b""}
     lang, score, _ = L.Classifier(known, 0.005).predict(text)
     assert lang in known and 0 <= score <= 1
+
+
+def plain_dictionaries(docs, per_language=128, chars=1024):
+    """Learning without Spark: every labelled text, sorted by its hash."""
+    texts = {}
+    for r in docs:
+        if r.doc_id is not None and r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            texts.setdefault(r.lang, []).append(r.text)
+    langs = sorted(texts, key=lambda x: (-len(texts[x]), x))
+    parts = {}
+    for lang in langs:
+        hashed = sorted({(h % (1 << 40), h if h < 1 << 63 else h - (1 << 64), t) for t in texts[lang] for h in [xxhash.xxh64_intdigest(t.encode(), 42)]})
+        some = sorted(hashed[:min(per_language, 8192 // len(langs))], key=lambda x: x[1])
+        parts[lang] = [t[max(0, (len(t) - chars) // 2):][:chars] for _, _, t in some]
+    owners = {}
+    for lang, own in parts.items():
+        for line in {x for t in own for x in t.split("\n")}:
+            owners.setdefault(line, set()).add(lang)
+    out = {}
+    for lang, own in parts.items():
+        lines = list(dict.fromkeys(x for t in own for x in t.split("\n")))
+        out[lang] = "\n".join(" " + x.lower() for x in lines if len(owners[x]) == 1).encode()[:len(own) and min(per_language, 8192 // len(langs)) * chars]
+    return out
+
+
+def plain_prediction(text, known):
+    """One compression of each block with each language's dictionary."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    data, sizes = (" " + text.lower()).encode(), {}
+    for lang, content in known.items():
+        def size(block):
+            d = zstandard.ZstdCompressionDict(content + b" " * max(0, 8 - len(content)), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=5)
+            return len(zstandard.ZstdCompressor(level=5, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress(block))
+        blocks = [data[i:i + 1024] for i in range(0, len(data), 1024)]
+        sizes[lang] = max(1, size(content[-400:] + blocks[0]) - size(content[-400:]) + sum(map(size, blocks[1:])))
+    best = min(sizes, key=sizes.get)
+    return best, 1 - sizes[best] / min(n for lang, n in sizes.items() if lang != best)
+
+
+def test_query_equals_brute_force_on_the_smallest_table(spark):
+    from ledgerlens.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    known = plain_dictionaries(docs)
+    got = {r.doc_id: (r.lang_pred, round(r.score, 12)) for r in QUERIES["op9_language_id"](spark, sf).collect()}
+    assert len(known) > 1 and got == {r.doc_id: (p, round(s, 12)) for r in docs for p, s in [plain_prediction(r.text, known)]}
