@@ -45,11 +45,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the session's shared checkpoint folder, which is deleted when the application ends."""
-    to = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the session's shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_at_end(spark: SparkSession, to: str) -> bool:
+    """Have what was written to ``to`` deleted when the application ends; false if there is nothing."""
     file_system, path = _located(spark, to)
-    file_system.deleteOnExit(path)
-    return to
+    return file_system.deleteOnExit(path)
 
 
 def _located(spark: SparkSession, to: str):
@@ -81,6 +84,7 @@ def materialise_table(df: DataFrame) -> DataFrame:
     """As ``materialise``, as a compressed Parquet table in the same folder: for rows that carry whole texts."""
     to = scratch_path(df.sparkSession, "table")
     df.write.parquet(to)
+    delete_at_end(df.sparkSession, to)
     out = df.sparkSession.read.schema(df.schema).parquet(to)
     _written[out] = to
     return out

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, exact_dedup, fim, langid, licences, ngram_join, packing, runs, sharding, simhash, topk, warc
-from .common import scratch_path, ship, table
+from .common import delete_at_end, scratch_path, ship, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -69,8 +69,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     path = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    read = warc.read_archives(spark, path, with_payload=False).where("kind <> 'gap'")
-    return read.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+    delete_at_end(spark, path)
+    read = warc.read_archives(spark, path, with_payload=False)
+    # what was just written reads back whole: a gap is a lost record, and an error
+    kind = F.when(F.col("kind") == "gap", F.raise_error(F.concat_ws(" ", F.lit("a record was lost:"), "archive", F.col("offset").cast("string"), "reason"))).otherwise(F.col("kind"))
+    return read.select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
 
 
 OP7_SQL = """
