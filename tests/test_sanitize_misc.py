@@ -49,3 +49,14 @@ def test_frame_form_equals_column_form(spark):
          for r in df.select("i", sanitize(F.col("t")).alias("s")).collect()}
     b = {r["i"]: (r["clean"], r["reasons"], r["truncated"]) for r in sanitize_frame(df, "t").collect()}
     assert a == b
+
+
+def test_cleaning_is_compiled(spark):
+    """The generated code stays far below the engine's limit of 64 KB a method, also behind the planted texts of the queries."""
+    from ledgerlens.functions.sanitize import sanitize_frame
+    from ledgerlens.plans.catalog import _planted
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", _planted(F.col("text"), F.col("doc_id")).alias("text"))
+    parts = sanitize_frame(docs, "text")._jdf.queryExecution().debug().codegenToSeq()
+    sizes = [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())]
+    assert sizes and all(0 < n < 8000 for n in sizes)
