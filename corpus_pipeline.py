@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import exact_dedup, langid, packing, simhash
-from ledgerlens.llm.common import materialise_table, ship, table
+from ledgerlens.llm.common import discard, materialise_table, ship, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -49,7 +49,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        kept = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = materialise_table(docs)
+            kept = materialise_table(kept)
+            discard(docs)  # of the stage before
+        docs = kept
     return docs

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, materialise_table, text_or_empty
+from .common import materialise, materialise_table, numbered, text_or_empty, without
 from .components import connected_components
 
 HALF = 32
@@ -236,13 +236,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
     """The rows of ``docs`` without near copies, with its columns: of each component the row with the smallest id.
 
-    Exactly one row stays, also where the id repeats (any of these) or all ids are null. Rows and fingerprints are written
-    once; then only ids and fingerprints move, and the rows that go are taken out by row number.
+    Exactly one row stays, also where the id repeats (any of these) or all ids are null. Only names, ids and fingerprints of rows are
+    written and moved; the rows that go are taken out by name.
     """
-    held = materialise_table(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("rec"), docs[id_col].alias("id"),
-                                         fingerprint_column(docs[text_col], shingle).alias("fp"), F.monotonically_increasing_id().alias("row")))
-    dropped = _with_first(held.select("id", "fp", "row"), distance).where("row <> first.row").select("row")
-    return held.join(materialise(dropped), "row", "left_anti").select("rec.*")
+    rows = numbered(docs)
+    rec = F.col("rec")
+    prints = materialise_table(rows.select(rec[id_col].alias("id"), fingerprint_column(rec[text_col], shingle).alias("fp"), "row"))
+    return without(rows, _with_first(prints, distance).where("row <> first.row"))
 
 
 def fingerprint_hex(fp: str | Column = "fp") -> Column:

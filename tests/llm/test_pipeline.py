@@ -53,7 +53,7 @@ def test_registered(spark):
     import __spark_entry__ as E
 
     assert E.queries()["pipeline"] is P.run and ("pipeline" in E.oracle_sql()) == (P.ORACLE_SQL is not None)
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in E.queries() if k.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in E.queries() if k.startswith("op")}
 
 
 def test_empty_table(spark):
