@@ -26,9 +26,11 @@ from .common import text_or_empty
 from .tokens import PieceEncoder
 
 #: Pairs and pieces that a worker remembers; texts encoded at a time.
-PAIRS, REMEMBERED, TEXTS_AT_ONCE = 1 << 19, 250_000, 256
+PAIRS, REMEMBERED, TEXTS_AT_ONCE = 1 << 19, 400_000, 512
 #: Above all ranks: no merge.
 NONE = 1 << 62
+#: No byte, so that no token crosses it; and pieces that are split in one line.
+DIVIDER, PIECES_AT_ONCE = "\u0100", 1024
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -115,24 +117,62 @@ class Encoder:
                 return self._backtrack(text, out[:i], out[i])
         return out
 
+    def encode_many(self, matches: list[bytes]) -> list[list[int]]:
+        """The ids of each of several matches. One pass of the automaton over all of them, divided by a sign that no token has."""
+        out = [[whole] if (whole := self.ranks.get(m)) is not None else [] for m in matches]
+        rest = [i for i, ids in enumerate(out) if not ids and matches[i]]
+        if not rest:
+            return out
+        words = [matches[i].decode("latin-1") for i in rest]
+        found = np.array(list(self.automaton.iter_long(DIVIDER.join(words))), np.int64)
+        at = np.searchsorted(np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1, found[:, 0], "right")
+        tokens = found[:, 1]
+        pairs, which = np.unique(tokens[:-1] << 32 | tokens[1:], return_inverse=True)
+        same = at[1:] == at[:-1]
+        used = np.zeros(len(pairs), bool)
+        used[which[same]] = True
+        fits = np.ones(len(pairs), bool)
+        fits[used] = [self.compatible(p >> 32, p & 0xFFFFFFFF) for p in pairs[used].tolist()]
+        wrong = np.flatnonzero(same & ~fits[which]) + 1
+        begins = np.searchsorted(at, np.arange(len(words) + 1)).tolist()
+        all_tokens = tokens.tolist()
+        for k, i in enumerate(rest):
+            out[i] = all_tokens[begins[k]:begins[k + 1]]
+        words_wrong, first = np.unique(at[wrong], return_index=True)
+        for k, j in zip(words_wrong.tolist(), (wrong[first]).tolist()):
+            done = j - begins[k]
+            ids = out[rest[k]]
+            out[rest[k]] = self._backtrack(words[k], ids[:done], ids[done])
+        return out
+
     def _backtrack(self, text: str, out: list[int], token: int | None) -> list[int]:
         """Go on from compatible tokens, and a candidate for the place behind them."""
-        sizes, shorter, compatible, longest = self.sizes, self.shorter, self.compatible, self.automaton.iter_long
-        given_up = bytearray(len(text) + 1)
-        at = sum(sizes[t] for t in out)
+        sizes, shorter, known, longest = self.sizes, self.shorter, self.pairs.get, self.automaton.iter_long
+        n, at = len(text), sum([sizes[t] for t in out])
+        given_up = bytearray(n + 1)
+        last = out[-1] if out else -1
         while True:
-            while token is not None and (given_up[at + sizes[token]] or (out and not compatible(out[-1], token))):
+            while token is not None:
+                end = at + sizes[token]
+                if not given_up[end]:
+                    if last < 0:
+                        break
+                    fits = known(last << 32 | token)
+                    if fits if fits is not None else self.compatible(last, token):
+                        break
                 token = shorter[token]
             if token is None:
                 given_up[at] = 1
                 token = out.pop()
                 at -= sizes[token]
+                last = out[-1] if out else -1
                 continue
             out.append(token)
-            at += sizes[token]
-            if at == len(text):
+            if end == n:
                 return out
-            token = next(longest(text, at))[1]
+            at, last = end, token
+            for _, token in longest(text, at):
+                break
 
 
 @cache
@@ -140,8 +180,26 @@ def _piece_encoder(path: str, pattern: str) -> PieceEncoder:
     """One for each worker, vocabulary file and pattern; kept from task to task."""
     encoder, split = Encoder(read_ranks(path)), regex.compile(pattern)
 
+    def split_all(pieces: list[str]) -> list[list[str]]:
+        """The matches of each piece. Pieces that begin with white space and end without are split in lines of many, where no match crosses."""
+        out: list[list[str]] = [[]] * len(pieces)
+        joined = [i for i, p in enumerate(pieces) if p and p[0] in " \n" and not p[-1].isspace()]
+        for i in set(range(len(pieces))).difference(joined):
+            out[i] = split.findall(pieces[i])
+        for at in range(0, len(joined), PIECES_AT_ONCE):
+            some = joined[at:at + PIECES_AT_ONCE]
+            matches = split.findall("".join([pieces[i] for i in some]))
+            ends = np.searchsorted(np.cumsum(np.fromiter(map(len, matches), np.int64, len(matches))), np.cumsum([len(pieces[i]) for i in some])) + 1
+            start = 0
+            for i, end in zip(some, ends.tolist()):
+                out[i], start = matches[start:end], end
+        return out
+
     def encode(pieces: list[str]) -> list[bytes]:
-        return [array("I", [i for match in split.findall(p) for i in encoder.encode(match.encode())]).tobytes() for p in pieces]
+        cut = split_all(pieces)
+        distinct = list(dict.fromkeys(m for c in cut for m in c))
+        ids = dict(zip(distinct, encoder.encode_many([m.encode() for m in distinct])))
+        return [array("I", [i for m in c for i in ids[m]]).tobytes() for c in cut]
 
     return PieceEncoder(encode, REMEMBERED)
 

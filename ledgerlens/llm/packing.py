@@ -25,7 +25,7 @@ from .common import materialise, materialise_table, text_or_empty
 from .tokens import PieceEncoder
 
 #: Items in a group; texts of an Arrow batch that are turned into rows at a time; pieces that are encoded in one line.
-GROUP, TEXTS_AT_ONCE, PIECES_AT_ONCE = 32_768, 256, 1024
+GROUP, TEXTS_AT_ONCE, PIECES_AT_ONCE = 32_768, 512, 1024
 
 
 # ---------------------------------------------------------------- tokens

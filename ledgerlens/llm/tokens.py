@@ -2,7 +2,8 @@
 
 The split patterns of byte-level BPE vocabularies never match from a non-space character into white space. A text may
 therefore be cut before each run of white space that follows another character, and its pieces be encoded one by one.
-Words come back often, so that a worker looks most pieces up. Remembered pieces are short and their number is bounded.
+Arrow cuts the texts and numbers the different pieces, a worker looks each of these up, and the ids of all texts are gathered by
+number: no Python code runs for a single word. Remembered pieces are short and their number is bounded.
 """
 
 from __future__ import annotations
@@ -10,6 +11,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Cuts only before a space or line feed, which are white space by any definition; other white space stays inside.
 _PIECES = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+")
 _CUT = re.compile(r"\S(?=[ \n])")
@@ -17,8 +22,11 @@ _MARK = "\0"
 #: Texts that are cut by ``_PIECES``; and those whose commas and full stops may belong to a longer run of such signs.
 _UNUSUAL = re.compile(r"\s\s|\A\s|\s\Z|\0")
 _SIGNS = re.compile(r"(?:\W|_)[,.]")
+#: The same two for Arrow, where classes are those of ASCII: any white space, and anything but letters and numbers.
+_BLANK = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+_UNUSUAL_ARROW, _SIGNS_ARROW = rf"{_BLANK}{_BLANK}|\A{_BLANK}|{_BLANK}\z|\x00", r"[^\p{L}\p{N}][,.]"
 #: Characters cut up at a time, pieces that a worker remembers, and characters of a remembered piece.
-TEXT_BLOCK, REMEMBERED, LONGEST = 1 << 20, 500_000, 48
+TEXT_BLOCK, REMEMBERED, LONGEST = 1 << 21, 500_000, 48
 
 
 def pieces(text: str) -> list[str]:
@@ -40,19 +48,49 @@ def blocks(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+def cut_all(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The pieces of all texts, text after text; the order in which the texts come, and each one's number of pieces in that order."""
+    array = pa.array(texts, pa.large_string())
+    unusual = pc.match_substring_regex(array, _UNUSUAL_ARROW).to_numpy(zero_copy_only=False)
+    signs = pc.match_substring_regex(array, _SIGNS_ARROW).to_numpy(zero_copy_only=False)
+    flat, order, counts = [], [], []
+    for rows, apart in ((np.flatnonzero(~unusual & ~signs), True), (np.flatnonzero(~unusual & signs), False)):
+        if len(rows):
+            marked = array.take(pa.array(rows))
+            for sign in " \n":
+                marked = pc.replace_substring(marked, sign, _MARK + sign)
+            for sign in ",." if apart else "":
+                marked = pc.replace_substring(marked, sign + _MARK, f"{_MARK}{sign}{_MARK}")
+            lists = pc.split_pattern(marked, _MARK)
+            flat.append(lists.flatten())
+            counts.append(pc.list_value_length(lists).to_numpy())
+            order.append(rows)
+    rows = np.flatnonzero(unusual)
+    if len(rows):
+        cut = [pieces(texts[i]) for i in rows.tolist()]
+        flat.append(pa.array([p for c in cut for p in c], pa.large_string()))
+        counts.append(np.array([len(c) for c in cut], np.int64))
+        order.append(rows)
+    return pa.chunked_array(flat).combine_chunks(), np.concatenate(order), np.concatenate(counts)
+
+
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, given a function that does so for a list of pieces."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = REMEMBERED):
         self._encode, self._known, self._most = encode, {}, remembered
 
-    def _learn(self, cut: list[list[str]]) -> list[str]:
-        """Make all of these known; returns those to forget again."""
+    def _ids(self, distinct: list[str]) -> list[bytes]:
+        """The ids of different pieces; those that are short are remembered."""
         if len(self._known) > self._most:
             self._known.clear()
-        new = list(set().union(*cut).difference(self._known))
+        new = [p for p in distinct if p not in self._known]
         self._known.update(zip(new, self._encode(new)))
-        return [p for p in new if len(p) > LONGEST]
+        out = list(map(self._known.__getitem__, distinct))
+        for p in new:
+            if len(p) > LONGEST:
+                del self._known[p]
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out, held, size = [], [], 0
@@ -70,9 +108,20 @@ class PieceEncoder:
         return out + self._small(held)
 
     def _small(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces(t) for t in texts]
-        forget = self._learn(cut)
-        out = [b"".join(map(self._known.__getitem__, c)) for c in cut]
-        for p in forget:
-            del self._known[p]
+        if not texts:
+            return []
+        flat, order, counts = cut_all(texts)
+        coded = flat.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        data = self._ids(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        known, begins = np.frombuffer(b"".join(data), "<u4"), np.cumsum(sizes) - sizes
+        each = sizes[codes]
+        ends = np.cumsum(each)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = known[np.repeat(begins[codes] - (ends - each), each) + np.arange(total)]
+        cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        out = [b""] * len(texts)
+        for k, i, j in zip(order.tolist(), cuts[:-1], cuts[1:]):
+            out[k] = ids[i:j].tobytes()
         return out
