@@ -49,7 +49,7 @@ HELD, RANGE_BYTES, MOST_RANGES, BLOCK_BYTES = 1 << 21, 1 << 21, 1 << 16, 1 << 20
 HOT_FREQUENCY, HOT_SHINGLES = 16, 1 << 19
 #: The largest set that may count as small; rounds of single comparisons, and pairs for each list
 #: entry that end them; comparisons of one set in a task.
-LARGEST_SMALL, ROUNDS, FEW, DEALT = 24, 6, 8, 512
+LARGEST_SMALL, ROUNDS, FEW, DEALT = 24, 4, 8, 512
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB,
                  0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
