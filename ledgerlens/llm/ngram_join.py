@@ -17,8 +17,8 @@ sees often is one entry of its block. The most frequent ones, at most ``HOT_SHIN
 the frequency from which on a shingle counts as hot, and are made in blocks; lists of hot shingles stay rows and are never held by a task.
 Lists with the same members are one list.
 
-Candidates come from lists. In a round, every set is compared with one set of its lists, the smallest by a hash that changes from round to
-round; sets found to be linked are one component, and lists of one component are done. After ``ROUNDS`` rounds, or as soon as few pairs are left, the sets
+Candidates come from lists. In a round, every set is compared with one set of its lists, one that has much in common with many (another from round to
+round); sets found to be linked are one component, and lists of one component are done. After ``ROUNDS`` rounds, or as soon as few pairs are left, the sets
 that are not in their list's largest component meet all others of the list that are in another component. Pairs that meet in too few lists to link
 drop out (``_left_over``), the others are compared. So no link between components is lost, and copies of one text are not compared pair by pair. Compared sets are made again from the texts, which move once for each comparison;
 the comparisons of a set with very many others are dealt over many tasks.
