@@ -66,7 +66,9 @@ def _smallest(df: DataFrame, cols: Sequence[str], group: str, counts: DataFrame,
     j = df.join(broadcast_if_small(bounds.checkpoint()), F.col(group).eqNullSafe(F.col("_g")))
     h = [(i, _hash(c), F.try_element_at("_bounds", F.lit(i)), F.col(c).cast("string")) for i, c in enumerate(cols)]
     few = F.array(*[F.when(x <= bound, F.struct(F.lit(i).alias("_i"), x.alias("h"), v.alias("v"))) for i, x, bound, v in h])
-    low = j.select(group, F.inline(F.array_compact(few))).groupBy(group, "_i", "h").agg(F.min("v").alias("v"))
+    # the many rows meet in an aggregate without a text buffer, which hashes; one with a minimum of texts would sort all of a task's rows
+    seen = j.select(group, F.inline(F.array_compact(few))).groupBy(group, "_i", "h", "v").agg(F.count(F.lit(1)).alias("_n")).where("_n > 0")
+    low = seen.groupBy(group, "_i", "h").agg(F.min("v").alias("v"))
     w = Window.partitionBy(group, "_i").orderBy("h")
     least = low.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= kept)
     return least.groupBy(F.col(group).alias("_g"), F.col("_i").alias("_j")).agg(F.array_sort(F.collect_list("h")).alias("hashes"), F.array_sort(F.collect_list(F.when(F.col("_r") <= SAMPLES, F.struct("h", "v")))).alias("samples"))

@@ -97,3 +97,21 @@ def test_date_statistics_need_no_row_twice_and_see_repeated_times(spark):
     finally:
         type(df).checkpoint = plain
     assert plans and not any("Expand" in p for p in plans)
+
+
+def test_sketches_sort_no_rows_of_frequent_values(spark, monkeypatch):
+    """The aggregate that meets all rows has no text buffer; only the one over distinct values has."""
+    seen = []
+    row_number = F.row_number
+
+    def spy():
+        seen.append(True)
+        return row_number()
+
+    monkeypatch.setattr(SK.F, "row_number", spy)
+    df = spark.range(1000).select(F.lit("c").alias("client"), F.concat(F.lit("v"), F.col("id") % 3).alias("few"))
+    counts = spark.createDataFrame([("c", 0, SK._TOP)], "client string, _i int, _bound long")
+    plan = SK._smallest(df, ["few"], "client", counts, 16)._jdf.queryExecution().executedPlan().toString()
+    assert seen and plan.count("HashAggregate") >= 2
+    below = plan[plan.index("Generate") - 2000:plan.index("Generate")]
+    assert "HashAggregate" in below[below.rindex("Aggregate") - 4:]
