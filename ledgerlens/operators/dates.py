@@ -11,6 +11,7 @@ distinct values would. Only where days repeat and times of day differ, whole val
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,9 +34,20 @@ DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "d/M/yyyy", "d.M.yyyy", "d-
                 "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSS][XXX]", "yyyy/M/d", "d/M/yy", "d.M.yy", "d-M-yy")
 
 
+def _shape(fmt: str) -> str:
+    """A regex that every text of a format matches (and texts that are no dates too): signed digits, the signs between them, any optional end."""
+    fixed_part, optional, _ = fmt.partition("[")
+    digits = re.sub(r"[yMdHms]+", "n", fixed_part.replace("'T'", "T"))
+    return "^" + re.escape(digits).replace("n", "[-+]?[0-9]+").replace("T", "[Tt]") + ("" if optional else "$")
+
+
 def parse_date(c: Column) -> Column:
-    """ISO first, then day-first formats; NULL when nothing parses (never raises)."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS])
+    """ISO first, then day-first formats; NULL when nothing parses (never raises).
+
+    A format is only tried on texts of its shape: a text that a format can't read costs an exception, many times the cost of a match.
+    """
+    three_numbers = c.rlike(r"^[-+]?[0-9]+[-/.][-+]?[0-9]+[-/.][-+]?[0-9]+")
+    return F.when(three_numbers, F.coalesce(*[F.when(c.rlike(_shape(f)), F.try_to_timestamp(c, F.lit(f))) for f in DATE_FORMATS]))
 
 
 def _is_datetime(df: DataFrame, c: str) -> bool:
@@ -53,7 +65,7 @@ def date_stats(df: DataFrame, candidates: Sequence[str], as_of: str, keys: Seque
     end_incl = F.to_timestamp(F.last_day(first))                       # midnight of the last day (parity)
     end_excl = F.to_timestamp(F.add_months(first, 1))
     cutoff = F.lit(as_of).cast("timestamp") + F.expr(f"INTERVAL {MAX_FUTURE_DAYS} DAYS")
-    aggs, structs = [F.count(F.lit(1)).alias("_rows")], []
+    aggs, structs, dated = [F.count(F.lit(1)).alias("_rows")], [], {}
     for i, c in enumerate(candidates):
         if c not in df.columns:
             structs.append(F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("cand_ord"),
@@ -63,7 +75,8 @@ def date_stats(df: DataFrame, candidates: Sequence[str], as_of: str, keys: Seque
                                     *[F.lit(None).cast("timestamp").alias(n) for n in ("min_date", "max_date")],
                                     *[F.lit(None).cast("string").alias(n) for n in ("dtype", "example")]))
             continue
-        typed, v = _is_datetime(df, c), _as_date(df, c)
+        typed, v = _is_datetime(df, c), F.col(f"_v{i}")
+        dated[f"_v{i}"] = _as_date(df, c)
         in_p = (v >= start) & ((v <= end_incl) if parity_period_end else (v < end_excl))
         day = F.datediff(v, F.lit("1970-01-01"))
         known = day.between(0, BITMAP_DAYS - 1)
@@ -79,7 +92,7 @@ def date_stats(df: DataFrame, candidates: Sequence[str], as_of: str, keys: Seque
                                 F.col(f"_lo{i}").alias("min_date"), F.col(f"_hi{i}").alias("max_date"),
                                 F.lit(df.schema[c].dataType.simpleString()).alias("dtype"), F.col(f"_x{i}").alias("example")))
     ensure_checkpoint_dir(df.sparkSession)
-    g = df.groupBy(*keys).agg(*aggs)
+    g = df.withColumns(dated).groupBy(*keys).agg(*aggs)
     stats = g.select(*keys, F.col("_rows").alias("rows"), F.inline(F.array(*structs)))
     few_nulls = F.col("rows") - F.col("nonnull") <= 1
     # every value on a day of its own; or else, if they are whole days, some value comes twice
