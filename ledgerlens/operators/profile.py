@@ -1,10 +1,10 @@
 """Column profiles, role rules, star-schema detection and schema drift.
 
-The profile of many tables is one job: every table is unpivoted to
-``(table_name, column, value)`` (values as text), distinct values are counted
-after a map-side partial aggregate, and per column we keep the distinct
-count, null count, row count and the 5 smallest values (a window group limit,
-so no column's values are ever collected whole).
+The profile of many tables is one job: each column alone is read and grouped by
+its typed values (a map-side partial aggregate; no row is unpivoted), only
+distinct values become text, and per column we keep the distinct count, null
+count, row count and the 5 smallest texts (each task keeps 5, so no column's
+values are ever collected whole).
 """
 
 from __future__ import annotations
@@ -53,6 +53,21 @@ def approximate_counts(df: DataFrame, name: str, group: str | None = None) -> Da
     return one.select(F.lit(name).alias("table_name"), *([group] if group else []), F.inline(rows))
 
 
+def distinct_values(df: DataFrame, c: str, group: str | None = None) -> DataFrame:
+    """([group,] value, _n): how often each value of a column, as text, is there (null is a value).
+
+    Rows meet by the value itself where equal values have equal texts and the other way round; zero and minus zero, which group alike, keep their texts apart.
+    """
+    by, kind, keys = F.col(c), df.schema[c].dataType, [group] if group else []
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        zero = F.when(by == 0, by.cast("string"))
+        found = df.groupBy(*keys, by.alias("_v"), zero.alias("_z")).agg(F.count(F.lit(1)).alias("_n"))
+        return found.select(*keys, F.coalesce("_z", F.col("_v").cast("string")).alias("value"), "_n")
+    own = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T.BooleanType, T.DateType, T.TimestampNTZType))
+    found = df.groupBy(*keys, (by if own else by.cast("string")).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return found.select(*keys, F.col("_v").cast("string").alias("value"), "_n")
+
+
 def profile(tables: dict[str, DataFrame], group: str | None = None, samples: bool = True, approximate: bool = False) -> DataFrame:
     """column_profile(table_name[, group], column, ord, dtype, is_numeric, is_datetime,
     row_count, cardinality, null_count, null_rate, samples).
@@ -70,23 +85,20 @@ def profile(tables: dict[str, DataFrame], group: str | None = None, samples: boo
             part = approximate_counts(df, name, group)
             longs = part if longs is None else longs.unionByName(part)
             continue
-        cols = [c for c in df.columns if c != group]
-        pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols])
-        keys = [F.lit(name).alias("table_name")] + ([F.col(group)] if group else [])
-        part = df.select(*keys, F.inline(pairs))
-        longs = part if longs is None else longs.unionByName(part)
+        for c in [c for c in df.columns if c != group]:
+            part = distinct_values(df, c, group).select(F.lit(name).alias("table_name"), *([group] if group else []), F.lit(c).alias("column_name"), "value", "_n")
+            longs = part if longs is None else longs.unionByName(part)
     g = ["table_name"] + ([group] if group else [])
-    counts = None if approximate else longs.groupBy(*g, "column_name", "value").agg(F.count(F.lit(1)).alias("_n"))
-    per_col = longs if approximate else counts.groupBy(*g, "column_name").agg(
+    per_col = longs if approximate else longs.groupBy(*g, "column_name").agg(
         F.sum("_n").alias("row_count"), F.count("value").alias("cardinality"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("_n"))), F.lit(0)).alias("null_count"))
     meta_df = spark.createDataFrame(meta, "table_name STRING, column_name STRING, ord INT, dtype STRING, "
                                           "is_numeric BOOLEAN, is_datetime BOOLEAN")
     prof = per_col
     if samples:
-        w = Window.partitionBy(*g, "column_name").orderBy("value")
-        smp = (counts.where(F.col("value").isNotNull())
-               .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= SAMPLE_SIZE)
+        # the counts are read and nulls leave only after the window, so that both branches share one shuffle of the distinct values
+        w = Window.partitionBy(*g, "column_name").orderBy(F.col("value").asc_nulls_last())
+        smp = (longs.where(F.col("_n") > 0).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= SAMPLE_SIZE).where(F.col("value").isNotNull())
                .groupBy(*g, "column_name").agg(F.array_sort(F.collect_list("value")).alias("samples")))
         prof = prof.join(smp, [*g, "column_name"], "left")
     if group:

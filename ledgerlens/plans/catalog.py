@@ -534,8 +534,9 @@ idims AS (SELECT column_name, 'dim_' || column_name AS dim_name, cardinality FRO
 """
 
 
-def _profile(spark, sf):
-    return P.profile(_star(spark, sf))
+def _profile(spark, sf, samples=False):
+    """Profile of the star's tables; only the query that shows samples asks for them."""
+    return P.profile(_star(spark, sf), samples=samples)
 
 
 def _fact_name(fsel: DataFrame) -> str:
@@ -544,7 +545,7 @@ def _fact_name(fsel: DataFrame) -> str:
 
 @query("column_profile", _PROF_BASE + "SELECT * FROM prof")
 def q_column_profile(spark, sf):
-    return _profile(spark, sf)
+    return _profile(spark, sf, samples=True)
 
 
 @query("column_roles", _PROF_BASE + "SELECT table_name, column_name, role, role_dtype, cardinality FROM roles")

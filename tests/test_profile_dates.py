@@ -89,3 +89,37 @@ def test_approximate_profile_is_near_the_exact_one(spark):
         e = exact[r.column_name]
         assert (r.row_count, r.null_count, r.dtype) == (e.row_count, e.null_count, e.dtype)
         assert abs(r.cardinality - e.cardinality) <= 0.15 * e.cardinality + 1
+
+
+def test_dates_are_read_as_by_every_format_in_turn(spark):
+    texts = ["2001-01-01", "2001-01-01 10:11:12", "2001-01-01t10:11Z", "1/2/01", "01.02.2001", "1-2-2001", "2001/1/2", "+12001-01-01", "-1/2/2001", "31/02/2001", " 2001-01-01",
+             "2001-01-01\n", "5-LOW", "1234.56", "word", "", None]
+    plain = F.coalesce(*[F.try_to_timestamp("v", F.lit(f)) for f in D.DATE_FORMATS])
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    assert df.where(~D.parse_date(F.col("v")).eqNullSafe(plain)).count() == 0
+
+
+def test_formats_are_only_tried_on_texts_of_their_shape(spark):
+    import time
+
+    def seconds(text):
+        df = spark.range(0, 60_000, 1, 1).select(F.concat(F.lit(text), "id").alias("v"))
+        begun = time.perf_counter()
+        assert df.agg(F.count(D.parse_date(F.col("v"))).alias("n")).first().n == 0
+        return time.perf_counter() - begun
+
+    seconds("warm")
+    plain = spark.range(0, 60_000, 1, 1).select(F.coalesce(*[F.try_to_timestamp(F.concat(F.lit("w"), "id"), F.lit(f)) for f in D.DATE_FORMATS]).alias("d"))
+    begun = time.perf_counter()
+    plain.agg(F.count("d")).collect()
+    assert seconds("w") * 3 < time.perf_counter() - begun
+
+
+def test_profile_groups_typed_values_and_keeps_their_texts(spark):
+    df = spark.createDataFrame([(0.0, 1, "a"), (-0.0, 10, None), (float("nan"), 9, "a"), (float("nan"), None, ""), (None, 2, "b"), (2.5, 10, "b")], "x double, k bigint, s string")
+    got = {r.column_name: (r.row_count, r.cardinality, r.null_count, r.samples) for r in P.profile({"t": df}).collect()}
+    assert got == {"x": (6, 4, 1, "-0.0|0.0|2.5|NaN"), "k": (6, 4, 1, "1|10|2|9"), "s": (6, 3, 1, "|a|b")}
+    plan = P.profile({"t": df})._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # no row is unpivoted
+    by = {(r.s, r.column_name): (r.row_count, r.cardinality, r.samples) for r in P.profile({"t": df}, group="s").collect()}
+    assert by[("a", "x")] == (2, 2, "0.0|NaN") and by[("b", "k")] == (2, 2, "10|2")
