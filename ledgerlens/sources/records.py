@@ -13,6 +13,8 @@ lines of a record without an end, or of more than ``LONGEST`` lines, are rejecte
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,13 @@ def ends_open(value: Column, sep: str) -> tuple[Column, Column]:
     return outside, inside
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the checkpoint folder, compressed, and read back."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _parity(n: Column) -> Column:
     return F.coalesce(n, F.lit(0)) % 2 == 1
 
@@ -56,7 +65,6 @@ def join_records(lines: DataFrame, layouts: DataFrame, is_banner, separators: tu
     quoted cell too, where they are taken out. ``broken`` says why a line belongs to no record (null if it does); ``first_no`` and ``last_no`` are
     the range of its record. Files of another layout, or without a layout, and null values keep their lines.
     """
-    ensure_checkpoint_dir(lines.sparkSession)
     none = F.lit(None).cast("string")
     value = F.coalesce("value", F.lit(""))
     plain = ~(F.col("layout") == "delimited") | F.col("layout").isNull() | F.coalesce(is_banner(F.col("value")), F.lit(False))
@@ -66,6 +74,7 @@ def join_records(lines: DataFrame, layouts: DataFrame, is_banner, separators: tu
         out, inside = out.when(F.col("sep") == s, a), inside.when(F.col("sep") == s, b)
     steps = lines.join(broadcast_if_small(layouts.select("file", "layout", "sep")), "file", "left").select(
         "file", "line_no", "value", plain.alias("_plain"), F.coalesce(out, F.lit(False)).alias("_out"), F.coalesce(inside, F.lit(True)).alias("_in"))
+    steps = kept(steps, "steps")  # lines are made and matched once; what follows reads them back
     open_files = steps.where("_out").select("file").distinct().checkpoint()
     one = lambda df, broken=none: df.select("file", "line_no", F.col("line_no").alias("first_no"), F.col("line_no").alias("last_no"), "value", broken.alias("broken"))
     alone = one(steps.join(broadcast_if_small(open_files), "file", "left_anti"))
