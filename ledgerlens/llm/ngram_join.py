@@ -19,8 +19,8 @@ Lists with the same members are one list.
 
 Candidates come from lists. In a round, every set is compared with one set of its lists, one that has much in common with many (another from round to
 round); sets found to be linked are one component, and lists of one component are done. After ``ROUNDS`` rounds, or as soon as few pairs are left, the sets
-that are not in their list's largest component meet all others of the list that are in another component. Pairs that meet in too few lists to link
-drop out (``_left_over``), the others are compared. So no link between components is lost, and copies of one text are not compared pair by pair. Compared sets are made again from the texts, which move once for each comparison;
+that are not in their list's largest component meet others of the list that are in another component. They only meet where both have enough lists left, in an
+order from short lists to long ones, to link if this is the first they share; pairs that then meet in too few lists to link drop out (``_left_over``), the others are compared. So no link between components is lost, and copies of one text are not compared pair by pair. Compared sets are made again from the texts, which move once for each comparison;
 the comparisons of a set with very many others are dealt over many tasks.
 """
 
@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import broadcast_if_small, estimated_bytes
@@ -465,6 +465,15 @@ def _enough(n: Column, s: Column, t: Column, percent: int) -> Column:
     return n >= 1 + c - outside
 
 
+def _enough_for_any(n: Column, s: Column, least: Column, most: Column, percent: int) -> Column:
+    """Whether a set of s shingles that has n listed ones in common with one of ``least`` to ``most`` may link with it.
+
+    What it needs is least at either end of the sizes that can link; towards the upper one, rounding may leave one less than there.
+    """
+    lower, upper = F.greatest(least, F.ceil(percent * s / 100)), F.least(most, F.floor(100 * s / percent))
+    return _enough(n, s, lower, percent) | _enough(n + 1, s, upper, percent)
+
+
 def _candidates(entries: DataFrame, seed: int, may_link: Callable[[Column, Column], Column], percent: int) -> DataFrame:
     """For each class one other (a, b), of another component: the first in an order that is the first of enough of its lists.
 
@@ -482,15 +491,12 @@ def _candidates(entries: DataFrame, seed: int, may_link: Callable[[Column, Colum
 def _weighed(entries: DataFrame, percent: int) -> DataFrame:
     """``entries`` with ``weight``: how often a class meets others in its lists. Without those that can't link to any of their list.
 
-    A class has no more in common with another than the shingles of all its lists, and what it needs is least for the sizes at either end
-    of those that its list holds.
+    A class has no more in common with another than the shingles of all its lists.
     """
     lists = materialise_table(entries.groupBy("key").agg(F.count("*").alias("held"), F.min("size").alias("least"), F.max("size").alias("most")))
     classes = entries.join(broadcast_if_small(lists.select("key", "held")), "key").groupBy("cls").agg(
         F.sum("n").alias("total"), F.sum(F.col("n") * F.col("held")).cast("double").alias("weight"))
-    s = F.col("size")
-    ends = F.greatest("least", F.ceil(percent * s / 100)), F.least("most", F.floor(100 * s / percent))
-    may = _enough(F.col("total"), s, ends[0], percent) | _enough(F.col("total"), s, ends[1], percent)
+    may = _enough_for_any(F.col("total"), F.col("size"), F.col("least"), F.col("most"), percent)
     known = entries.join(broadcast_if_small(lists), "key").join(broadcast_if_small(materialise_table(classes)), "cls")
     return materialise_table(known.where(may).select("key", "cls", "size", "n", "weight"))
 
@@ -505,12 +511,26 @@ def _open(entries: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _left_over(entries: DataFrame, may_link: Callable[[Column, Column], Column], percent: int) -> DataFrame:
-    """All pairs (a, b) of different components that may link: each pair meets once in each list that holds both, unless both are of its largest component.
+    """All pairs (a, b) of different components that may link, unless both are of the largest component of each of their lists.
+
+    In one order of all lists, short ones first, what two sets share lies at or behind the first list that holds both. So they meet in that list though
+    a meeting is only looked at if either set still has enough shingles in its lists from there on (``rest``). In a large group of copies
+    the long lists come last, where few have enough left. What is shared is then counted once for each pair.
     """
-    a = entries.where("root <> main").select("key", F.col("cls").alias("a"), F.col("size").alias("a_size"), F.col("root").alias("a_root"))
-    met = a.join(entries, "key").where((F.col("root") != F.col("a_root")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("cls"))) & may_link(F.col("size"), F.col("a_size")))
-    pairs = met.groupBy(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b"), F.least("size", "a_size").alias("s"), F.greatest("size", "a_size").alias("t")).agg(F.sum("n").alias("n"))
-    return materialise_table(pairs.where(_enough(F.col("n"), F.col("s"), F.col("t"), percent)).select("a", "b"))
+    lists = materialise_table(entries.groupBy("key").agg(F.count("*").alias("held"), F.min("size").alias("least"), F.max("size").alias("most")))
+    rest = F.sum("n").over(Window.partitionBy("cls").orderBy(F.desc("held"), F.desc("key")))
+    ranked = entries.join(broadcast_if_small(lists), "key").withColumn("rest", rest)
+    ranked = materialise_table(ranked.where(_enough_for_any(F.col("rest"), F.col("size"), F.col("least"), F.col("most"), percent)).select("key", "cls", "size", "root", "main", "rest"))
+    a = ranked.where("root <> main").select("key", F.col("cls").alias("a"), F.col("size").alias("a_size"), F.col("root").alias("a_root"), F.col("rest").alias("a_rest"))
+    met = a.join(ranked, "key").where((F.col("root") != F.col("a_root")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("cls"))) & may_link(F.col("size"), F.col("a_size"))
+                                      & _enough(F.least("rest", "a_rest"), F.col("size"), F.col("a_size"), percent))
+    pairs = materialise_table(met.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b"), F.least("size", "a_size").alias("s"), F.greatest("size", "a_size").alias("t")).distinct())
+    classes = materialise_table(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+    held = entries.join(broadcast_if_small(classes), "cls").groupBy("cls").agg(F.collect_list(F.concat_ws(":", "key", "n")).alias("lists"))
+    held = broadcast_if_small(materialise_table(held))
+    both = pairs.join(held.select(F.col("cls").alias("a"), F.col("lists").alias("a_lists")), "a").join(held.select(F.col("cls").alias("b"), F.col("lists").alias("b_lists")), "b")
+    n = F.aggregate(F.array_intersect("a_lists", "b_lists"), F.lit(0).cast("long"), lambda n, x: n + F.substring_index(x, ":", -1).cast("long"))
+    return materialise_table(both.where(_enough(n, F.col("s"), F.col("t"), percent)).select("a", "b"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

@@ -153,3 +153,73 @@ def test_query_equals_brute_force_on_the_smallest_table(spark):
     want, links = plain_components(rows)
     assert links
     assert sorted(map(tuple, QUERIES["op13_ngram_jaccard_join"](spark, sf).collect()), key=str) == sorted(want, key=str)
+
+
+def joined_rows(df):
+    """Rows that each join makes when ``df`` is collected."""
+    df.collect()
+    nodes, rows = [df._jdf.queryExecution().executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            nodes.append(node.plan())
+        else:
+            if "Join" in name:
+                rows.append(node.metrics().apply("numOutputRows").value())
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return rows
+
+
+def test_left_over_sets_of_a_large_group_only_meet_where_they_may_link(spark, monkeypatch):
+    rng = random.Random(5)
+    base, members = [f"w{i}" for i in range(150)], 150
+    rows = []
+    for i in range(members):
+        words = list(base)
+        for at in rng.sample(range(5, 145), 3):
+            words[at] = f"e{i}_{at}"
+        rows.append((i, " ".join(words)))
+    made, write = [], J.materialise_table
+    inside = []
+
+    def seen(df):
+        if inside:
+            made.extend(joined_rows(df))
+        return write(df)
+
+    def left_over(*args, step=J._left_over):
+        inside.append(1)
+        found = step(*args)
+        inside.clear()
+        return found
+
+    monkeypatch.setattr(J, "ROUNDS", 0)
+    monkeypatch.setattr(J, "boundary", lambda *_: 0)
+    monkeypatch.setattr(J, "materialise_table", seen)
+    monkeypatch.setattr(J, "_left_over", left_over)
+    assert got(spark, rows) == sorted(plain_components(rows)[0], key=str)
+    assert made and max(made) < members * members // 2
+
+
+def test_a_list_with_a_larger_set_drops_no_class(spark, monkeypatch):
+    passage = [f"p{i}" for i in range(20)]
+    rows = [(i, " ".join(passage + [f"{i}_{j}" for j in range(more)])) for i, more in enumerate([1, 3, 4])]  # 17, 19 and 20 shingles, 16 of them shared
+    rows += [(i, " ".join([f"{i}_{j}" for j in range(200)] + passage)) for i in range(10, 40)]  # so that the shared ones come last
+    monkeypatch.setattr(J, "boundary", lambda *_: 0)
+    want, links = plain_components(rows)
+    assert links == 1
+    assert got(spark, rows) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("percent", [51, 67, 80, 99, 100])
+def test_what_any_partner_needs(spark, percent):
+    def least(s, t):
+        return 1 + J.needed(s, t, percent) + (-percent * max(s, t) // 100)
+
+    rows = [(s, a, b, min(some)) for s in range(1, 45) for a in range(1, s + 1, 3) for b in range(s, 60, 4)
+            if (some := [least(s, t) for t in range(max(a, -(-percent * s // 100)), min(b, 100 * s // percent) + 1)])]
+    df = spark.createDataFrame(rows, "s long, a long, b long, n long")
+    assert df.where(~J._enough_for_any(F.col("n"), F.col("s"), F.col("a"), F.col("b"), percent)).isEmpty()
